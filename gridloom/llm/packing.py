@@ -21,6 +21,7 @@ doc_id stays null; an empty table gives no rows; extra columns are not carried.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -38,41 +39,97 @@ TOKENIZER = "word_bpe_49k.json"
 #: Tokens that a task packs at a time.
 BLOCK_TOKENS = 4_000_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Longest text to go to the tokenizer at once, in new words.
 NEW_WORDS = 2000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+class _Seen(dict):
+    """Ids by word, in two generations: words not met while a generation fills go."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old, self.new = limit, {}, set()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            self.new.add(word)
+            return b""
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+def _byte_characters() -> dict[int, str]:
+    """The vocabulary's character for each byte: itself if printable, else the next
+    one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word: this vocabulary drops white space and never
-    joins over it, so a text's ids are those of its words. New words go to the
-    tokenizer together; the others come from the cache."""
+    joins over it, so a text's ids are those of its words. A word of letters, or of
+    letters and one mark, is one unit or two for the tokenizer and goes to its model
+    at once; any other goes through the whole tokenizer."""
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.limit = Tokenizer.from_file(path), {}, cached
-
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        for at in range(0, len(new), NEW_WORDS):
-            part = new[at : at + NEW_WORDS]
+        self.tokenizer, self.seen = Tokenizer.from_file(path), _Seen(cached // 2)
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.marks = {m: self._unit(m) for m in self.MARKS}
+
+    def _unit(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, new: list[bytes]) -> None:
+        others = []
+        for word in new:
+            text = word.decode()
+            mark, letters = b"", text
+            if text[-1] in self.MARKS:
+                mark, letters = self.marks[text[-1]], text[:-1]
+            if letters.isascii():
+                simple, low = letters.isalpha(), letters.lower()
+            else:
+                low = unicodedata.normalize("NFC", letters)
+                simple = low.isalpha() and "\u03a3" not in low
+                low = low.lower()
+                simple = simple and low.isalpha()
+            if simple:
+                self.seen[word] = self._unit(low) + mark
+            else:
+                others.append(word)
+        for at in range(0, len(others), NEW_WORDS):
+            part = others[at : at + NEW_WORDS]
             for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = got.ids
-                out[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+                self.seen[word] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = set().union(*split)
-        self.cache.update(self.learn(sorted(new)))
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        ids = self.seen.__getitem__
+        for words in split:
+            deque(map(ids, words), 0)
+        if self.seen.new:
+            new, self.seen.new = sorted(self.seen.new), set()
+            self.learn(new)
+        out = [b"".join(map(ids, words)) for words in split]
+        self.seen.turn()
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
