@@ -87,13 +87,13 @@ class WordTokenizer:
 
         self.tokenizer, self.seen = Tokenizer.from_file(path), _Seen(cached // 2)
         self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.marks = {m: self._unit(m) for m in self.MARKS}
 
     def _unit(self, text: str) -> bytes:
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self.characters)
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
 
     def learn(self, new: list[bytes]) -> None:
         others = []
@@ -121,13 +121,17 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        ids = self.seen.__getitem__
-        for words in split:
-            deque(map(ids, words), 0)
+        found = [list(map(self.seen.__getitem__, words)) for words in split]
         if self.seen.new:
-            new, self.seen.new = sorted(self.seen.new), set()
-            self.learn(new)
-        out = [b"".join(map(ids, words)) for words in split]
+            new, self.seen.new = self.seen.new, set()
+            self.learn(list(new))
+        out = []
+        for words, ids in zip(split, found):
+            at = -1
+            for _ in range(ids.count(b"")):
+                at = ids.index(b"", at + 1)
+                ids[at] = self.seen[words[at]]
+            out.append(b"".join(ids))
         self.seen.turn()
         return out
 

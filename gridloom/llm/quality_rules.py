@@ -87,9 +87,7 @@ def base_counts(df: DataFrame) -> DataFrame:
     )
 
     def starts(s: Column) -> Column:
-        again = F.filter(s, lambda x, i: (F.get(s, i + 1)["h"] <=> x["h"]) if False else (
-            F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False))
-        ))
+        again = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)))
         return F.sort_array(F.transform(again, lambda x: x["i"]))
 
     covered = F.aggregate(
