@@ -81,10 +81,10 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        for k in range(HASHES):
-            out[k] = min(out[k], (part * _MULTIPLY[k] + _ADD[k]).min())
+    for at in range(0, len(shingles), 256):
+        values = shingles[None, at : at + 256] * _MULTIPLY[:, None]
+        values += _ADD[:, None]
+        np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
