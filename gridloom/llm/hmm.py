@@ -35,7 +35,7 @@ from .common import column, discard, materialise, table, text_or_empty
 TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 4
 SYMBOLS = TOP + BUCKETS
 #: Tokens of a batch, and of the pieces in which a training pass goes through it.
-BATCH_TOKENS, SEGMENT, CHUNK = 4_000_000, 64, 1 << 18
+BATCH_TOKENS, SEGMENT, CHUNK = 2_000_000, 64, 1 << 18
 #: Weight of the overall symbol frequencies in each state's emissions.
 PRIOR = 50.0
 END = b""

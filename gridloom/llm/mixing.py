@@ -72,7 +72,7 @@ def solve(classes: DataFrame, targets: DataFrame, steps: int = NEWTON_STEPS) ->
     keys = ["_source", "_known"]
     means = classes.groupBy(*keys).agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("_mean"))
     state = materialise(
-        targets.join(means, keys).withColumn("_lambda", F.when(F.col("target") >= LIMIT * F.col("source_size") * (1 - 1e-12), F.lit(STEEPEST)).otherwise(F.lit(0.0))), "mix-dual"
+        targets.join(means, keys).withColumn("_lambda", F.when(F.col("target") >= LIMIT * F.col("source_size") * (1 - 1e-12), F.lit(STEEPEST)).otherwise(F.lit(0.0))).withColumn("_gap", F.lit(1.0)), "mix-dual"
     )
     for _ in range(steps):
         rows = salted_join(classes, state, keys, ["size"]).withColumn("_x", F.col("size") / F.greatest(F.col("_mean"), F.lit(1e-9))).withColumn("_r", _rate())
@@ -82,10 +82,14 @@ def solve(classes: DataFrame, targets: DataFrame, steps: int = NEWTON_STEPS) ->
         )
         move = F.try_divide(F.col("target") - F.col("_g"), F.col("_h"))
         move = F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.coalesce(move, F.lit(0.0))))
-        after = state.join(sums, keys, "left").withColumn("_lambda", F.when(F.col("_lambda") >= STEEPEST, F.col("_lambda")).otherwise(F.col("_lambda") + move)).select(*state.columns)
+        gap = F.when(F.col("_lambda") >= STEEPEST, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.abs(F.col("target") - F.col("_g")), F.col("target")), F.lit(0.0)))
+        after = state.drop("_gap").join(sums, keys, "left").withColumn("_gap", gap).withColumn("_lambda", F.when(F.col("_lambda") >= STEEPEST, F.col("_lambda")).otherwise(F.col("_lambda") + move)).select(*state.columns)
         after = materialise(after, "mix-dual")
         discard(state)
         state = after
+        # One number for all sources; the last step has squared this gap once more.
+        if (state.agg(F.max("_gap")).first()[0] or 0.0) < 1e-7:
+            break
     # Sums of doubles differ in their last digits between runs; the rates shall not.
     return state.withColumn("_lambda", F.round("_lambda", 9))
 
