@@ -243,10 +243,10 @@ def build_output(inputs: Inputs, config: dict) -> Result:
     gaps = donors.pick(gaps, new, fill.get("match_chain_new") or donors.default_chain(dims, "new"), "new", new_cols, strategy, dim_names, "new_donor", strict)
     wide = gaps.unionByName(real, allowMissingColumns=True) if filling else donors.pick(donors.pick(real, hist, [], "hist", hist_cols), new, [], "new", new_cols, as_name="new_donor")
     alias = {"DATE": F.col("__date")} | {d["master"]: F.col("master")[d["master"]] for d in dims}
-    for d in dims:
-        alias.setdefault(d.get("hist") or d["master"], F.col("master")[d["master"]])
-    if fill.get("hist_date_column"):
-        alias.setdefault(fill["hist_date_column"], F.col("__date"))
+    # Field names are told apart without case.
+    for name, c in [(d.get("hist") or d["master"], F.col("master")[d["master"]]) for d in dims] + [(fill.get("hist_date_column"), F.col("__date"))]:
+        if name and name.lower() not in {n.lower() for n in alias}:
+            alias[name] = c
     wide = wide.withColumn("grid", F.struct(*[c.alias(n) for n, c in alias.items()]))
 
     # Output columns, in the order that they need each other.

@@ -99,20 +99,20 @@ def _static(pick: str, order: str) -> str:
 _ASOF = {
     "previous": f"""SELECT x.nation, x.segment, x.period AS at_period, coalesce(p.price, l.price) AS price, coalesce(p.order_id, l.order_id) AS order_id, 'nation + segment' AS basis
       FROM g x LEFT JOIN LATERAL (SELECT price, order_id FROM h WHERE h.nation = x.nation AND h.segment = x.segment AND h.period <= x.period ORDER BY period DESC, row_id DESC LIMIT 1) p ON true
-      JOIN ({_static('arg_max', 'row_id + 1000000000 * epoch(period)')}) l ON l.nation = x.nation AND l.segment = x.segment""",
+      JOIN ({_static('arg_max', "row_id + 100000000 * date_diff('day', DATE '1970-01-01', period)")}) l ON l.nation = x.nation AND l.segment = x.segment""",
 }
 
 FORMULAS = {
     "formula_arith": ("[price] * 2 - [qty] / 4 + ROUND([price], 1)", "o_totalprice * 2 - qty / 4.0 + round_even(o_totalprice * 10, 0) / 10"),
     "formula_mod": ("MAX([qty] % -7, -5) + [qty] ** 2", "greatest(qty - (-7) * floor(qty / -7.0), -5) + pow(qty, 2)"),
-    "formula_text": ("UPPER(LEFT([status], 1)) & \"-\" & PAD([qty], 6) & RIGHT([priority], 3)", "upper(left(o_orderstatus, 1)) || '-' || lpad(CAST(qty AS VARCHAR), greatest(6, length(CAST(qty AS VARCHAR))), '0') || right(o_orderpriority, 3)"),
+    "formula_text": ("UPPER(LEFT([status], 1)) & \"-\" & PAD([qty], 6) & RIGHT([priority], 3)", "upper(left(o_orderstatus, 1)) || '-' || lpad(CAST(qty AS VARCHAR), 6, '0') || right(o_orderpriority, 3)"),
     "formula_compare": ("IF([price] > 100000, \"high\", IF([price] <= 20000, \"low\", \"mid\"))", "CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice <= 20000 THEN 'low' ELSE 'mid' END"),
-    "formula_logic": ("IF([price] > 50000 AND NOT [status] = \"F\" OR [qty] < 10, 1, 0)", "CASE WHEN (o_totalprice > 50000 AND NOT o_orderstatus = 'F') OR qty < 10 THEN 1.0 ELSE 0.0 END"),
+    "formula_logic": ("IF([price] > 50000 AND NOT [status] = \"F\" OR [qty] < 10, 1, 0)", "CASE WHEN (o_totalprice > 50000 AND NOT o_orderstatus = 'F') OR qty < 10 THEN CAST(1 AS DOUBLE) ELSE 0 END"),
     "formula_null": ("IFERROR([price] / ([qty] - [qty]), -1) + COALESCE([gone], 5) + IF(ISBLANK([gone]), 1, 0)", "CAST(-1 + 5 + 1 AS DOUBLE)"),
     "formula_round": ("ROUNDUP([price] / 1000, 1) + ROUNDDOWN([price] / 1000, 1) + INT([price] / 7)", "ceil(o_totalprice / 1000 * 10) / 10 + floor(o_totalprice / 1000 * 10) / 10 + floor(o_totalprice / 7)"),
     "formula_minmax": ("MIN([qty], 50) + MAX([qty], 10, [gone]) + SUM([qty], [gone]) + AVERAGE([qty], [gone], 4)", "least(qty, 50) + greatest(qty, 10) + qty + (qty + 4) / 2.0"),
     "formula_dates": ("YEAR([day]) * 10000 + MONTH([day]) * 100 + DAY([day])", "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS DOUBLE)"),
-    "formula_pad": ("PAD([priority], 12, \"*\") & \"|\" & TRIM(\"  x \") & LEN([priority])", "lpad(o_orderpriority, 12, '*') || '|x' || length(o_orderpriority)"),
+    "formula_pad": ("PAD([priority], 12, \"*\") & \"|\" & TRIM(\"  x \") & LEN([priority])", "lpad(o_orderpriority, CAST(greatest(12, length(o_orderpriority)) AS INTEGER), '*') || '|x' || length(o_orderpriority)"),
     "formula_proper": ("PROPER([priority]) & LOWER([status])", "CASE o_orderpriority WHEN '1-URGENT' THEN '1-Urgent' WHEN '2-HIGH' THEN '2-High' WHEN '3-MEDIUM' THEN '3-Medium' WHEN '4-NOT SPECIFIED' THEN '4-Not Specified' ELSE '5-Low' END || lower(o_orderstatus)"),
     "formula_value": ("VALUE(LEFT([priority], 1)) + ABS(-3) + LEN(TEXT([qty]))", "CAST(left(o_orderpriority, 1) AS DOUBLE) + 3 + length(CAST(qty AS VARCHAR))"),
 }
@@ -178,7 +178,7 @@ _DEDUPES = {"first": "arg_min(v, k)", "last": "arg_max(v, k)", "sum": "coalesce(
 def _dedupe(strategy: str, overrides: dict | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def q(spark: SparkSession, d: str) -> DataFrame:
         df = _t(spark, d, "lineitem").select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("__row_id"), "l_partkey", "l_returnflag",
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_suppkey")).alias("__row_id"), "l_partkey", "l_returnflag",
             F.when(F.col("l_discount") > 0.03, F.col("l_quantity")).alias("v"), F.col("l_linestatus").alias("status"), F.col("l_tax").alias("tax"),
         )
         out = dedupe.dedupe(df, ["l_partkey", "l_returnflag"], strategy, {"status": "last", "tax": "max"} | (overrides or {}))
@@ -206,7 +206,7 @@ def _events_grid(spark: SparkSession, d: str) -> DataFrame:
     cfg = {
         "grid": {"master_dims": [{"master": "user", "new": "user", "hist": "user"}, {"master": "kind", "new": "kind", "hist": "kind"}], "new_date_column": "day", "dedupe": {"strategy": "sum"}},
         "output_columns": [{"name": c, "source": {"type": "new", "column": c}} for c in ("user", "kind", "day", "value")],
-        "gapfill": {"rules": [{"column": "value", "type": "const", "value": 0}]},
+        "gapfill": {"hist_date_column": "day", "rules": [{"column": "value", "type": "const", "value": 0}]},
     }
     out = build_output(Inputs(e, master, e.limit(0)), cfg).output
     return out.select("user", "kind", "day", F.round("value", 4).alias("value"), F.col("SOURCE").alias("source"))
@@ -271,11 +271,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    key = "row_id + 1000000000 * epoch(period)"
+    key = "row_id + 100000000 * date_diff('day', DATE '1970-01-01', period)"
     last = _sql(_static("arg_max", key))
     filtered = lambda cond, by: f"WITH {_BASE} SELECT g.{by}, CASE WHEN n.nation IS NULL THEN 'FILLED' ELSE 'ACTUAL' END AS source, count(*) AS n FROM g LEFT JOIN n ON n.nation = g.nation AND n.segment = g.segment AND n.period = g.period WHERE {cond} GROUP BY ALL"
-    nearest = "SELECT nation, segment, at_period AS at_period, price, order_id, 'nation + segment' AS basis FROM (SELECT x.nation, x.segment, x.period AS at_period, h.price, h.order_id, row_number() OVER (PARTITION BY x.nation, x.segment, x.period ORDER BY abs(date_diff('day', h.period, x.period)), h.period, h.row_id DESC) AS r FROM g x JOIN h ON h.nation = x.nation AND h.segment = x.segment) WHERE r = 1"
-    new_pool = "SELECT m2.nation, m2.segment, coalesce(a.price, b.price) AS price, coalesce(a.order_id, b.order_id) AS order_id, b.basis FROM m m2 LEFT JOIN (SELECT nation, segment, arg_max(price, order_id + 1000000000 * epoch(period)) AS price, arg_max(order_id, order_id + 1000000000 * epoch(period)) AS order_id FROM n GROUP BY ALL) a ON a.nation = m2.nation AND a.segment = m2.segment LEFT JOIN (" + _static("arg_max", key) + ") b ON b.nation = m2.nation AND b.segment = m2.segment"
+    nearest = "SELECT nation, segment, period AS at_period, price, order_id, 'nation + segment' AS basis FROM (SELECT x.nation, x.segment, x.period, h.price, h.order_id, row_number() OVER (PARTITION BY x.nation, x.segment, x.period ORDER BY abs(date_diff('day', h.period, x.period)), h.period, h.row_id DESC) AS r FROM g x JOIN h ON h.nation = x.nation AND h.segment = x.segment) WHERE r = 1"
+    new_pool = "SELECT m2.nation, m2.segment, coalesce(a.price, b.price) AS price, coalesce(a.order_id, b.order_id) AS order_id, b.basis FROM m m2 LEFT JOIN (SELECT nation, segment, arg_max(price, order_id + 100000000 * date_diff('day', DATE '1970-01-01', period)) AS price, arg_max(order_id, order_id + 100000000 * date_diff('day', DATE '1970-01-01', period)) AS order_id FROM n GROUP BY ALL) a ON a.nation = m2.nation AND a.segment = m2.segment LEFT JOIN (" + _static("arg_max", key) + ") b ON b.nation = m2.nation AND b.segment = m2.segment"
     by_segment = f"SELECT m2.nation, m2.segment, b.price, b.order_id, 'segment' AS basis FROM m m2 JOIN (SELECT segment, arg_max(price, {key}) AS price, arg_max(order_id, {key}) AS order_id FROM h GROUP BY ALL) b ON b.segment = m2.segment"
     seq = "row_number() OVER (PARTITION BY source ORDER BY grid_id)"
     numbered = _sql(_static("arg_max", key), more=", g.grid_id")
@@ -324,7 +324,7 @@ UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), col, rule, blocking, CAST(NULL A
         "grid_master_filter_in": filtered("g.segment IN ('BUILDING', 'MACHINERY')", "segment"),
         "grid_master_filter_gt": filtered("g.region > 2", "region"),
     }
-    lines = "(SELECT l_orderkey * 10 + l_linenumber AS k, *, CASE WHEN l_discount > 0.03 THEN l_quantity END AS v FROM lineitem)"
+    lines = "(SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS k, *, CASE WHEN l_discount > 0.03 THEN l_quantity END AS v FROM lineitem)"
     group = lambda v: f"SELECT l_partkey, l_returnflag, round({v}, 4) AS v, arg_max(l_linestatus, k) AS status, max(l_tax) AS tax FROM {lines} GROUP BY ALL"
     out |= {f"dedupe_{k}": group(v) for k, v in _DEDUPES.items()} | {"dedupe_overrides": group("min(v)")}
     for k, (_, sql) in FORMULAS.items():
