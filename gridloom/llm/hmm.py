@@ -1,6 +1,7 @@
 """Hidden Markov language model over words.
 
-Emission alphabet: the TOP commonest training words are symbols of their own; every
+Emission alphabet: the commonest training words (at most TOP, each at least a part in
+20 * TOP of all tokens, so no more than 20 * TOP words are ranked) are symbols of their own; every
 other word belongs to one of BUCKETS symbols by its first and last letters and is
 drawn within it by its count plus one. So P(word | state) = P(symbol | state) *
 P(word | symbol), the tables of the states have a fixed size, and counts of all words
@@ -35,7 +36,7 @@ from .common import column, discard, materialise, table, text_or_empty
 TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 4
 SYMBOLS = TOP + BUCKETS
 #: Tokens of a batch, and of the pieces in which a training pass goes through it.
-BATCH_TOKENS, SEGMENT, CHUNK = 2_000_000, 64, 1 << 18
+BATCH_TOKENS, SEGMENT, CHUNK = 5_000_000, 64, 1 << 18
 #: Weight of the overall symbol frequencies in each state's emissions.
 PRIOR = 50.0
 END = b""
@@ -233,7 +234,7 @@ def score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -
     words = coded.filter("word is not null").select("batch", "wid", "word", "c")
     counts = materialise(words.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "hmm-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP).collect()]
+    common = [(bytes(r["word"]), r["c"]) for r in counts.filter(F.col("c") * (20 * TOP) >= F.lit(total)).orderBy(F.desc("c"), "word").limit(TOP).collect()]
     top = {word: i for i, (word, _) in enumerate(common)}
     last_word, last_c = common[-1] if common else (b"", 0)
     is_top = (F.col("c") > last_c) | ((F.col("c") == last_c) & (F.col("word") <= F.lit(bytearray(last_word)))) if common else F.lit(False)
