@@ -3,11 +3,13 @@
 1. Each document becomes the set of its word 5-shingles (64-bit hashes), a MinHash
    signature and the keys of its bands. Documents of equal word sequences form one
    class and go on as its smallest doc_id.
-2. Classes that share a band are candidates. In a round, each bucket compares its
-   members with one pivot only, so a group of copies gives as many pairs as members;
-   members that the links so far have joined are never compared again. After the
-   pivot rounds, what is left in buckets with several components is compared in full,
-   so no candidate link between two components is lost.
+2. Classes that share a band are candidates. First each bucket compares its members
+   with one pivot, so a group of copies gives as many pairs as members. Buckets that
+   the links found leave in several components are then compared in full, inside tasks:
+   a bucket is dealt over tiles of at most TILE by TILE members, a tile skips what is
+   in one component already or met in an earlier band, and sends one link for each two
+   components that it joins. So no candidate link between components is lost, and no
+   pairs of a group are written out.
 3. A candidate's signatures are compared batch by batch. With a uniform prior on the
    similarity J, m matches of n give J a Beta(m + 1, n - m + 1) posterior; the pair is
    dropped once P(J >= threshold) falls under the chosen miss probability.
@@ -44,8 +46,8 @@ BANDS, ROWS = 24, 6
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the chance to drop a true link there.
 BATCH, MISS = 24, 1e-6
-#: Rounds in which large buckets compare with one pivot each, and what is large.
-PIVOT_ROUNDS, LARGE_BUCKET = 3, 24
+#: Members of a bucket on one side of a tile.
+TILE = 256
 SALTS = 16
 
 _rng = np.random.default_rng(20240501)
@@ -106,6 +108,10 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "cls", "n_shingles", "sig", "bands"])
 
 
+def _hashes(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_hashes(words_of(t)).tobytes() for t in texts])
+
+
 def _fold(rows: np.ndarray) -> np.ndarray:
     total = np.arange(len(rows), dtype=np.uint64)
     for j in range(rows.shape[1]):
@@ -126,20 +132,64 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def plausible(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sequential comparison of signatures: pairs that stay candidates to the end."""
-    a = np.frombuffer(b"".join(left), np.uint16).reshape(-1, HASHES)
-    b = np.frombuffer(b"".join(right), np.uint16).reshape(-1, HASHES)
+def _survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sequential comparison of signatures, row by row: indices that stay candidates."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for step, least in enumerate(least_matches(PERCENT / 100)):
         part = slice(step * BATCH, (step + 1) * BATCH)
         matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
         alive = alive[matches[alive] >= least]
+    return alive
+
+
+def plausible(left: pd.Series, right: pd.Series) -> pd.Series:
+    a = np.frombuffer(b"".join(left), np.uint16).reshape(-1, HASHES)
+    b = np.frombuffer(b"".join(right), np.uint16).reshape(-1, HASHES)
     out = np.zeros(len(a), bool)
-    out[alive] = True
+    out[_survivors(a, b)] = True
     return pd.Series(out)
 
 
+def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join components of a tile's members; exact on the sets of
+    shingle hashes."""
+    rows = rows.drop_duplicates("id").reset_index(drop=True)
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
+    bands = np.array(rows["bands"].tolist(), np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    size, ids = np.array([len(x) for x in sets]), rows["id"].to_numpy()
+    part, band = rows["part"].to_numpy(), int(rows["band"].iloc[0])
+    root = {x: x for x in rows["label"]}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    label, links = rows["label"].to_numpy(), []
+    two = rows["ti"].iloc[0] != rows["tj"].iloc[0]
+    for i in range(len(rows)):
+        other = np.arange(i + 1, len(rows))
+        tops = np.array([find(x) for x in label[i + 1 :]])
+        keep = tops != find(label[i])
+        if two:
+            keep &= part[i + 1 :] != part[i]
+        keep &= 100 * np.minimum(size[i], size[i + 1 :]) >= PERCENT * np.maximum(size[i], size[i + 1 :])
+        other = other[keep]
+        if band and len(other):
+            other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
+        if not len(other):
+            continue
+        for j in other[_survivors(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other])]:
+            if find(label[i]) == find(label[j]):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= PERCENT * (size[i] + size[j] - both):
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                root[find(label[i])] = find(label[j])
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
 def _shingle_set(text: str) -> set[bytes]:
     words = words_of(text)
     if len(words) < SHINGLE:
@@ -180,21 +230,54 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b), where an a may be in many pairs: those that are links."""
-    first = pairs.select("a").distinct().join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    sigs = salted_join(pairs.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"), first, ["a"], ["b"])
-    alive = materialise(sigs.filter(F.pandas_udf(plausible, "boolean")("sig_a", "sig_b")).select("a", "b"), "near-alive")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+def _texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of class representatives; rows that repeat a doc_id with other words
+    belong to another class and stay out."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").join(reps.select("id", "cls"), "id")
+    return texts.filter(F.pandas_udf(_class_of, "binary")("text") == F.col("cls")).select("id", "text").dropDuplicates(["id"])
+
+
+def _confirm(alive: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links on their full sets of words."""
     ids = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
-    # One text a doc_id: rows that repeat it belong to the class of one of them.
-    wanted = texts.join(ids, "id").join(reps.select("id", "cls"), "id").filter(F.pandas_udf(_class_of, "binary")("text") == F.col("cls")).select("id", "text").dropDuplicates(["id"])
-    wanted = materialise(wanted, "near-texts")
+    wanted = materialise(_texts_of(ids, reps, docs), "near-texts")
     right = alive.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     left = alive.select("a").distinct().join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = salted_join(right, left, ["a"], ["b"], salts=4)
     links = materialise(both.filter(F.pandas_udf(confirmed, "boolean")("text_a", "text_b")).select("a", "b"), "near-links")
-    discard(alive, wanted)
+    discard(wanted)
+    return links
+
+
+def _pivot_links(banded: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of each bucket's members with its smallest."""
+    heads = banded.groupBy("band", "key").agg(F.min("id").alias("a"))
+    pairs = salted_join(banded, heads, ["band", "key"], ["id"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    first = pairs.select("a").distinct().join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    sigs = salted_join(pairs.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"), first, ["a"], ["b"])
+    alive = materialise(sigs.filter(F.pandas_udf(plausible, "boolean")("sig_a", "sig_b")).select("a", "b"), "near-alive")
+    links = _confirm(alive, reps, docs)
+    discard(alive)
+    return links
+
+
+def _tile_links(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links within the buckets that still have several components."""
+    # Buckets of two were settled by their pivot.
+    labelled = banded.filter("size > 2").join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("label", F.coalesce("label", "id")).drop("_id")
+    several = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "key")
+    members = materialise(salted_join(labelled, several, ["band", "key"], ["id"]), "near-open")
+    ids = members.select("id").distinct()
+    texts = _texts_of(ids, reps, docs).select("id", F.pandas_udf(_hashes, "binary")("text").alias("shingles"))
+    sets = materialise(texts.join(reps.select("id", "sig", "bands"), "id"), "near-sets")
+    parts = F.ceil(F.col("size") / TILE)
+    placed = members.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts)})
+    tiled = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(
+        "id", "label", "band", "key", "part", F.least("part", "o").alias("ti"), F.greatest("part", "o").alias("tj")
+    )
+    alive = materialise(tiled.join(sets, "id").groupBy("band", "key", "ti", "tj").applyInPandas(_tile, "a bigint, b bigint").distinct(), "near-alive")
+    links = _confirm(alive, reps, docs)
+    discard(members, sets, alive)
     return links
 
 
@@ -219,30 +302,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     banded = materialise(salted_join(banded, buckets, ["band", "key"], ["id"]), "near-buckets")
 
-    links, labels, done = None, None, None
-    for step in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            open_rows = banded.withColumn("label", F.col("id"))
-        else:
-            labelled = banded.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("label", F.coalesce("label", "id")).drop("_id")
-            several = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "key")
-            # Buckets of two are settled by the first round.
-            open_rows = materialise(salted_join(labelled.filter("size > 2"), several, ["band", "key"], ["id"]), "near-open")
-        pivot = F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("id"), F.col("label").alias("label")) if step else F.struct(F.lit(0).alias("h"), F.col("id").alias("id"), F.col("label").alias("label")))
-        heads = open_rows.filter(F.lit(step == 0) | (F.col("size") > LARGE_BUCKET)).groupBy("band", "key").agg(pivot.alias("p")).select("band", "key", F.col("p.id").alias("a"), F.col("p.label").alias("label_a"))
-        # The last round compares all that is left; before it, small buckets do so at once.
-        rest = open_rows.filter("false") if step in (0,) else open_rows if step == PIVOT_ROUNDS else open_rows.filter(F.col("size") <= LARGE_BUCKET)
-        pairs = rest.select("band", "key", F.col("id").alias("a"), F.col("label").alias("label_a")).join(rest.select("band", "key", "id", "label"), ["band", "key"]).filter("a < id and label_a <> label").select("a", F.col("id").alias("b"))
-        if step < PIVOT_ROUNDS:
-            star = salted_join(open_rows, heads, ["band", "key"], ["id"]).filter("a <> id and label_a <> label").select("a", F.col("id").alias("b"))
-            pairs = star.unionByName(pairs)
-        pairs = materialise((pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")).distinct(), "near-pairs")
-        if pairs.isEmpty() and step:
-            break
-        found = _verify(pairs, reps, rows)
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    links = _pivot_links(banded, reps, rows)
+    labels = components(links)
+    more = _tile_links(banded, labels, reps, rows)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     blank = rows.filter("doc_id is null").mapInPandas(_sizes, "n_shingles bigint").select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
     return named.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
