@@ -9,10 +9,14 @@ id and class). The trees of a host's pages merge path by path:
   entropy of a text's occurrences over the pages, log(pages with it) / log(pages);
 - importance: (1 - GAMMA^l) * presentation + GAMMA^l * content, for l presentations.
 
-Branches below LEAST are removed from each page of the host. Elements that say what they
-are (nav, aside, form, a class such as `sidebar` or `comments`) are not content whatever
-their entropy; what an article or main element holds otherwise is. A host of fewer than
-MIN_PAGES pages has no estimate, and a page that would lose all its text keeps it.
+All blocks take part in the trees. A branch is noisy if it and all below it are below
+LEAST; blocks of noisy branches are removed from each page of the host. A branch whose
+pages all have the same text counts as one page. Elements that say what they are (nav,
+aside, form, a whole class token, id or role such as `sidebar` or `comments`) are a prior:
+they are no content unless they hold an article or main element or more than half of the
+page's text. An article is the page's main text unless such an element holds it with less
+than that. A host of fewer than MIN_PAGES pages has no estimate, and a page that would
+lose all its text to any of the steps keeps it.
 
 Counts are summed by host, path and text with partial aggregation, and pages of a hot
 host are dealt over salts when they meet their host's list of branches.
@@ -51,7 +55,6 @@ HEADERS = frozenset("header masthead topbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(id|class|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
 #: Elements whose start ends an open p, as in the HTML standard.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th"}
@@ -59,27 +62,47 @@ _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tab
 
 
 class _Node:
-    __slots__ = ("name", "path", "noise", "main", "children")
+    """marked: the element says that it is not content. holds: it is or holds a main or
+    article element. size: characters of text below it. settle() gives noise and main."""
+
+    __slots__ = ("name", "path", "parent", "marked", "own", "within", "holds", "size", "small", "noise", "main")
 
     def __init__(self, name: str, label: str, parent: "_Node | None", words: set[str]):
-        self.name, self.children = name, []
+        self.name, self.parent, self.size = name, parent, 0
         self.path = f"{parent.path}/{label}" if parent else label
-        self.main = name in MAIN or "main" in words or bool(parent and parent.main)
-        self.noise = bool(parent and parent.noise) or name in NOISE or bool(words & NOISE_WORDS) or (not self.main and (name == "header" or bool(words & HEADERS)))
+        self.own = name == "main" or "main" in words
+        self.holds = self.own or name in MAIN
+        self.within = self.holds or bool(parent and parent.within)
+        self.marked = name in NOISE or bool(words & NOISE_WORDS) or (not self.within and (name == "header" or bool(words & HEADERS)))
+
+
+def _settle(nodes: list[_Node]) -> None:
+    """nodes: parents before children."""
+    for node in reversed(nodes):
+        if node.parent:
+            node.parent.size += node.size
+            node.parent.holds |= node.holds
+    total = nodes[0].size
+    for node in nodes:
+        up = node.parent
+        little = node.marked and 2 * node.size <= total
+        node.noise = bool(up and up.noise) or (little and not node.holds)
+        node.small = bool(up and up.small) or little
+        node.main = bool(up and up.main) or node.own or (node.name == "article" and not node.small)
 
 
 def read_page(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[str]]]:
     """Blocks (path, text, noise, main) in page order; child labels by path."""
     root = _Node("html", "html", None, set())
-    stack, blocks, shapes, pending = [root], [], {}, []
+    nodes, stack, blocks, shapes, pending = [root], [root], [], {}, []
 
     def flush() -> None:
         if pending:
             text = " ".join(html_lib.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                node = stack[-1]
-                blocks.append((node.path, text, node.noise, node.main))
+                stack[-1].size += len(text)
+                blocks.append((stack[-1], text))
 
     def leave(names: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
         for at in range(len(stack) - 1, 0, -1):
@@ -120,7 +143,7 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, l
                 at = close.end() if close else end
             continue
         attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(tag[3])} if tag[3] else {}
-        words = {w for v in ("id", "class", "role") for w in _SPLIT.split(attributes.get(v, "")) if w}
+        words = {w for v in ("id", "class", "role") for w in attributes.get(v, "").split()}
         if name in INLINE and not words & NOISE_WORDS:
             continue
         if name in VOID:
@@ -136,13 +159,15 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, l
         label = name + "".join(f"#{attributes['id']}" if k == "id" else "." + ".".join(sorted(attributes["class"].split())) for k in ("id", "class") if attributes.get(k))
         parent = stack[-1]
         node = _Node(name, label, parent, words)
+        nodes.append(node)
         shape = shapes.setdefault(parent.path, [])
         if not shape or shape[-1] != label:
             shape.append(label)
         if not tag[0].endswith("/>"):
             stack.append(node)
     flush()
-    return blocks, shapes
+    _settle(nodes)
+    return [(node.path, text, node.noise, node.main) for node, text in blocks], shapes
 
 
 def _branches(path: str) -> Iterator[str]:
@@ -158,45 +183,55 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for host, page in zip(batch["host"], batch["html"]):
             blocks, shapes = read_page(page)
+            whole = xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks).encode("utf-8", "replace")) - (1 << 63)
             seen = set()
-            for path, text, noise, _ in blocks:
-                if not noise:
-                    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
-                    seen.update((p, 0, h) for p in _branches(path))
+            for path, text, *_ in blocks:
+                h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+                seen.update((p, 0, h) for p in _branches(path))
             used = {p for p, _, _ in seen}
             seen.update((p, 1, xxhash.xxh3_64_intdigest("\t".join(shapes.get(p, ())).encode("utf-8", "replace")) - (1 << 63)) for p in used)
-            out += [(host, *x) for x in seen]
-        yield pd.DataFrame(out, columns=["host", "path", "kind", "value"])
+            out += [(host, *x, whole) for x in seen]
+        yield pd.DataFrame(out, columns=["host", "path", "kind", "value", "whole"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """Rows (host, path, pages, presentation, content, importance) of the merged trees."""
-    rows = pages.filter("host is not null").select("host", "html").mapInPandas(_features, "host string, path string, kind int, value bigint")
-    counts = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    rows = pages.filter("host is not null").select("host", "html").mapInPandas(_features, "host string, path string, kind int, value bigint, whole bigint")
+    counts = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
     nodes = counts.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("pages"),
         F.count_if(F.col("kind") == 1).alias("l"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log(F.col("n").cast("double")))).alias("nlogn"),
         F.avg(F.when(F.col("kind") == 0, F.log(F.col("n").cast("double")))).alias("logdf"),
+        (F.min("least") == F.max("most")).alias("same"),
     )
     log_m = F.log(F.col("pages").cast("double"))
-    single = F.col("pages") < 2
+    single = (F.col("pages") < 2) | F.col("same")
     presentation = F.when(single, F.lit(1.0)).otherwise(1 - F.try_divide(F.col("nlogn"), F.col("pages") * log_m))
     content = F.when(single, F.lit(1.0)).otherwise(1 - F.coalesce(F.try_divide(F.col("logdf"), log_m), F.lit(0.0)))
     weight = F.pow(F.lit(GAMMA), F.col("l"))
     return nodes.select("host", "path", "pages", presentation.alias("presentation"), content.alias("content"), ((1 - weight) * presentation + weight * content).alias("importance"))
 
 
+def noisy(pages: DataFrame) -> DataFrame:
+    """Rows (host, path) of the noisy branches of hosts with enough pages."""
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    best = importance(pages).select("host", F.explode(above).alias("path"), "importance").groupBy("host", "path").agg(F.max("importance").alias("best"))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    return best.filter(F.col("best") < LEAST).join(hosts, "host", "left_semi").select("host", "path")
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = []
         for page, low in zip(batch["html"], batch["low"]):
             low = set(low) if low is not None else set()
-            blocks = [b for b in read_page(page)[0] if not b[2]]
+            blocks = read_page(page)[0]
             # A page that has an article or main element keeps to it.
-            if any(main for *_, main in blocks):
-                blocks = [b for b in blocks if b[3]]
-            blocks = [b for b in blocks if low.isdisjoint(_branches(b[0]))] or blocks
+            blocks = [b for b in blocks if b[3]] or blocks
+            blocks = [b for b in blocks if not b[2]] or blocks
+            blocks = [b for b in blocks if b[0] not in low] or blocks
             texts.append("\n".join(b[1] for b in blocks))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
@@ -205,8 +240,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     url = column(pages, "url", "string")
     rows = pages.select(column(pages, "page_id", "bigint").cast("string").alias("page_id"), url.alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"))
-    low = importance(rows).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST))
-    lists = materialise(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")), "site-trees")
+    lists = materialise(noisy(rows).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")), "site-trees")
     joined = salted_join(rows, lists, ["host"], ["page_id", "url"], "left", SALTS)
     out = joined.select("page_id", "url", "html", "low").mapInPandas(_extract, "page_id string, url string, text string, n_chars bigint")
     return out.withColumn("page_id", F.col("page_id").cast("bigint"))

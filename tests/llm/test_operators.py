@@ -237,6 +237,28 @@ def test_extraction(spark):
     assert got[50]["text"] == "" and got[51]["text"] == "plain < 3 <b> text" and all(r["n_chars"] == len(r["text"]) for r in got.values()) and len(got) == len(rows)
 
 
+def test_extraction_keeps_marked_wrappers(spark):
+    story = "<p>Story number {n} is told here at some length</p><p>and it has {n} lines more</p>"
+    pages = {
+        "http://w.org/1": f'<div id="page" class="sidebar has-sidebar"><p>Top</p>{story}</div>',
+        "http://w.org/2": f'<div class="widget"><nav>Menu</nav><article class="post social">{story}</article></div>',
+        "http://w.org/3": '<div class="notice"><p>All that there is</p></div><form>Send</form>',
+        "http://w.org/4": f'<form>{story}</form><div class="sidebar">Side</div>',
+        "http://w.org/5": f'<div>{story}</div><ol class="comments"><li><article>nice</article></ol>',
+        "http://w.org/6": '<nav>Menu</nav>',
+    }
+    rows = [(i, url, page.format(n=i)) for i, (url, page) in enumerate(pages.items(), 1)]
+    # A section's own box on few pages of a host with enough; one story under two addresses.
+    box = '<div class="box"><p>See also our town guide</p></div>'
+    rows += [(20 + i, f"http://t.org/{i}", f'<div class="body" id="b{i // 2}">{story}</div>{box if i < 8 else ""}'.format(n=i // 2)) for i in range(12)]
+    rows += [(40 + i, f"http://m.org/{i}", f'<div id="all"><ul>{"".join(f"<li>Link {k}" for k in range(40))}</ul><div>{story}</div>{"<h6>Few pages have it</h6>" if i < 4 else ""}</div>'.format(n=i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = lambda n: f"Story number {n} is told here at some length\nand it has {n} lines more"
+    assert [got[i] for i in range(1, 7)] == ["Top\n" + told(1), told(2), "All that there is", told(4), told(5) + "\nnice", "Menu"]
+    assert all(got[20 + i] == told(i // 2) for i in range(12))
+    assert all(got[40 + i] == told(i) for i in range(9))
+
+
 def test_secrets(spark):
     texts = ["password = 'abcdefgh1' and token:short api-key x", "AKIA" + "B" * 12 + " " + "a1b2c3d4" * 4, "é" * 3 + "Api_Key: Zq9" + "x" * 9 + " https://host.example.org/path", "see https://clean.example.org", "client_id=web01 " + "Ab1" * 9, "Ab1" * 9 + " alone", "client_id=web01" + " y" * 400 + " " + "Ab1" * 9, None, ""]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
