@@ -4,7 +4,8 @@ Base patterns are reported wherever they match. Weak candidates (a client or use
 identifier, a bare key, a service endpoint) are common in clean text, so each is
 reported only if a complementary part lies within SCOPE code points in the same
 text: an identifier or endpoint needs a secret, a bare key needs an identifier or
-an endpoint. Base matches count as parts too.
+an endpoint. Base matches count as parts too. A bare key is a whole run of at least 20
+of its characters that holds a digit, an upper and a lower case letter, in any order.
 
 Offsets: the pieces between a pattern's matches and the matches themselves come in
 the same order, so running sums of their lengths place every match. The co-occurrence
@@ -32,7 +33,7 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
     "id": (r"""(?i)\b(client_?id|access_?key_?id|account_?id|username|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
-    "key": (r"\b[A-Za-z+/_]{0,24}[0-9][A-Za-z0-9+/_-]{15,}", 0, 20),
+    "key": (r"[A-Za-z0-9+/_-]{20,}", 0, 20),
     "endpoint": (r"""(?i)\b(https?|s3|ftp|sftp|postgres(ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 }
 BASE = ("assign", "access", "hex")
@@ -52,7 +53,7 @@ def _matches(text: Column, kind: str) -> Column:
         part = F.regexp_extract(m, pattern, group) if group else m
         good = F.char_length(part) >= least
         if kind == "key":
-            good = good & m.rlike("[A-Z]") & m.rlike("[a-z]")
+            good = good & m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
         return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.lit(0).alias("gap"), F.char_length(m).alias("n"), good.alias("good"))
 
     empty = F.array().cast("array<struct<kind:string,i:int,gap:int,n:int,good:boolean>>")

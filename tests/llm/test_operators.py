@@ -276,6 +276,19 @@ def test_secrets(spark):
         assert got[i][0]["base_sha256"] == hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
 
 
+def test_bare_keys_are_whole_runs(spark):
+    rng = random.Random(5)
+    keys = ["kXvTqRbNmWzLpQsDfGhJ4a7C", "Kx-" * 9 + "1", "/kXvTqRbNmWzLpQsDfGhJ4a7C", "z" * 60 + "B9"]
+    while len(keys) < 60:
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_") for _ in range(rng.choice([20, 24, 32, 40])))
+        keys += [key] * all(re.search(p, key) for p in ("[A-Z]", "[a-z]", "[0-9]"))
+    odd = ["kXvTqRbNmWzLpQsDfGhJ", "KXVT1" * 5, "kxvt1" * 5, "kXvTqRbNmWzLpQsDfG1"]
+    rows = [(i, f"client_id=web01 {k} end") for i, k in enumerate(keys + odd)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(keys))] == [f"id:0:15,key:16:{16 + len(k)}" for k in keys]
+    assert all(got[i] == "" for i in range(len(keys), len(rows)))
+
+
 def test_mix(docs, rows, spark):
     got = mixing.mix(docs.drop("size")).collect()
     sizes = collections.Counter()
