@@ -5,9 +5,9 @@ Emission alphabet: the commonest training words (at most TOP, each at least a pa
 other word belongs to one of BUCKETS symbols by its first and last letters and is
 drawn within it by its count plus one. So P(word | state) = P(symbol | state) *
 P(word | symbol), the tables of the states have a fixed size, and counts of all words
-take part. Baum-Welch: tasks run scaled forward-backward passes over the whole training
+take part. Baum-Welch: tasks run scaled forward-backward passes over each whole training
 text and send expected counts by symbol and state, which are summed by symbol; the
-sums give the next model. Scores come from the exact scaled forward recursion over
+sums give the next model, until the likelihood gains less than TOLERANCE. Scores come from the exact scaled forward recursion over
 each whole text.
 
 Words meet their counts by batch: a task codes its texts in a batch's own word numbers
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import column, discard, materialise, table, text_or_empty
 
-TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 4
+TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 100
+#: Training ends when the log likelihood gains less than this share, or at ITERATIONS.
+TOLERANCE = 1e-3
 SYMBOLS = TOP + BUCKETS
 #: Tokens of a batch, and of the pieces in which a training pass goes through it.
 BATCH_TOKENS, SEGMENT, CHUNK = 5_000_000, 64, 1 << 18
@@ -123,40 +125,78 @@ class Model:
         emit = prior[:, None] * noise
         return Model(np.full(states, 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), emit / emit.sum(axis=0))
 
-    def expected(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of (symbol, state), moves and starts. symbols: texts one
-        after another; fresh: true at the first token of each. Passes run over all
-        segments at once; a segment inside a text starts from the even distribution."""
-        k, even = len(self.start), np.full(len(self.start), 1 / len(self.start))
-        rows = -(-len(symbols) // SEGMENT)
-        pad = rows * SEGMENT - len(symbols)
-        grid = np.concatenate([symbols, np.zeros(pad, symbols.dtype)]).reshape(rows, SEGMENT).T
-        first = np.concatenate([fresh, np.ones(pad, bool)]).reshape(rows, SEGMENT).T
-        real = np.concatenate([np.ones(len(symbols)), np.zeros(pad)]).reshape(rows, SEGMENT).T
-        emit, moves, start = self.emit.astype(np.float32), self.moves.astype(np.float32), self.start.astype(np.float32)
+    def expected(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of (symbol, state), moves and starts, and the log likelihood.
+        symbols: texts one after another; fresh: true at the first token of each.
+
+        Each text is padded to whole segments and passes run over all segments at once.
+        The product of a segment's steps carries the forward message into the next
+        segment of its text and the backward message into the one before, so the
+        counts are those of the whole text."""
+        k, starts = len(self.start), np.flatnonzero(fresh)
+        lengths = np.diff(np.append(starts, len(symbols)))
+        parts = -(-lengths // SEGMENT)
+        top = np.cumsum(parts) - parts
+        rows = int(parts.sum())
+        at = np.arange(len(symbols)) + np.repeat(top * SEGMENT - starts, lengths)
+        # Padding emits with certainty, so it leaves the backward message as it is.
+        pad = len(self.emit)
+        grid = np.full(rows * SEGMENT, pad)
+        grid[at] = symbols
+        grid = grid.reshape(rows, SEGMENT).T
+        emit, moves = np.vstack([self.emit, np.ones((1, k))]).astype(np.float32), self.moves.astype(np.float32)
+        into, out = self._carried(grid, top, parts, emit, moves)
         alpha, scale = np.empty((SEGMENT, rows, k), np.float32), np.empty((SEGMENT, rows, 1), np.float32)
-        before = np.broadcast_to(even.astype(np.float32), (rows, k))
+        now = into
         for t in range(SEGMENT):
-            now = before.copy()
-            now[first[t]] = start
-            now *= emit[grid[t]]
+            now = now * emit[grid[t]]
             scale[t] = np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
             alpha[t] = now / scale[t]
-            before = alpha[t] @ moves
-        beta, moved = np.ones((rows, k), np.float32), np.zeros((k, k))
+            now = alpha[t] @ moves
+        last, moved = alpha[-1].copy(), np.zeros((k, k))
+        beta = out / np.maximum((last * out).sum(axis=1, keepdims=True), 1e-30)
         for t in range(SEGMENT - 1, -1, -1):
             gamma = alpha[t] * beta
+            ahead = emit[grid[t]] * beta / scale[t]
             if t:
-                ahead = emit[grid[t]] * beta / scale[t]
-                ahead[first[t]] = 0
-                ahead *= real[t][:, None].astype(np.float32)
-                moved += (alpha[t - 1].T @ ahead).astype(np.float64) * self.moves
                 beta = ahead @ moves.T
-                beta[first[t] | (real[t] == 0)] = 1
+            ahead[grid[t] == pad] = 0
+            if t:
+                moved += (alpha[t - 1].T @ ahead).astype(np.float64) * self.moves
+            else:
+                ahead[top] = 0
+                moved += (last[:-1].T @ ahead[1:]).astype(np.float64) * self.moves
             alpha[t] = gamma
-        flat = alpha.transpose(1, 0, 2).reshape(-1, k)[: len(symbols)]
+        flat = alpha.transpose(1, 0, 2).reshape(-1, k)[at]
         counts = np.stack([np.bincount(symbols, weights=flat[:, j], minlength=SYMBOLS) for j in range(k)], axis=1)
-        return counts, moved, flat[fresh].sum(axis=0, dtype=np.float64)
+        likelihood = np.log(scale[:, :, 0].T.reshape(-1)[at], dtype=np.float64).sum()
+        return counts, moved, flat[starts].sum(axis=0, dtype=np.float64), float(likelihood)
+
+    def _carried(self, grid: np.ndarray, top: np.ndarray, parts: np.ndarray, emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per segment: the distribution of states before it, and the backward message
+        at its end. top: the first segment of each text; parts: their number."""
+        k, rows = len(self.start), grid.shape[1]
+        into, out = np.tile(self.start.astype(np.float32), (rows, 1)), np.ones((rows, k), np.float32)
+        long = np.repeat(parts > 1, parts)
+        number = np.cumsum(long) - 1
+        part = grid[:, long]
+        steps = np.tile(np.eye(k, dtype=np.float32), (part.shape[1], 1, 1))
+        for t in range(SEGMENT):
+            steps *= emit[part[t]][:, None, :]
+            steps = (steps.reshape(-1, k) @ moves).reshape(-1, k, k)
+            steps /= np.maximum(steps.max(axis=(1, 2), keepdims=True), 1e-30)
+        for j in range(1, int(parts.max())):
+            row = top[parts > j] + j
+            carried = np.einsum("rk,rkl->rl", into[row - 1], steps[number[row - 1]])
+            into[row] = carried / np.maximum(carried.sum(axis=1, keepdims=True), 1e-30)
+        first = np.ones((rows + 1, k), np.float32)
+        for j in range(int(parts.max()) - 1, 0, -1):
+            row = top[parts > j] + j
+            follows = np.where((row - j + parts[parts > j] - 1 > row)[:, None], first[row + 1], np.float32(1))
+            carried = np.einsum("rkl,rl->rk", steps[number[row]], follows)
+            first[row] = carried / np.maximum(carried.max(axis=1, keepdims=True), 1e-30)
+            out[row - 1] = first[row] @ moves.T
+        return into, out
 
     def log10_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """Exact scaled forward recursion, over all texts side by side."""
@@ -180,15 +220,15 @@ class Model:
 def _expectation(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(model.start)
-        counts, moved, starts = np.zeros((SYMBOLS, k)), np.zeros((k, k)), np.zeros(k)
+        counts, moved, starts, likelihood = np.zeros((SYMBOLS, k)), np.zeros((k, k)), np.zeros(k), 0.0
         held, size = [], 0
 
         def add() -> None:
-            nonlocal counts, moved, starts, held, size
+            nonlocal counts, moved, starts, likelihood, held, size
             fresh = np.zeros(size, bool)
             fresh[np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]])] = True
             got = model.expected(np.concatenate(held), fresh)
-            counts, moved, starts, held, size = counts + got[0], moved + got[1], starts + got[2], [], 0
+            counts, moved, starts, likelihood, held, size = counts + got[0], moved + got[1], starts + got[2], likelihood + got[3], [], 0
 
         for batch in batches:
             for raw in batch["symbols"]:
@@ -200,8 +240,8 @@ def _expectation(model: Model):
         if held:
             add()
         used = np.flatnonzero(counts.any(axis=1))
-        values = np.concatenate([counts[used], moved, starts[None]])
-        symbol = np.concatenate([used, np.arange(SYMBOLS, SYMBOLS + k + 1)])
+        values = np.concatenate([counts[used], moved, starts[None], np.full((1, k), likelihood)])
+        symbol = np.concatenate([used, np.arange(SYMBOLS, SYMBOLS + k + 2)])
         yield pd.DataFrame({"symbol": symbol} | {f"s{j}": values[:, j] for j in range(k)})
 
     return run
@@ -213,15 +253,19 @@ def train(texts: DataFrame, prior: np.ndarray, states: int = STATES, iterations:
     model = Model.first(prior, states)
     names = [f"s{j}" for j in range(states)]
     schema = "symbol bigint, " + ", ".join(f"{c} double" for c in names)
+    reached = None
     for _ in range(iterations):
         sums = texts.select("symbols").mapInPandas(_expectation(model), schema).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
         if sums.empty:
             break
-        counts = np.zeros((SYMBOLS + states + 1, states))
+        counts = np.zeros((SYMBOLS + states + 2, states))
         counts[sums["symbol"].to_numpy()] = sums[names].to_numpy()
         emit = counts[:SYMBOLS] + PRIOR * prior[:, None]
-        moves, start = counts[SYMBOLS:-1] + 0.1, counts[-1] + 0.1
+        moves, start, likelihood = counts[SYMBOLS:-2] + 0.1, counts[-2] + 0.1, counts[-1, 0]
         model = Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        if reached is not None and likelihood - reached < TOLERANCE * abs(reached):
+            break
+        reached = likelihood
     return model
 
 

@@ -184,6 +184,29 @@ def test_forward_is_the_sum_over_paths():
         assert got == pytest.approx(math.log10(total))
 
 
+def test_expected_counts_are_the_sums_over_paths(monkeypatch):
+    from itertools import product
+
+    monkeypatch.setattr(hmm, "SEGMENT", 2)
+    rng = np.random.default_rng(1)
+    m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    texts = [rng.integers(0, 5, n) for n in (1, 7, 2, 3, 6)]
+    counts, moved, starts, likelihood = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3), 0.0
+    for text in texts:
+        paths = list(product(range(3), repeat=len(text)))
+        weights = np.array([m.start[p[0]] * np.prod([m.moves[a, b] for a, b in zip(p, p[1:])]) * np.prod([m.emit[s, k] for s, k in zip(text, p)]) for p in paths])
+        likelihood += np.log(weights.sum())
+        for p, w in zip(paths, weights / weights.sum()):
+            starts[p[0]] += w
+            for s, k in zip(text, p):
+                counts[s, k] += w
+            for a, b in zip(p, p[1:]):
+                moved[a, b] += w
+    got = m.expected(np.concatenate(texts), np.concatenate([np.arange(len(t)) == 0 for t in texts]))
+    assert np.allclose(got[0][:5], counts, atol=1e-4) and np.allclose(got[1], moved, atol=1e-4)
+    assert np.allclose(got[2], starts, atol=1e-4) and got[3] == pytest.approx(likelihood, rel=1e-5)
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for i, t, *_ in rows:
