@@ -357,6 +357,18 @@ def test_warc_round_trip(spark):
     assert all(r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest() for r in back)
 
 
+def test_warc_text_decodes_all_references(spark):
+    import html
+
+    texts = ["&eacute;t&eacute; &mdash; &hellip; it&#8217;s &#x2014; &apos;a&#039; &lt;b&gt; &amp;lt; &copy; &middot; &quot;", "a&nbsp;b&#160;&#xA0;c\u00a0d &unknown; & &#0; x&#10;&#10;y", "&amp;#39; &NotEqualTilde; &#128512;"]
+    rows = [(i, "u", f"<p>{t}</p>") for i, t in enumerate(texts)]
+    made = warc_derivatives.derive(warc_derivatives.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    got = {r["page_id"]: r["block"] for r in made if r["record_type"] == "conversion"}
+    assert got == {0: html.unescape(texts[0]), 1: "a b c\u00a0d &unknown; & \ufffd x\ny", 2: html.unescape(texts[2])}
+    facts = {r["page_id"]: r["block"] for r in made if r["record_type"] == "metadata"}
+    assert all(f"characters: {len(got[i])}\r\n" in facts[i] and hashlib.sha256(got[i].encode()).hexdigest() in facts[i] for i in got)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
