@@ -1,8 +1,11 @@
 """Donor rows for gaps, by a chain of key sets from the strictest to the loosest.
 
-For each level one donor a key is found first (a single aggregation), then joined; the
-first level that has one wins with its whole row. previous and nearest look along the
-dates: gaps and donors of a key are ordered together in one window.
+The first level that has a donor wins with its whole row. A donor by keys alone (last,
+first, random) does not depend on the date, so it is joined to the combinations, before
+these meet the dates. previous and nearest depend on keys and date: the pool is reduced
+to one row a key and date, and a window a key runs over its distinct dates and those of
+the grid; its length is bounded by the calendar, whatever the number of rows. Each level
+adds one aggregation and one join, and levels share the pool's first aggregation.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window
 from .grid import kinds, match_keys
 
 STRATEGIES = ("last", "first", "random", "previous", "nearest")
+DATED = ("previous", "nearest")
 
 
 def default_chain(dims: list[dict], side: str = "hist") -> list[list[dict]]:
@@ -22,63 +26,92 @@ def default_chain(dims: list[dict], side: str = "hist") -> list[list[dict]]:
     return [pairs[i:] for i in range(len(pairs))]
 
 
-def static_donors(pool: DataFrame, keys: list[str], carry: list[str], strategy: str, seed: int = 42) -> DataFrame:
-    """One donor struct by key. Undated rows are before all dates."""
-    row = F.struct(*[F.col(f"`{c}`") for c in carry])
-    order = F.struct("__date", "__row_id")
-    pick = F.min_by(row, order) if strategy == "first" else F.min_by(row, F.xxhash64("__row_id", F.lit(seed))) if strategy == "random" else F.max_by(row, order)
-    return pool.groupBy(*keys).agg(pick.alias("d"))
+def label(level: list[dict]) -> str:
+    return " + ".join(pair["grid"] for pair in level)
 
 
-def asof_donors(gaps: DataFrame, pool: DataFrame, keys: list[str], carry: list[str], strategy: str) -> DataFrame:
-    """(__grid_id, d): the dated donor at or before each gap's date, or the nearest one
-    (of two equally near, the earlier)."""
-    row = F.struct(F.col("__date").alias("at"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
-    donors = pool.filter("__date is not null").select(*keys, "__date", F.lit(0).alias("side"), F.col("__row_id").alias("n"), F.lit(None).cast("bigint").alias("__grid_id"), row.alias("d"))
-    wanted = gaps.select(*keys, "__date", F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("n"), "__grid_id", F.lit(None).alias("d"))
-    both = donors.unionByName(wanted)
-    ahead = Window.partitionBy(*keys).orderBy("__date", "side", "n")
-    back = F.last("d", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
-    if strategy == "previous":
-        return both.withColumn("b", back).filter("side = 1").select("__grid_id", F.col("b.row").alias("d"))
-    # Of the donors on the next date the last row is meant, so rows of a date are read backwards.
-    later = Window.partitionBy(*keys).orderBy("__date", F.desc("side"), F.desc("n")).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumns({"b": back, "f": F.first("d", ignorenulls=True).over(later)}).filter("side = 1")
-    near = F.when(F.col("f").isNull() | (F.datediff("__date", F.col("b.at")) <= F.datediff(F.col("f.at"), F.col("__date"))), F.col("b.row")).otherwise(F.col("f.row"))
-    return found.select("__grid_id", F.when(F.col("b").isNull(), F.col("f.row")).otherwise(near).alias("d"))
+class Search:
+    """The search in one pool. cells need __k<i> for the i-th of dims; dated() needs
+    __date too. settle() turns the columns of the levels into the struct name and
+    <name>_level. A level whose columns are missing is skipped."""
 
+    def __init__(self, pool: DataFrame, chain: list[list[dict]], side: str, carry: list[str], strategy: str, dims: list[str], name: str, strict_previous: bool = False, seed: int = 42):
+        known = kinds(pool)
+        self.levels = [v for v in chain if v and all(p["grid"] in dims and p[side] in known for p in v)]
+        self.side, self.carry, self.strategy, self.dims, self.name, self.seed = side, carry, strategy, dims, name, seed
+        self.schema = pool.schema
+        self.columns = list(dict.fromkeys(p[side] for v in self.levels for p in v))
+        self.static_levels = [] if strategy in DATED and strict_previous else self.levels
+        self.pool = match_keys(pool, self.columns, "__m").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in carry])) if self.levels else pool
 
-def label(level: list[dict]) -> str:
-    return " + ".join(pair["grid"] for pair in level)
+    def _keys(self, level: list[dict]) -> list[tuple[str, str]]:
+        """Pairs of a cell's and a pool row's key column."""
+        return [(f"__k{self.dims.index(p['grid'])}", f"__m{self.columns.index(p[self.side])}") for p in level]
+
+    def _best(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """One row a key by the strategy; undated rows are before all dates."""
+        least = self.strategy in ("first", "random")
+        pick = F.min_by if least else F.max_by
+        return rows.groupBy(*keys).agg(pick("__row", "__rank").alias("__row"), (F.min if least else F.max)("__rank").alias("__rank"))
+
+    def static(self, cells: DataFrame) -> DataFrame:
+        if not self.static_levels:
+            return cells
+        rank = F.struct(F.xxhash64("__row_id", F.lit(self.seed)).alias("a"), F.col("__row_id").alias("b")) if self.strategy == "random" else F.struct(F.col("__date").alias("a"), F.col("__row_id").alias("b"))
+        reduced = self._best(self.pool.withColumn("__rank", rank), [f"__m{i}" for i in range(len(self.columns))])
+        for depth, level in enumerate(self.levels):
+            keys = self._keys(level)
+            found = self._best(reduced, list(dict.fromkeys(m for _, m in keys))).select(*[F.col(m).alias(k) for k, m in keys], F.col("__row").alias(f"__{self.name}{depth}s"))
+            cells = cells.join(found, [k for k, _ in keys], "left")
+        return cells
+
+    def dated(self, cells: DataFrame, wanted: DataFrame) -> DataFrame:
+        """wanted: the keys and dates that may be asked for; it may hold more than cells."""
+        if self.strategy not in DATED:
+            return cells
+        reduced = self.pool.filter("__date is not null").groupBy(*[f"__m{i}" for i in range(len(self.columns))], "__date").agg(F.max_by("__row", "__row_id").alias("__row"), F.max("__row_id").alias("__row_id"))
+        for depth, level in enumerate(self.levels):
+            keys = self._keys(level)
+            names = [k for k, _ in keys]
+            donors = reduced.groupBy(*[F.col(m).alias(k) for k, m in keys], "__date").agg(F.max_by("__row", "__row_id").alias("row"))
+            found = asof(donors, wanted.select(*names, "__date").distinct(), names, self.strategy).withColumnRenamed("d", f"__{self.name}{depth}a")
+            cells = cells.join(found, [*names, "__date"], "left")
+        return cells
+
+    def settle(self, cells: DataFrame, wanted: Column | None = None) -> DataFrame:
+        """wanted: the rows that take a donor; others get none."""
+        donors: list[Column] = []
+        for depth in range(len(self.levels)):
+            slots = [f"__{self.name}{depth}{s}" for s in "as" if f"__{self.name}{depth}{s}" in cells.columns]
+            if slots:
+                donors.append(F.coalesce(*[F.col(s) for s in slots]))
+        wanted = F.lit(True) if wanted is None else wanted
+        if donors:
+            row = F.when(wanted, F.coalesce(*donors))
+            level = F.when(wanted, F.coalesce(*[F.when(d.isNotNull(), F.lit(label(v))) for d, v in zip(donors, self.levels)]))
+        else:
+            empty = "struct<" + ",".join(f"`{c}`:{self.schema[c].dataType.simpleString()}" for c in self.carry) + ">"
+            row, level = F.lit(None).cast(empty), F.lit(None).cast("string")
+        out = cells.withColumns({self.name: row, f"{self.name}_level": level})
+        return out.drop(*[f"__{self.name}{i}{s}" for i in range(len(self.levels)) for s in "as"])
+
+
+def asof(donors: DataFrame, wanted: DataFrame, keys: list[str], strategy: str) -> DataFrame:
+    """(keys, __date, d): the donor at or before each wanted date, or the nearest one (of
+    two equally near, the earlier). donors: one row a key and date; wanted: distinct."""
+    row = F.struct(F.col("__date").alias("at"), F.col("row"))
+    both = donors.select(*keys, "__date", F.lit(0).alias("side"), row.alias("d")).unionByName(wanted.select(*keys, "__date", F.lit(1).alias("side"), F.lit(None).alias("d")))
+    seen = lambda order: F.last("d", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, "side").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("b", seen(F.asc("__date")))
+    if strategy == "previous":
+        return both.filter("side = 1").select(*keys, "__date", F.col("b.row").alias("d"))
+    found = both.withColumn("f", seen(F.desc("__date"))).filter("side = 1")
+    before = F.col("f").isNull() | (F.datediff("__date", F.col("b.at")) <= F.datediff(F.col("f.at"), F.col("__date")))
+    return found.select(*keys, "__date", F.when(F.col("b").isNotNull() & before, F.col("b.row")).otherwise(F.col("f.row")).alias("d"))
 
 
 def pick(gaps: DataFrame, pool: DataFrame, chain: list[list[dict]], side: str, carry: list[str], strategy: str = "last", dims: list[str] | None = None, as_name: str = "donor", strict_previous: bool = False) -> DataFrame:
     """Adds the struct as_name and <as_name>_level to gaps (which have __k* keys of dims
-    in order, __date, __grid_id). A level whose columns are missing is skipped."""
-    dims = dims or []
-    pool_kinds = kinds(pool)
-    out, donors, levels = gaps, [], []
-    for depth, level in enumerate(chain):
-        if not level or any(p["grid"] not in dims or p[side] not in pool_kinds for p in level):
-            continue
-        keys = [f"__m{i}" for i in range(len(level))]
-        rows = match_keys(pool, [p[side] for p in level], "__m")
-        cells = {k: F.col(f"__k{dims.index(p['grid'])}") for k, p in zip(keys, level)}
-        name = f"__{as_name}{depth}"
-        found: list[Column] = []
-        if strategy in ("previous", "nearest"):
-            wanted = out.withColumns(cells)
-            dated = asof_donors(wanted, rows, keys, carry, strategy).withColumnRenamed("d", f"{name}a")
-            out = out.join(dated, "__grid_id", "left")
-            found.append(F.col(f"{name}a"))
-        if strategy not in ("previous", "nearest") or not strict_previous:
-            static = static_donors(rows, keys, carry, strategy).withColumnRenamed("d", f"{name}s")
-            out = out.withColumns(cells).join(static, keys, "left").drop(*keys)
-            found.append(F.col(f"{name}s"))
-        donors.append(F.coalesce(*found))
-        levels.append(F.when(F.coalesce(*found).isNotNull(), F.lit(label(level))))
-    if not donors:
-        empty = "struct<" + ",".join(f"`{c}`:{pool.schema[c].dataType.simpleString()}" for c in carry) + ">"
-        return out.withColumns({as_name: F.lit(None).cast(empty), f"{as_name}_level": F.lit(None).cast("string")})
-    out = out.withColumns({as_name: F.coalesce(*donors), f"{as_name}_level": F.coalesce(*levels)})
-    return out.drop(*[c for c in out.columns if c.startswith(f"__{as_name}")])
+    in order, and __date)."""
+    search = Search(pool, chain, side, carry, strategy, dims or [], as_name, strict_previous)
+    return search.settle(search.dated(search.static(gaps), gaps))

@@ -50,6 +50,16 @@ def dates(spark: SparkSession, new: DataFrame, mode: str = "from_new", explicit:
     return axis.withColumn("__date_ix", F.row_number().over(Window.orderBy("__date")) - 1)
 
 
+def ordinals(df: DataFrame, by: str, name: str, block: int = 65536) -> DataFrame:
+    """Numbers rows 0, 1, ... in the order of an integer column: counts by range of its
+    values give each range its offset, so only counts meet in one task."""
+    at = F.floor(F.col(by) / block)
+    counts = df.groupBy(at.alias("__block")).agg(F.count("*").alias("__n"))
+    offsets = counts.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy(by))
+    return df.withColumn("__block", at).join(offsets, "__block").withColumn(name, F.col("__before") + rank - 1).drop("__block", "__before")
+
+
 def combinations(master: DataFrame, dims: list[str], carry: list[str]) -> DataFrame:
     """A row for each combination of normalised labels: key columns __k0.., the ordinal,
     and the struct master of the first such row, so no join is needed later."""
@@ -57,7 +67,7 @@ def combinations(master: DataFrame, dims: list[str], carry: list[str]) -> DataFr
     keyed = master.filter(reduce(Column.__or__, [F.col(f"`{d}`").isNotNull() for d in dims])).withColumns({f"__k{i}": key(F.col(f"`{d}`"), by[d]) for i, d in enumerate(dims)})
     keys = [f"__k{i}" for i in range(len(dims))]
     first = keyed.groupBy(*keys).agg(F.min("__row_id").alias("__row_id"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in carry]), "__row_id").alias("master"))
-    return first.withColumn("__combo_ix", F.row_number().over(Window.orderBy("__row_id")) - 1).drop("__row_id")
+    return ordinals(first, "__row_id", "__combo_ix").drop("__row_id")
 
 
 def grid(combos: DataFrame, axis: DataFrame) -> DataFrame:
@@ -67,6 +77,13 @@ def grid(combos: DataFrame, axis: DataFrame) -> DataFrame:
     return rows.withColumn("__grid_id", (F.col("__combo_ix").cast("bigint") * F.col("__n") + F.col("__date_ix"))).drop("__n", "__combo_ix", "__date_ix")
 
 
+def stats(new: DataFrame, combos: DataFrame, axis: DataFrame) -> DataFrame:
+    """One row: combinations, dates, expected_rows, new_rows."""
+    n, d = combos.agg(F.count("*").alias("combinations")), axis.agg(F.count("*").alias("dates"))
+    expected = F.col("combinations") * F.greatest(F.col("dates"), F.lit(1))
+    return n.crossJoin(d).crossJoin(new.agg(F.count("*").alias("new_rows"))).select("combinations", "dates", expected.alias("expected_rows"), "new_rows")
+
+
 def with_date(df: DataFrame, column: str | None) -> DataFrame:
     if not column or column not in df.columns:
         return df.withColumn("__date", F.lit(None).cast("date"))
@@ -86,7 +103,17 @@ def attach_new(cells: DataFrame, new: DataFrame, n_dims: int, carry: list[str],
     return cells.join(one, keys, how)
 
 
-def excluded(new: DataFrame, cells: DataFrame, n_dims: int) -> DataFrame:
-    """Transactions that no cell of the whole grid takes, those without a date included."""
+def variants(new: DataFrame, n_dims: int) -> DataFrame:
+    """Transactions beyond the first of their cell, which no output row shows: keys that
+    differ as they are written and meet once they are normalised."""
     keys = [f"__k{i}" for i in range(n_dims)] + ["__date"]
-    return new.join(cells.select(*keys), keys, "left_anti")
+    return new.filter("__date is not null").groupBy(*keys).agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("dropped_variants"))
+
+
+def placed(new: DataFrame, combos: DataFrame, axis: DataFrame, n_dims: int) -> DataFrame:
+    """new with __in_grid: whether a cell of the whole grid takes the transaction. A cell
+    is a combination and a date, so two narrow joins tell it without the grid."""
+    keys = [f"__k{i}" for i in range(n_dims)]
+    known = combos.select(*keys, F.lit(True).alias("__combo"))
+    dated = axis.select("__date", F.lit(True).alias("__on"))
+    return new.join(known, keys, "left").join(dated, "__date", "left").withColumn("__in_grid", F.col("__combo").isNotNull() & F.col("__on").isNotNull()).drop("__combo", "__on")

@@ -2,21 +2,24 @@
 
 new (transactions), master (the valid combinations) and historical (donor rows) become
 one wide table with a struct by namespace (new, master, donor, new_donor, grid); every
-output column is an expression over it. Nothing runs until a result is read.
+output column is an expression over it. Nothing runs until a result is read, but that an
+input without row numbers (__row_id) is written once with them, since all that is first
+or last of its rows must mean the same in every part of the plan.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formula import FormulaError, Value, compile_formula, literal, references
-from ..functions.keys import kind_of
+from ..functions.keys import kind_of, num, trim_ws
 from ..operators import dedupe as dedupe_op
 from ..operators import donors, grid, identity, labels, quality
+from ..scratch import discard, materialise
 
 NAMESPACES = ("new", "master", "donor", "new_donor", "grid", "out")
 
@@ -38,6 +41,22 @@ class Result:
     checked: DataFrame
     columns: list[str]
     warnings: list[str] = field(default_factory=list)
+    stats: DataFrame | None = None
+    variants: DataFrame | None = None
+    scratch: list[DataFrame] = field(default_factory=list)
+
+    def saved(self) -> "Result":
+        """The result with its rows written once, for callers that read it several times
+        (output, issues, gate and counts each run the plan otherwise)."""
+        checked = materialise(self.checked, "grid-checked")
+        return replace(self, checked=checked, output=checked.select(*[F.col(f"`{c}`") for c in self.columns]), scratch=[*self.scratch, checked])
+
+    def close(self) -> None:
+        """Removes the tables that the result wrote; nothing can be read after it."""
+        discard(*self.scratch)
+
+    def typed(self, compat: bool = False) -> DataFrame:
+        return final_types(self.output, compat)
 
     def issues(self) -> DataFrame:
         return quality.issues(self.checked, self.rules)
@@ -85,8 +104,52 @@ def move_output(config: dict, name: str, to: int) -> dict:
     return config | {"output_columns": columns}
 
 
+def order_like(config: dict, template: list[str]) -> dict:
+    """Output columns in the template's order; others stay in their order, last."""
+    rank = {name: i for i, name in reversed(list(enumerate(template)))}
+    return config | {"output_columns": sorted(config.get("output_columns", []), key=lambda c: rank.get(c["name"], len(template)))}
+
+
+def fill_presets(column: str, prefer: str = "historical") -> dict[str, dict]:
+    """Fill rules by name for a column: as it is, from a pool, with noise, of the master, zero."""
+    pools = ["new_donor", "donor"] if prefer == "new" else ["donor", "new_donor"]
+    best = "COALESCE(" + ", ".join(f"[{p}.{column}]" for p in pools) + ")"
+    return {
+        "asis": {"type": "default"},
+        "fromnew": {"type": "new_donor", "column": column},
+        "fromhist": {"type": "donor", "column": column},
+        "jitter1": {"type": "formula", "expr": f"{best} * RANDBETWEEN(99,101) / 100"},
+        "jitter5": {"type": "formula", "expr": f"ROUND({best} * RANDBETWEEN(95,105) / 100, 2)"},
+        "master": {"type": "master", "column": column},
+        "zero": {"type": "const", "value": 0},
+    }
+
+
+def final_types(df: DataFrame, compat: bool = False) -> DataFrame:
+    """Text columns whose every value is a number become bigint (all whole) or double;
+    those of dates become dates; columns without values stay. A column with a number
+    like 007 stays text unless compat. One aggregation decides all columns."""
+    texts = [f.name for f in df.schema if kind_of(f.dataType) == "text"]
+    if not texts:
+        return df
+    col = lambda c: F.col(f"`{c}`")
+    facts = lambda c: F.array(F.count(col(c)), F.count(num(col(c))), F.count_if((num(col(c)) == F.floor(num(col(c)))) & (F.abs(num(col(c))) < 2**63)), F.count(col(c).try_cast("date")), F.count_if(col(c).rlike(r"^\s*[+-]?0[0-9]")))
+    stats = dict(zip(texts, df.agg(F.array(*[facts(c) for c in texts])).first()[0]))
+
+    def typed(c: str) -> Column:
+        n, numbers, whole, days, zeros = stats.get(c, [0] * 5)
+        if n and numbers == n and (compat or not zeros):
+            # Whole numbers go by their digits: a double would lose those beyond 2^53.
+            return F.coalesce(trim_ws(col(c)).try_cast("bigint"), num(col(c)).cast("bigint")).alias(c) if whole == n else num(col(c)).alias(c)
+        return col(c).try_cast("date").alias(c) if n and days == n and not numbers else col(c)
+
+    return df.select(*[typed(c) for c in df.columns])
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    return df if "__row_id" in df.columns else df.withColumn("__row_id", F.monotonically_increasing_id())
+    """Row numbers in the order of reading. They are written once, as a plan that is
+    computed again may number its rows otherwise."""
+    return df if "__row_id" in df.columns else materialise(df.withColumn("__row_id", F.monotonically_increasing_id()), "grid-input")
 
 
 def _formulas(spec: dict | None) -> list[str]:
@@ -203,6 +266,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
     if not dims:
         raise ValueError("grid.master_dims is needed")
     new, master, hist = map(with_row_id, (inputs.new, inputs.master, inputs.historical))
+    scratch = [df for df in (new, master, hist) if hasattr(df, "_scratch")]
 
     # Labels.
     roles = (config.get("column_roles") or {}).get("new", {})
@@ -226,22 +290,35 @@ def build_output(inputs: Inputs, config: dict) -> Result:
     f = cfg.get("master_filter")
     base = grid.master_filter(master, f["column"], f.get("op", "eq"), f.get("value")) if f else master
     dim_names = [d["master"] for d in dims]
-    cells = grid.grid(grid.combinations(base, dim_names, master_cols), axis)
+    combos = grid.combinations(base, dim_names, master_cols)
+    size = grid.stats(new, combos, axis)
+    if cfg.get("max_rows") and (rows := size.first()["expected_rows"]) > int(cfg["max_rows"]):
+        raise ValueError(f"the grid has {rows} rows, more than grid.max_rows allows")
     new = grid.match_keys(new, [d["new"] for d in dims])
-    out_of_grid = grid.excluded(new, cells, len(dims)).select(*[F.col(f"`{c}`") for c in new_cols])
+    new = grid.placed(new, combos, axis, len(dims))
+    out_of_grid = new.filter("not __in_grid").select(*[F.col(f"`{c}`") for c in new_cols])
+    twice = grid.variants(new.filter("__in_grid"), len(dims))
+
+    # Donors: by keys alone before the combinations meet the dates, by date after it.
+    filling = fill.get("enabled", True)
+    strategy, prefer, strict = fill.get("donor_strategy", "last"), fill.get("prefer", "historical"), bool(fill.get("strict_previous"))
+    hist = grid.with_date(hist, fill.get("hist_date_column"))
+    chains = (fill.get("match_chain") or donors.default_chain(dims, "hist"), fill.get("match_chain_new") or donors.default_chain(dims, "new")) if filling else ([], [])
+    searches = [
+        donors.Search(hist, chains[0], "hist", hist_cols, strategy, dim_names, "donor", strict),
+        donors.Search(new, chains[1], "new", new_cols, strategy, dim_names, "new_donor", strict),
+    ]
+    wanted = combos.select(*[f"__k{i}" for i in range(len(dims))]).crossJoin(axis.select("__date"))
+    for search in searches:
+        combos = search.static(combos)
+    cells = grid.grid(combos, axis)
     if config.get("preview_limit"):
         cells = cells.orderBy("__grid_id").limit(int(config["preview_limit"]))
-    filling = fill.get("enabled", True)
+    for search in searches:
+        cells = search.dated(cells, wanted)
     wide = grid.attach_new(cells, new, len(dims), new_cols, "left" if filling else "inner").withColumn("__gap", F.col("new").isNull())
-
-    # Donors: only gaps look for one, real rows pass by.
-    strategy, prefer = fill.get("donor_strategy", "last"), fill.get("prefer", "historical")
-    hist = grid.with_date(hist, fill.get("hist_date_column"))
-    gaps, real = wide.filter("__gap"), wide.filter("not __gap")
-    strict = bool(fill.get("strict_previous"))
-    gaps = donors.pick(gaps, hist, fill.get("match_chain") or donors.default_chain(dims, "hist"), "hist", hist_cols, strategy, dim_names, "donor", strict)
-    gaps = donors.pick(gaps, new, fill.get("match_chain_new") or donors.default_chain(dims, "new"), "new", new_cols, strategy, dim_names, "new_donor", strict)
-    wide = gaps.unionByName(real, allowMissingColumns=True) if filling else donors.pick(donors.pick(real, hist, [], "hist", hist_cols), new, [], "new", new_cols, as_name="new_donor")
+    for search in searches:
+        wide = search.settle(wide, F.col("__gap"))
     alias = {"DATE": F.col("__date")} | {d["master"]: F.col("master")[d["master"]] for d in dims}
     # Field names are told apart without case.
     for name, c in [(d.get("hist") or d["master"], F.col("master")[d["master"]]) for d in dims] + [(fill.get("hist_date_column"), F.col("__date"))]:
@@ -286,19 +363,25 @@ def build_output(inputs: Inputs, config: dict) -> Result:
         order.insert(d["position"] if d.get("position") is not None else len(order), d["name"])
 
     picked = [scope.out[n].col.alias(n) for n in order]
+    pools = [F.when(F.col(f"{ns}_level").isNotNull(), F.lit(name)) for ns, name in (("donor", "historical"), ("new_donor", "new"))]
+    pool = F.coalesce(*(pools if prefer == "historical" else pools[::-1]))
     policy = fill.get("id_policy") or {}
     id_column = policy.get("column")
     extra = [F.col("donor")[id_column].alias("__id_donor")] if policy.get("mode") == "donor" and id_column in hist_cols else []
-    checked = wide.select("__grid_id", "__gap", *extra, *picked, F.col("donor_level").alias("__basis"), *[F.col("master")[c].alias(f"__master_{c}") for c in {r.get("reference") for r in config.get("validations") or []} if c in master_cols])
+    checked = wide.select("__grid_id", "__gap", *extra, *picked, F.col("donor_level").alias("__basis"), pool.alias("__pool"), *[F.col("master")[c].alias(f"__master_{c}") for c in {r.get("reference") for r in config.get("validations") or []} if c in master_cols])
     if id_column in order and id_column not in rules:
         checked = identity.apply(checked, id_column, policy, donor=F.col("__id_donor") if extra else None)
     if config.get("add_flag", True):
         flag = config.get("flag_column") or "SOURCE"
         checked = checked.withColumn(flag, F.when(is_gap, F.lit("FILLED")).otherwise(F.lit("ACTUAL"))).withColumn("FILL BASIS", F.col("__basis"))
         order = [n for n in order if n not in (flag, "FILL BASIS")] + [flag, "FILL BASIS"]
+        if config.get("add_pool"):
+            checked = checked.withColumn("FILL POOL", F.col("__pool"))
+            order = [n for n in order if n != "FILL POOL"] + ["FILL POOL"]
 
     # Rules: in_master compares with the labels that the grid's rows carry.
     members, refs = {}, {c.removeprefix("__master_"): F.col(f"`{c}`") for c in checked.columns if c.startswith("__master_")}
+    checked = quality.prepare(checked, [r for r in config.get("validations") or [] if r.get("column") in order])
     for i, r in enumerate(config.get("validations") or []):
         if r.get("type") == "in_master" and r.get("reference") in refs and r.get("column") in order:
             flag = f"__in_{i}"
@@ -306,7 +389,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
             members[r["reference"]] = flag
     compiled, failed = quality.compile_rules(config.get("validations") or [], checked, refs, members)
     output = checked.select(*[F.col(f"`{n}`") for n in order])
-    return Result(output, out_of_grid, compiled, failed, additions, checked, order, warnings)
+    return Result(output, out_of_grid, compiled, failed, additions, checked, order, warnings, size, twice, scratch)
 
 
 def suggest_config(inputs: Inputs) -> dict:

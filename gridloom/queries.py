@@ -146,7 +146,7 @@ def _customers(spark: SparkSession, d: str) -> DataFrame:
 
 def _rule(rule: dict) -> Callable[[SparkSession, str], DataFrame]:
     def q(spark: SparkSession, d: str) -> DataFrame:
-        df = _customers(spark, d)
+        df = quality.prepare(_customers(spark, d), [rule])
         compiled, _ = quality.compile_rules([rule], df)
         return df.select("c_custkey", compiled[0].breach.alias("breach"))
 
@@ -154,8 +154,9 @@ def _rule(rule: dict) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
-    df = _customers(spark, d)
-    compiled, _ = quality.compile_rules([_RULES["non_negative"][0], _RULES["max"][0], _RULES["unique"][0] | {"blocking": True}], df)
+    rules = [_RULES["non_negative"][0], _RULES["max"][0], _RULES["unique"][0] | {"blocking": True}]
+    df = quality.prepare(_customers(spark, d), rules)
+    compiled, _ = quality.compile_rules(rules, df)
     out = quality.issues(df, compiled, cap=100)
     return out.select(*[F.col(c).alias(c.lower() if c not in ("Row", "Column", "Value") else f"issue_{c.lower()}") for c in out.columns])
 
