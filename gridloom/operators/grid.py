@@ -47,7 +47,10 @@ def dates(spark: SparkSession, new: DataFrame, mode: str = "from_new", explicit:
         axis = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("__date"))
     else:
         axis = new.select("__date").filter("__date is not null").distinct()
-    return axis.withColumn("__date_ix", F.row_number().over(Window.orderBy("__date")) - 1)
+    # At most one row a day of the calendar: the dates come to the driver and are local
+    # rows of the plan, so no part of it derives them from the transactions again.
+    found = sorted(r[0] for r in axis.collect())
+    return spark.createDataFrame(list(zip(found, range(len(found)))), "__date date, __date_ix bigint")
 
 
 def ordinals(df: DataFrame, by: str, name: str, block: int = 65536) -> DataFrame:
@@ -60,11 +63,20 @@ def ordinals(df: DataFrame, by: str, name: str, block: int = 65536) -> DataFrame
     return df.withColumn("__block", at).join(offsets, "__block").withColumn(name, F.col("__before") + rank - 1).drop("__block", "__before")
 
 
+def _keyed(master: DataFrame, dims: list[str]) -> DataFrame:
+    by = kinds(master)
+    return master.filter(reduce(Column.__or__, [F.col(f"`{d}`").isNotNull() for d in dims])).withColumns({f"__k{i}": key(F.col(f"`{d}`"), by[d]) for i, d in enumerate(dims)})
+
+
+def combination_keys(master: DataFrame, dims: list[str]) -> DataFrame:
+    """The distinct keys __k0.. alone."""
+    return _keyed(master, dims).select(*[f"__k{i}" for i in range(len(dims))]).distinct()
+
+
 def combinations(master: DataFrame, dims: list[str], carry: list[str]) -> DataFrame:
     """A row for each combination of normalised labels: key columns __k0.., the ordinal,
     and the struct master of the first such row, so no join is needed later."""
-    by = kinds(master)
-    keyed = master.filter(reduce(Column.__or__, [F.col(f"`{d}`").isNotNull() for d in dims])).withColumns({f"__k{i}": key(F.col(f"`{d}`"), by[d]) for i, d in enumerate(dims)})
+    keyed = _keyed(master, dims)
     keys = [f"__k{i}" for i in range(len(dims))]
     first = keyed.groupBy(*keys).agg(F.min("__row_id").alias("__row_id"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in carry]), "__row_id").alias("master"))
     return ordinals(first, "__row_id", "__combo_ix").drop("__row_id")
@@ -72,9 +84,9 @@ def combinations(master: DataFrame, dims: list[str], carry: list[str]) -> DataFr
 
 def grid(combos: DataFrame, axis: DataFrame) -> DataFrame:
     """Combination-major; Spark broadcasts a side below its own size threshold."""
-    n = axis.agg(F.count("*").alias("__n"))
-    rows = combos.crossJoin(axis).crossJoin(F.broadcast(n))
-    return rows.withColumn("__grid_id", (F.col("__combo_ix").cast("bigint") * F.col("__n") + F.col("__date_ix"))).drop("__n", "__combo_ix", "__date_ix")
+    n = axis.count()
+    rows = combos.crossJoin(axis)
+    return rows.withColumn("__grid_id", F.col("__combo_ix").cast("bigint") * n + F.col("__date_ix")).drop("__combo_ix", "__date_ix")
 
 
 def stats(new: DataFrame, combos: DataFrame, axis: DataFrame) -> DataFrame:

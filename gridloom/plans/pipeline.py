@@ -291,13 +291,14 @@ def build_output(inputs: Inputs, config: dict) -> Result:
     base = grid.master_filter(master, f["column"], f.get("op", "eq"), f.get("value")) if f else master
     dim_names = [d["master"] for d in dims]
     combos = grid.combinations(base, dim_names, master_cols)
-    size = grid.stats(new, combos, axis)
+    keys_only = grid.combination_keys(base, dim_names)
+    size = grid.stats(new, keys_only, axis)
     if cfg.get("max_rows") and (rows := size.first()["expected_rows"]) > int(cfg["max_rows"]):
         raise ValueError(f"the grid has {rows} rows, more than grid.max_rows allows")
     new = grid.match_keys(new, [d["new"] for d in dims])
-    new = grid.placed(new, combos, axis, len(dims))
-    out_of_grid = new.filter("not __in_grid").select(*[F.col(f"`{c}`") for c in new_cols])
-    twice = grid.variants(new.filter("__in_grid"), len(dims))
+    placed = grid.placed(new, keys_only, axis, len(dims))
+    out_of_grid = placed.filter("not __in_grid").select(*[F.col(f"`{c}`") for c in new_cols])
+    twice = grid.variants(placed.filter("__in_grid"), len(dims))
 
     # Donors: by keys alone before the combinations meet the dates, by date after it.
     filling = fill.get("enabled", True)
@@ -308,7 +309,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
         donors.Search(hist, chains[0], "hist", hist_cols, strategy, dim_names, "donor", strict),
         donors.Search(new, chains[1], "new", new_cols, strategy, dim_names, "new_donor", strict),
     ]
-    wanted = combos.select(*[f"__k{i}" for i in range(len(dims))]).crossJoin(axis.select("__date"))
+    wanted = keys_only.crossJoin(axis.select("__date"))
     for search in searches:
         combos = search.static(combos)
     cells = grid.grid(combos, axis)
