@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialise  # noqa: F401
+
 # Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Written only where the session names no checkpoint folder (tests, laptops).
-LOCAL_CHECKPOINTS = "/tmp/gridloom-checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,34 +23,16 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and what follows
-    survives lost executors. The rows' size is then known to the optimiser, so
-    Spark broadcasts the side of a join only below its own threshold."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Remove tables of materialise() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+def boxed(docs: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """The columns named, and the row as the struct `row`: whatever names a table has,
+    they cannot meet those that an operator works with. without: what the struct leaves out."""
+    row = [F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(docs.columns) if c not in without]
+    return docs.select(F.struct(*row or [F.lit(None).alias("none")]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `row` with the columns of docs."""
+    return df.select(*[F.col(f"row.v{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def text_or_empty(df: DataFrame) -> Column:

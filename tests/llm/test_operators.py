@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, hmm, language_id, mixing, near_dedup, packing, quality_rules, secrets, site_style_tree, warc_derivatives
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, size string, target string, n_words string, row string, _gone string"
 WORDS = {"en": "the and of to house tree water with river stone green under".split(), "de": "der und das nicht haus baum wasser fluss stein grün unter straße".split(), "fr": "le la et dans maison arbre eau rivière pierre verte sous été".split(), "es": "el los y en casa árbol agua río piedra verde bajo niño".split()}
 
 
@@ -34,7 +35,7 @@ def rows():
             words[rng.randrange(len(words))] = f"edit{i}"
         out.append((i, " ".join(words), "en", "s0"))
     out += [(400, None, None, None), (401, "", "en", "s1"), (402, "  \n ", None, "s1"), (403, "ONE two", "en", None), (404, "one TWO", "en", None), (405, "!!! 123", "fr", "s2"), (406, out[5][1], "en", "s9"), (407, " ".join(w + "###" for w in prose(rng, "en", 200).split()), "en", "s0"), (None, "null id", "en", "s0"), (408, "the line here is the same one\n" * 40, "en", "s0"), (7, out[7][1], out[7][2], out[7][3])]
-    return [(*r, 0, "clash", "clash") for r in out]
+    return [(*r, 0, *(f"{name} of {r[0]}" for name in ("text", "size", "target", "words", "row", "gone"))) for r in out]
 
 
 @pytest.fixture(scope="module")
@@ -57,13 +58,13 @@ def multiset(values):
 
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    for out in (quality_rules.judge(empty, ["doc_id"]), packing.pack(empty, packing.default_tokenizer()), exact_dedup.copies(empty), exact_dedup.winners(empty), hmm.score(empty), near_dedup.near_duplicates(empty), language_id.identify(empty), secrets.report(empty), mixing.mix(empty), site_style_tree.extract(pages), warc_derivatives.derive(warc_derivatives.responses(pages))):
+    for out in (quality_rules.judge(empty), packing.pack(empty, packing.default_tokenizer()), exact_dedup.copies(empty), exact_dedup.winners(empty), hmm.score(empty), near_dedup.near_duplicates(empty), language_id.identify(empty), secrets.report(empty), mixing.mix(empty), site_style_tree.extract(pages), warc_derivatives.derive(warc_derivatives.responses(pages))):
         assert out.count() == 0
 
 
 def test_quality(docs, rows):
     got = collections.defaultdict(list)
-    for r in quality_rules.judge(docs, ["doc_id"], min_group=60).collect():
+    for r in quality_rules.judge(docs, min_group=60).collect():
         got[r["doc_id"]].append(r)
     for doc_id, text, *_ in rows:
         w = words(text)
@@ -94,14 +95,15 @@ def test_quality_matches_numpy(docs):
         return m, quality_rules.CONSISTENCY * (rows.T @ rows / len(rows) - np.outer(m, m)) + floors
 
     medians = [4 * np.sort(np.floor(z[:, j] / 4))[math.ceil(len(z) * 0.5) - 1] + 2 for j in range(4)]
-    best = None
+    starts = []
     for first in (cut((((z - medians) / np.sqrt(np.diag(floors))) ** 2).sum(1)), z):
-        m, k = estimate(first)
-        for _ in range(quality_rules.C_STEPS):
-            d = z - m
-            m, k = estimate(cut((d @ np.linalg.inv(k) * d).sum(1)))
-        if best is None or np.linalg.slogdet(k)[1] < best[0]:
-            best = (np.linalg.slogdet(k)[1], m, k)
+        starts.append(estimate(first))
+    for _ in range(quality_rules.C_STEPS):
+        was = [np.linalg.slogdet(k)[1] / 2 for _, k in starts]
+        starts = [estimate(cut(((z - m) @ np.linalg.inv(k) * (z - m)).sum(1))) for m, k in starts]
+        if max(abs(a - np.linalg.slogdet(k)[1] / 2) for a, (_, k) in zip(was, starts)) <= quality_rules.SETTLED:
+            break
+    best = min(((np.linalg.slogdet(k)[1], m, k) for m, k in starts), key=lambda x: x[0])
     low = np.zeros((4, 4))
     for i in range(4):
         for j in range(i + 1):
@@ -159,6 +161,13 @@ def test_exact_dedup(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len(groups) and kept.filter("doc_id = 7 or doc_id = 406").count() == 2
 
 
+def test_exact_dedup_compares_content_where_digests_meet(docs, rows):
+    # A digest of the length's parity: single texts share it with groups.
+    parity = lambda text: (F.char_length(text) % 2).cast("string").cast("binary")
+    key = lambda r: (r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+    assert multiset(map(key, exact_dedup.copies(docs, parity).collect())) == multiset(map(key, exact_dedup.copies(docs).collect()))
+
+
 def test_language_model(docs, rows):
     got = {r["doc_id"]: r for r in hmm.score(docs, states=4, iterations=3).collect()}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -230,6 +239,27 @@ def test_near_duplicates(docs, rows):
     assert label[404] == 403
 
 
+def test_rows_that_repeat_an_id_with_other_words(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(3))
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(5, a), (5, b), (6, near(a)), (3, near(b)), (9, near(c)), (9, c), (5, ""), (4, c + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(5, 96, 5, True), (5, 96, 3, False), (6, 96, 5, False), (3, 96, 3, True), (9, 96, 4, False), (5, 0, 5, True), (4, 97, 4, True)}
+    kept = {(r["doc_id"], r["text"]) for r in near_dedup.filter_stage(spark, docs, "").collect()}
+    assert kept == {(5, a), (3, near(b)), (5, ""), (4, c + " more")}
+
+
+def test_percent_is_a_parameter(spark):
+    words = [f"w{i}" for i in range(104)]
+    # One word changed in the middle: 95 of 105 shingles in common (90.5 %); two, 82 %.
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30], "x", *words[31:60], "y", *words[61:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs).filter("kept").count() == 2
+    assert near_dedup.near_duplicates(docs, 80).filter("kept").count() == 1
+
+
 def test_tiles_link_like_all_pairs(monkeypatch, docs, rows):
     monkeypatch.setattr(near_dedup, "TILE", 4)
     want = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
@@ -282,6 +312,66 @@ def test_extraction_keeps_marked_wrappers(spark):
     assert all(got[40 + i] == told(i) for i in range(9))
 
 
+def test_importance_against_brute_force(spark):
+    rng = random.Random(4)
+    pages = [f'<div class="a"><p>{rng.choice(["same", "one", "two"])}</p>{"<h2>t</h2>" if i % 3 else ""}</div><ul><li>x{i % 5}<li>y</ul>' for i in range(20)]
+    got = {r["node"]: r for r in site_style_tree.importance(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()}
+    shapes, texts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for page in pages:
+        blocks, children = site_style_tree.read_page(page)
+        below = collections.defaultdict(set)
+        for node, text in blocks:
+            for key in node.chain:
+                below[key].add(text)
+        for key, own in below.items():
+            shapes[key][tuple(children.get(key, ()))] += 1
+            texts[key].update(own)
+    assert set(got) == set(shapes)
+    for key, counts in shapes.items():
+        n = sum(counts.values())
+        presentation = -sum(c / n * math.log(c / n, n) for c in counts.values())
+        content = 1 - sum(math.log(c, n) for c in texts[key].values()) / len(texts[key])
+        weight = site_style_tree.GAMMA ** len(counts)
+        assert got[key]["importance"] == pytest.approx((1 - weight) * presentation + weight * content)
+
+
+def test_odd_markup(spark):
+    plain = lambda page: site_style_tree.main_text(site_style_tree.read_page(page)[0], set())
+    assert plain('foo <a href="x>bar baz') == "foo bar baz" and plain('<p class="a>b</p><p>c</p>') == "b\nc" and plain("a <b title='>'>c</b>") == "a c"
+    deep = site_style_tree.read_page("".join(f"<div>a{i}" for i in range(3000)))[0]
+    assert len(deep) == 3000 and max(len(n.chain) for n, _ in deep) == site_style_tree.DEEPEST
+
+
+def test_trees_change_pages(spark):
+    """The share of pages that the trees alone change, where a host repeats its boilerplate."""
+    rows = [(i, f"http://b.org/{i}", SOUP.format(n=i)) for i in range(12)]
+    text = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    changed = sum(text[i] != site_style_tree.main_text(site_style_tree.read_page(page)[0], set()) for i, _, page in rows)
+    assert changed == len(rows)
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = [(i, f"{w} {w}er {w}ing text", w) for i in range(120) for w in [["alpha", "beta", "gamma", "rare1", "rare2"][min(i % 7, 4) if i % 40 == 6 else i % 3]]]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got} <= {"alpha", "beta", "gamma"} and len(got) == len(rows)
+
+
+def test_long_text(spark):
+    """One text of half a million words passes every operator whole."""
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(500_000)) + " password=abcdefgh1"
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, long + " x", "en", "a"), (3, "short text here", "de", "b")], "doc_id long, text string, lang string, source string")
+    judged = {r["doc_id"]: r["n_words"] for r in quality_rules.judge(docs).collect()}
+    assert judged == {1: 500_001, 2: 500_002, 3: 3}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    pieces = packing.pack(docs, packing.default_tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert all(r["n"] == r["t"] for r in pieces) and len(pieces) == 3
+    assert {r["doc_id"]: r["spans"] for r in secrets.report(docs).collect()}[1] == f"assign:{len(long) - 18}:{len(long)}"
+    assert sum(r["n_tokens"] for r in hmm.score(docs, states=2, iterations=2).collect()) == 1_000_009
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}.keys() == {1, 2, 3}
+
+
 def test_secrets(spark):
     texts = ["password = 'abcdefgh1' and token:short api-key x", "AKIA" + "B" * 12 + " " + "a1b2c3d4" * 4, "é" * 3 + "Api_Key: Zq9" + "x" * 9 + " https://host.example.org/path", "see https://clean.example.org", "client_id=web01 " + "Ab1" * 9, "Ab1" * 9 + " alone", "client_id=web01" + " y" * 400 + " " + "Ab1" * 9, None, ""]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
@@ -299,6 +389,25 @@ def test_secrets(spark):
         assert got[i][0]["base_sha256"] == hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
 
 
+def test_linking_against_brute_force(spark):
+    rng = random.Random(11)
+    parts = ["client_id=web01", "Ab1" * 9, "https://host.example.org/path", "password=abcdefgh1", "AKIA" + "Q" * 14, "0123456789abcdef" * 2, "s3://bucket/key", "user: anna.b"]
+    texts = ["".join(rng.choice(parts) + " " * rng.choice([1, 30, 399, 400, 401, 433]) + rng.choice(["", "filler words here "]) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        found = []
+        for kind, (pattern, group, least) in secrets.KINDS.items():
+            for m in re.finditer(pattern, text):
+                if len(m[group]) >= least and (kind != "key" or all(re.search(p, m[0]) for p in ("[0-9]", "[A-Z]", "[a-z]"))):
+                    found.append((m.start(), m.end(), kind))
+        base = [x for x in found if x[2] in secrets.BASE]
+        found = [x for x in found if x in base or not any(x[0] < b[1] and b[0] < x[1] for b in base)]
+        gap = lambda x, y: max(y[0] - x[1], x[0] - y[1])
+        kept = [x for x in found if x in base or any(secrets.ROLES[y[2]] in secrets.NEEDS[x[2]] and gap(x, y) <= secrets.SCOPE for y in found)]
+        order = list(secrets.KINDS)
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(kept, key=lambda x: (x[0], order.index(x[2])))), text
+
+
 def test_bare_keys_are_whole_runs(spark):
     rng = random.Random(5)
     keys = ["kXvTqRbNmWzLpQsDfGhJ4a7C", "Kx-" * 9 + "1", "/kXvTqRbNmWzLpQsDfGhJ4a7C", "z" * 60 + "B9"]
@@ -313,7 +422,8 @@ def test_bare_keys_are_whole_runs(spark):
 
 
 def test_mix(docs, rows, spark):
-    got = mixing.mix(docs.drop("size")).collect()
+    flat = lambda df: mixing.mix(df).select("doc_id", F.col("row.v3").alias("source"), "size", "source_size", "target", "copies").collect()
+    got = flat(docs)
     sizes = collections.Counter()
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
@@ -336,10 +446,28 @@ def test_mix(docs, rows, spark):
         taken[r["source"]] += r["copies"] * r["size"]
     for s in order:
         assert abs(taken[s] - target[s]) <= max(300, 0.02 * target[s])
-    again = mixing.mix(docs.drop("size").repartition(7)).collect()
+    again = flat(docs.repartition(7))
     assert multiset((r["doc_id"], r["copies"]) for r in got) == multiset((r["doc_id"], r["copies"]) for r in again)
 
 
+def test_many_sources(spark):
+    """Shares by code point and their cap, against the plain loop, on as many sources as rows."""
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(0, 60), f"h{rng.randrange(10**6):06d}" if i % 9 else None) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, free, rest = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, set(order), 1.5 * sum(sizes.values())
+    while above := {s for s in free if weight[s] * rest / sum(weight[x] for x in free) > 2 * sizes[s]}:
+        target |= {s: 2 * sizes[s] for s in above}
+        rest -= sum(2 * sizes[s] for s in above)
+        free -= above
+    target |= {s: weight[s] * rest / sum(weight[x] for x in free) for s in free}
+    assert all(r["target"] == pytest.approx(target[rows[r["doc_id"]][2]]) for r in got)
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a.org", "<html><head><title>x</title></head><p>A &amp; b</p><p>c</p>"), (2, None, None), (None, "u", "é")], "page_id long, url string, html string")
     source = warc_derivatives.responses(pages)
@@ -349,6 +477,8 @@ def test_warc_round_trip(spark):
     assert len(rows) == 6 and {r["refers_to"] for r in rows} == ids
     texts = {r["page_id"]: r["block"] for r in rows if r["record_type"] == "conversion"}
     assert texts == {1: "A & b\nc", 2: "", None: "é"}
+    heads = {r["record_id"]: r["header"] for r in warc_derivatives.with_header(made).collect()}
+    assert all(f"WARC-Refers-To: {r['refers_to']}\r\n" in heads[r["record_id"]] and heads[r["record_id"]].startswith("WARC/1.1\r\nWARC-Type: " + r["record_type"]) for r in rows)
     conversions = {r["refers_to"]: r["record_id"] for r in rows if r["record_type"] == "conversion"}
     assert all(conversions[r["refers_to"]] in r["block"] for r in rows if r["record_type"] == "metadata")
     back = warc_derivatives.parse(warc_derivatives.serialise(made)).collect()
@@ -379,6 +509,9 @@ def test_pipeline(spark, tmp_path, docs):
         assert after.columns == out.columns, name
         after.write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
+        # Whole rows survive, names that clash with the stages' own included.
+        whole = lambda df: {tuple(r) for r in df.collect()}
+        assert whole(out) <= whole(docs), name
     ids = {r[0] for r in out.select("doc_id").collect()}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == ids and 407 not in ids and 400 not in ids
