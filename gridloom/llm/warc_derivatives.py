@@ -28,8 +28,8 @@ from .common import column, table
 
 #: Date of records whose page table has none.
 DATE = "2024-01-01T00:00:00Z"
-# Character references that the SQL decodes, in this order. The plain text
-# decodes all of HTML's, a no-break space as a space.
+# Character references that are replaced in this order. A text with any
+# other reference is decoded as a whole by HTML's rules, a no-break space as a space.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 #: (pattern, replacement) that turn markup to text; blocks end lines.
 TEXT_RULES = [
@@ -42,6 +42,8 @@ TEXT_RULES = [
 ]
 
 
+#: A reference that is not one of ENTITIES as they are written there.
+_OTHER = "&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + ");)[#A-Za-z]"
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 
 
@@ -55,7 +57,11 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern, replacement in TEXT_RULES[:3]:
         out = F.regexp_replace(out, pattern, replacement)
-    out = _decode(out)
+    # Only texts with other references go through Python; the rest send nulls there.
+    plain = out
+    for name, value in ENTITIES.items():
+        plain = F.replace(plain, F.lit(name), F.lit(value))
+    out = F.coalesce(_decode(F.when(out.rlike(_OTHER), out)), plain)
     for pattern, replacement in TEXT_RULES[3:]:
         out = F.regexp_replace(out, pattern, replacement)
     return out
@@ -109,20 +115,23 @@ def derive(records: DataFrame) -> DataFrame:
     )
 
 
+def with_header(records: DataFrame) -> DataFrame:
+    """Adds block_digest, content_length and header, the record's lines up to the blank one."""
+    known = {"WARC-Type": F.col("record_type"), "WARC-Record-ID": F.col("record_id"), "WARC-Date": F.col("date"), "WARC-Target-URI": F.col("target_uri"), "WARC-Refers-To": F.col("refers_to"), "WARC-Payload-Digest": F.col("payload_digest"), "WARC-Block-Digest": F.col("block_digest"), "Content-Type": F.col("content_type"), "Content-Length": F.col("content_length").cast("string")}
+    lines = [F.lit("WARC/1.1"), *[F.concat(F.lit(f"{name}: "), value) for name, value in known.items()]]
+    sized = records.withColumns({"block_digest": _digest(F.col("block")), "content_length": F.octet_length("block").cast("bigint")})
+    return sized.withColumn("header", F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n")))
+
+
 def serialise(records: DataFrame) -> DataFrame:
     """One gzip member a record, as WARC files concatenate them: (record_id, member)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            members = []
-            for r in batch.itertuples(index=False):
-                body = r.block.encode()
-                fields = {"WARC-Type": r.record_type, "WARC-Record-ID": r.record_id, "WARC-Date": r.date, "WARC-Target-URI": r.target_uri, "WARC-Refers-To": r.refers_to, "WARC-Payload-Digest": r.payload_digest, "WARC-Block-Digest": r.block_digest, "Content-Type": r.content_type, "Content-Length": len(body)}
-                head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None and not (isinstance(v, float) and pd.isna(v)))
-                members.append(gzip.compress(head.encode() + b"\r\n" + body + b"\r\n\r\n", mtime=0))
+            members = [gzip.compress(head.encode() + b"\r\n" + block.encode() + b"\r\n\r\n", mtime=0) for head, block in zip(batch["header"], batch["block"])]
             yield pd.DataFrame({"record_id": batch["record_id"], "member": members})
 
-    rows = records.drop("page_id").withColumn("block_digest", _digest(F.col("block")))
+    rows = with_header(records).select("record_id", "header", "block")
     return rows.mapInPandas(run, "record_id string, member binary")
 
 
@@ -143,8 +152,8 @@ def parse(members: DataFrame) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = derive(responses(table(spark, sf_dir, "pages")))
-    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", _digest(F.col("block")).alias("block_digest"), F.octet_length("block").cast("bigint").alias("content_length"), "block")
+    records = with_header(derive(responses(table(spark, sf_dir, "pages"))))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "content_length", "header", "block")
 
 
 def _sql_id(kind: str, *names: str) -> str:
@@ -183,7 +192,10 @@ m AS (
   UNION ALL
   SELECT page_id, 'conversion', conversion_id, refers_to, target_uri, 'text/plain; charset=utf-8', payload_digest, txt FROM c)
 SELECT page_id, record_type, record_id, refers_to, target_uri, '{DATE}' AS date, content_type, payload_digest,
-       concat('sha256:', sha256(block)) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
+       concat('sha256:', sha256(block)) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length,
+       concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: {DATE}', 'WARC-Target-URI: ' || target_uri,
+                 'WARC-Refers-To: ' || refers_to, 'WARC-Payload-Digest: ' || payload_digest, 'WARC-Block-Digest: sha256:' || sha256(block),
+                 'Content-Type: ' || content_type, 'Content-Length: ' || strlen(block)) || chr(13) || chr(10) AS header, block
 FROM m
 """
 }
