@@ -5,7 +5,8 @@ hashed 1- to 3-grams, taken as square roots of unit length. Linear support vecto
 machines first tell the language families apart, one against one with votes; then
 those of the family's own languages decide among these, again one against one. They
 learn by stochastic subgradients from a bounded sample of labelled rows: at most
-PER_LANGUAGE a language and SAMPLE in all, those of the least hashes of doc_id.
+PER_LANGUAGE a language and SAMPLE in all, those of the least hashes of doc_id. Of more
+than LANGUAGES labels the commonest are learned; these bounds hold for the driver too.
 
 Edge cases: a null text or one without a letter is `und` with score 0, as is
 everything if no labelled row can be learned from; a null doc_id is never learned
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import column, table
 
 DIMS = 4096
-PER_LANGUAGE, SAMPLE = 400, 4000
+PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 4000, 250
 EPOCHS, REGULARISATION = 12, 1e-4
 UNKNOWN = "und"
 # Families of ISO 639-1 codes; a code not listed is its own family.
@@ -137,10 +138,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE
     """Labels and vectors of the rows to learn from."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     usable = docs.filter("train and lang is not null and text rlike '\\\\p{L}'").withColumn("h", h)
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], np.zeros((0, DIMS), np.float32)
     each = max(1, min(per_language, most // len(counts)))
+    usable = usable.filter(F.col("lang").isin(list(counts)))
     # A hash threshold twice as high as needed leaves few rows to rank.
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2 * each + 50) / n))])
     near = usable.filter(F.col("h") <= F.element_at(share, F.col("lang")))
