@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, table, text_or_empty
+from .common import column, materialise, table, text_or_empty
 
 # Kinds in the order of the listing, their patterns, and the group
 # whose length counts with the least it must have.
@@ -77,7 +77,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """candidates() without the weak ones that overlap a base match or lack a
     complementary part."""
-    rows = candidates(docs)
+    # Written once: the patterns run over the texts a single time, and both sides of the
+    # join below read the same numbers of the rows.
+    rows = materialise(candidates(docs), "secret-candidates")
     base = F.col("kind").isin(*BASE)
     at = Window.partitionBy("doc").orderBy("start", F.desc("end"))
     before = F.max(F.when(base, F.col("end"))).over(at.rowsBetween(Window.unboundedPreceding, 0))
