@@ -5,8 +5,9 @@ Among all rates whose words meet every source's target, those nearest to one
 copy each (in the entropy of r and 2 - r) are r = 2 / (1 + exp(-lambda * s)):
 an exponential tilt in the constraint's own coefficient, held under the limit of
 2. One lambda a source solves the convex dual; Newton steps sum gradient and
-curvature by source over the table. Rows of equal source and size have equal
-rates, so the steps read their counts, which is exact.
+curvature by source over the table, held in a bracket that a bisection halves where
+a step would leave it, until every source meets its target. Rows of equal source and
+size have equal rates, so the steps read their counts, which is exact.
 
 Rounding: by falling size, the documents of a source and size get so many extra
 copies in all that the words taken follow the sum of the rates; the remainder
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, column, discard, materialise, salted_join, table, text_or_empty
+from .common import WORD, boxed, column, discard, materialise, salted_join, table, text_or_empty, unboxed
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, LIMIT = 1.5, 2.0
-NEWTON_STEPS, SALTS = 12, 32
+NEWTON_STEPS, SALTS = 80, 32
+#: Share of its target by which a source's words may still differ after a step.
+TOLERANCE = 1e-7
 #: Steepest tilt: at it, a source's rates are its limit in double precision.
 STEEPEST = 700.0
 
@@ -40,24 +43,36 @@ def word_count(text) -> "F.Column":
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds _n, the source's place by code point, null last: 1, 2, ... Ranges of names
+    are numbered apart and get their offsets from the ranges' counts."""
+    order = [F.desc("_known"), F.asc("_source")]
+    parts = materialise(sources.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_c"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = materialise(parts.join(offsets, "_part").withColumn("_n", F.col("_before") + place).drop("_part", "_before"), "mix-ranked")
+    discard(parts)
+    return out
+
+
 def source_targets(sources: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, limit: float = LIMIT) -> DataFrame:
     """sources: _source, _known (false for null), source_size. Adds target: the
     weights' shares of total_share of all words, at most limit times a source's
-    words; what is above is shared again by weight. A source is at its limit if
-    the final level (words a unit of weight) reaches limit * size / weight. Sorted
-    by that ratio, the level follows from running sums, so no loop is needed."""
-    every = Window.partitionBy(F.lit(1))
-    ranked = sources.withColumn("_n", F.row_number().over(every.orderBy(F.desc("_known"), "_source")))
-    weighted = ranked.withColumn("_weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_n") - 1, F.lit(len(weights)))))
-    ratio = weighted.withColumn("_ratio", limit * F.col("source_size") / F.col("_weight"))
-    before = every.orderBy("_ratio", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(limit * F.col("source_size")).over(before), F.lit(0.0))
-    free = F.sum("_weight").over(every) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
-    level = (total_share * F.sum("source_size").over(every) - spent) / free
-    held = ratio.withColumn("_level", level).withColumn("_full", F.col("_ratio") <= F.col("_level"))
-    # The level of the first source below its limit is that of all the others.
-    final = F.min(F.when(~F.col("_full"), F.struct("_ratio", "_n", "_level"))).over(every)["_level"]
-    return held.withColumn("target", F.when(F.col("_full"), limit * F.col("source_size")).otherwise(F.col("_weight") * final)).select("_source", "_known", "source_size", "target")
+    words; what is above is shared again by weight. Each round sums over all sources
+    what those at their limit take and what weight the others have, which gives the
+    next level (words a unit of weight); the level only rises, and rounds end when no
+    further source reaches its limit."""
+    weighted = ranked(sources).withColumn("_weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_n") - 1, F.lit(len(weights))).cast("int")))
+    top, level, full = limit * F.col("source_size"), -1.0, None
+    total = weighted.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    while True:
+        at_limit = F.col("_weight") * F.lit(level) > top
+        held, spent, free = weighted.agg(F.count_if(at_limit), F.coalesce(F.sum(F.when(at_limit, top)), F.lit(0.0)), F.coalesce(F.sum(F.when(~at_limit, F.col("_weight"))), F.lit(0.0))).first()
+        if held == full or not free:
+            break
+        full, level = held, (total_share * total - spent) / free
+    return weighted.withColumn("target", F.least(top, F.col("_weight") * F.lit(level))).select("_source", "_known", "source_size", "target")
 
 
 def _rate() -> "F.Column":
@@ -67,31 +82,39 @@ def _rate() -> "F.Column":
 def solve(classes: DataFrame, targets: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     """classes: _source, _known, size, n. The dual's solution by source: _lambda, with
     sizes scaled by the source's mean (_mean). A source whose target is its limit is at
-    the steepest tilt. Steps that would overshoot are cut to a factor of four in
-    the odds of the mean document, which keeps Newton monotone after its start."""
+    the steepest tilt. A step is cut to a factor of four in the odds of the mean
+    document; one that leaves the bracket (the words taken rise with lambda) goes to its
+    middle instead. It is an error if a source does not meet its target after all steps."""
     keys = ["_source", "_known"]
     means = classes.groupBy(*keys).agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("_mean"))
-    state = materialise(
-        targets.join(means, keys).withColumn("_lambda", F.when(F.col("target") >= LIMIT * F.col("source_size") * (1 - 1e-12), F.lit(STEEPEST)).otherwise(F.lit(0.0))).withColumn("_gap", F.lit(1.0)), "mix-dual"
-    )
+    full = F.col("target") >= LIMIT * F.col("source_size") * (1 - 1e-12)
+    start = targets.join(means, keys).withColumns({"_lambda": F.when(full, F.lit(STEEPEST)).otherwise(F.lit(0.0)), "_low": F.lit(-STEEPEST), "_high": F.lit(STEEPEST), "_gap": F.lit(1.0)})
+    state, gap = materialise(start, "mix-dual"), 0.0
     for _ in range(steps):
         rows = salted_join(classes, state, keys, ["size"]).withColumn("_x", F.col("size") / F.greatest(F.col("_mean"), F.lit(1e-9))).withColumn("_r", _rate())
         sums = rows.groupBy(*keys).agg(
             F.sum(F.col("n") * F.col("size") * F.col("_r")).alias("_g"),
             F.sum(F.col("n") * F.col("size") * F.col("_x") * F.col("_r") * (1 - F.col("_r") / LIMIT)).alias("_h"),
         )
-        move = F.try_divide(F.col("target") - F.col("_g"), F.col("_h"))
-        move = F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.coalesce(move, F.lit(0.0))))
-        gap = F.when(F.col("_lambda") >= STEEPEST, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.abs(F.col("target") - F.col("_g")), F.col("target")), F.lit(0.0)))
-        after = state.drop("_gap").join(sums, keys, "left").withColumn("_gap", gap).withColumn("_lambda", F.when(F.col("_lambda") >= STEEPEST, F.col("_lambda")).otherwise(F.col("_lambda") + move)).select(*state.columns)
+        done = F.col("_lambda") >= STEEPEST
+        low = F.when(F.col("_g") < F.col("target"), F.col("_lambda")).otherwise(F.col("_low"))
+        high = F.when(F.col("_g") > F.col("target"), F.col("_lambda")).otherwise(F.col("_high"))
+        move = F.coalesce(F.try_divide(F.col("target") - F.col("_g"), F.col("_h")), F.lit(0.0))
+        there = F.col("_lambda") + F.greatest(F.lit(-1.5), F.least(F.lit(1.5), move))
+        there = F.when((there < low) | (there > high), (low + high) / 2).otherwise(there)
+        off = F.when(done, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.abs(F.col("target") - F.col("_g")), F.col("target")), F.lit(0.0)))
+        after = state.drop("_gap").join(sums, keys, "left").select(*keys, "source_size", "target", "_mean", F.when(done, F.col("_lambda")).otherwise(there).alias("_lambda"), low.alias("_low"), high.alias("_high"), off.alias("_gap"))
         after = materialise(after, "mix-dual")
         discard(state)
         state = after
         # One number for all sources; the last step has squared this gap once more.
-        if (state.agg(F.max("_gap")).first()[0] or 0.0) < 1e-7:
+        gap = state.agg(F.max("_gap")).first()[0] or 0.0
+        if gap < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the mix misses a target by {gap:.2g} of it after {steps} steps")
     # Sums of doubles differ in their last digits between runs; the rates shall not.
-    return state.withColumn("_lambda", F.round("_lambda", 9))
+    return state.withColumn("_lambda", F.round("_lambda", 9)).drop("_low", "_high")
 
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,14 +131,15 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE) -> DataFrame:
-    """Adds size, source_size, target and copies (0, 1 or 2) to every document."""
-    sized = docs.withColumns(
-        {
-            "size": word_count(text_or_empty(docs)),
-            "_source": F.coalesce(column(docs, "source", "string"), F.lit("")),
-            "_known": column(docs, "source", "string").isNotNull(),
-            "_h": F.xxhash64(F.coalesce(column(docs, "doc_id", "bigint").cast("string"), column(docs, "text", "string"))),
-        }
+    """For every document its row as the struct row, doc_id, size, source_size, target
+    and copies (0, 1 or 2)."""
+    sized = boxed(
+        docs,
+        doc_id=column(docs, "doc_id", "bigint"),
+        size=word_count(text_or_empty(docs)),
+        _source=F.coalesce(column(docs, "source", "string"), F.lit("")),
+        _known=column(docs, "source", "string").isNotNull(),
+        _h=F.xxhash64(F.coalesce(column(docs, "doc_id", "bigint").cast("string"), column(docs, "text", "string"))),
     ).withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
     keys = ["_source", "_known"]
     slots = materialise(sized.groupBy(*keys, "size", "_salt").agg(F.count("*").alias("n")), "mix-slots")
@@ -132,13 +156,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE) -> D
     ranked = sized.withColumn("_rank", rank)
     got = ranked.join(shares, [*keys, "size", "_salt"], "left").join(targets, keys, "left")
     copies = F.coalesce(F.col("_each") + (F.col("_rank") <= F.col("_more")).cast("int"), F.lit(0)).cast("bigint")
-    return got.withColumn("copies", copies)
+    return got.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mix(docs).filter("copies > 0")
-    return mixed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(mixed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
