@@ -24,10 +24,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SPACE, column, discard, materialise, salted_join, table, text_or_empty, words
+from .common import boxed, column, discard, materialise, salted_join, table, text_or_empty, unboxed, words
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -37,7 +36,9 @@ H_SHARE = 0.75
 TAIL = 1e-9
 #: Standard deviations that every estimate has at least (regularisation).
 FLOORS = (0.05, 0.035, 0.2, 0.2)
-MIN_GROUP, C_STEPS, D = 100, 4, 4
+MIN_GROUP, C_STEPS, D = 100, 20, 4
+#: Concentration ends when no log determinant falls by more than this, or at C_STEPS.
+SETTLED = 1e-3
 #: Fixed point of the statistics.
 UNIT = 4096
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -201,30 +202,37 @@ def fit_mcd(stats: DataFrame, c_steps: int = C_STEPS) -> DataFrame:
         cut = materialise(_quantile_bin(binned, ["_key", "start"], H_SHARE).withColumnRenamed("bin", "cut"), "mcd-cut")
         subset = salted_join(binned, cut, ["_key", "start"], z).filter("bin <= cut")
         after = materialise(_estimates(subset), "mcd-fit")
+        was = params.select("_key", "start", F.col("logdet").alias("was"))
+        moved = after.join(was, ["_key", "start"]).agg(F.max(F.abs(F.col("was") - F.col("logdet")))).first()[0]
         discard(params, cut)
         params = after
+        if (moved or 0.0) <= SETTLED:
+            break
     best = Window.partitionBy("_key").orderBy("logdet", "start")
     return params.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "start", "logdet")
 
 
-def judge(docs: DataFrame, carry: list[str], min_group: int = MIN_GROUP) -> DataFrame:
-    """The columns of carry and BASE, base_failed, distance2 and kept a document."""
-    counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in carry], column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("_lang"), column(docs, "source", "string").alias("_source")) if "text" not in carry else docs.withColumns({"_lang": column(docs, "lang", "string"), "_source": column(docs, "source", "string")}))
+def judge(docs: DataFrame, min_group: int = MIN_GROUP, rows: bool = False) -> DataFrame:
+    """doc_id (or, with rows, the whole row as the struct row), the columns of BASE,
+    base_failed, distance2 and kept for each document."""
+    carry = "row" if rows else "doc_id"
+    named = {"doc_id": column(docs, "doc_id", "bigint"), "text": column(docs, "text", "string"), "_lang": column(docs, "lang", "string"), "_source": column(docs, "source", "string")}
+    counted = base_counts(boxed(docs, **named))
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    stats = materialise(counted.select(*[F.col(f"`{c}`") for c in carry], *BASE, "base_failed", tag("_lang").alias("_l"), tag("_source").alias("_s"), *_vector()), "quality")
+    stats = materialise(counted.select(carry, *BASE, "base_failed", tag("_lang").alias("_l"), tag("_source").alias("_s"), *_vector()), "quality")
     keys = materialise(_keys(stats, min_group), "quality-keys")
     z = [f"z{i}" for i in range(D)]
     keyed = salted_join(stats, keys, ["_l", "_s"], ["n_words", "word_chars", *z], "left")
     params = materialise(fit_mcd(keyed.select("_key", *z)), "quality-params")
     judged = salted_join(keyed, params, ["_key"], ["n_words", "word_chars", *z], "left").withColumn("distance2", _distance2())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(False))
-    return judged.select(*[F.col(f"`{c}`") for c in carry], *BASE, "base_failed", "distance2", kept.alias("kept"))
+    return judged.select(carry, *BASE, "base_failed", "distance2", kept.alias("kept"))
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with all their columns."""
-    return judge(docs, docs.columns).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(judge(docs, rows=True).filter("kept"), docs)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judge(table(spark, sf_dir, "documents"))
