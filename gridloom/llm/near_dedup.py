@@ -6,24 +6,26 @@
 2. Classes that share a band are candidates. First each bucket compares its members
    with one pivot, so a group of copies gives as many pairs as members. Buckets that
    the links found leave in several components are then compared in full, inside tasks:
-   a bucket is dealt over tiles of at most TILE by TILE members, a tile skips what is
-   in one component already or met in an earlier band, and sends one link for each two
-   components that it joins. So no candidate link between components is lost, and no
-   pairs of a group are written out.
+   a bucket is dealt over tiles of about TILE by TILE members (fewer where their sets are
+   large, TILE_SHINGLES a side), a tile skips what is in one component already or met in
+   an earlier band, and sends one link for each two components that it joins. So no
+   candidate link between components is lost, and no pairs of a group are written out.
 3. A candidate's signatures are compared batch by batch. With a uniform prior on the
    similarity J, m matches of n give J a Beta(m + 1, n - m + 1) posterior; the pair is
    dropped once P(J >= threshold) falls under the chosen miss probability.
 4. Survivors are confirmed on the full shingle sets, as words, and linked.
 5. Links become components by alternating large-star and small-star steps.
 
-Nothing but counts reaches the driver. The banding misses a pair of similarity
-0.85 with probability (1 - 0.85^6)^24 = 1e-5.
+Nothing but counts reaches the driver. Links need `percent` of the union. The banding
+misses a pair of similarity 0.85 with probability (1 - 0.85^6)^24 = 1e-5, and one of 0.8
+with five rows a band with probability (1 - 0.8^5)^28 = 1.5e-5.
 
 Edge cases: null, empty or blank text has an empty set and is a component alone; a
 text of fewer than five words is one shingle; a null doc_id is its own component
 (component_id null, kept true); rows that repeat a doc_id with the same words share its
-component and are both kept (exact dedup removes them); an empty table gives no rows;
-other columns are ignored by the query and kept by the filter.
+component and are both kept (exact dedup removes them); rows that repeat a doc_id with
+other words are documents of their own, linked and kept or dropped each by its words; an
+empty table gives no rows; other columns are ignored by the query and kept by the filter.
 """
 
 from __future__ import annotations
@@ -37,18 +39,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialise, salted_join, table, text_or_empty
+from .common import boxed, column, discard, materialise, salted_join, table, text_or_empty, unboxed
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 85
-BANDS, ROWS = 24, 6
-HASHES = BANDS * ROWS
+#: Links need 100 * intersection >= percent * union; the query's and the stage's percent.
+PERCENT, STAGE_PERCENT = 85, 80
+HASHES = 144
 #: Signature values compared at a time, and the chance to drop a true link there.
 BATCH, MISS = 24, 1e-6
-#: Members of a bucket on one side of a tile.
-TILE = 256
-SALTS = 16
+#: Members of a bucket, and shingles of theirs, on one side of a tile.
+TILE, TILE_SHINGLES = 2048, 1 << 21
+SALTS, PIVOT_SALTS = 16, 64
+
+
+def rows_a_band(percent: int) -> int:
+    """Six of the HASHES values, or five where lower similarities must meet."""
+    return 6 if percent >= 85 else 5
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,19 +99,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 FEATURES = "doc_id bigint, cls binary, n_shingles bigint, sig binary, bands array<bigint>"
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            words = words_of(text)
-            shingles = shingle_hashes(words)
-            if len(shingles):
-                sig = signature(shingles)
-                bands = _mix(_fold(sig.reshape(BANDS, ROWS))).view(np.int64)
-                out.append((doc_id, xxhash.xxh3_128_digest(b" ".join(words)), len(shingles), _mix(sig).astype(np.uint16).tobytes(), bands.tolist()))
-            else:
-                out.append((doc_id, None, 0, None, None))
-        yield pd.DataFrame(out, columns=["doc_id", "cls", "n_shingles", "sig", "bands"])
+def _features(rows: int):
+    bands = HASHES // rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                words = words_of(text)
+                shingles = shingle_hashes(words)
+                if len(shingles):
+                    sig = signature(shingles)
+                    keys = _mix(_fold(sig[: bands * rows].reshape(bands, rows))).view(np.int64)
+                    out.append((doc_id, xxhash.xxh3_128_digest(b" ".join(words)), len(shingles), _mix(sig).astype(np.uint16).tobytes(), keys.tolist()))
+                else:
+                    out.append((doc_id, None, 0, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "cls", "n_shingles", "sig", "bands"])
+
+    return run
 
 
 def _hashes(texts: pd.Series) -> pd.Series:
@@ -132,62 +143,63 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _survivors(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     """Sequential comparison of signatures, row by row: indices that stay candidates."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for step, least in enumerate(least_matches(PERCENT / 100)):
+    for step, few in enumerate(least):
         part = slice(step * BATCH, (step + 1) * BATCH)
         matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
-        alive = alive[matches[alive] >= least]
+        alive = alive[matches[alive] >= few]
     return alive
 
 
-def plausible(left: pd.Series, right: pd.Series) -> pd.Series:
-    a = np.frombuffer(b"".join(left), np.uint16).reshape(-1, HASHES)
-    b = np.frombuffer(b"".join(right), np.uint16).reshape(-1, HASHES)
-    out = np.zeros(len(a), bool)
-    out[_survivors(a, b)] = True
-    return pd.Series(out)
+def plausible(percent: int):
+    least = least_matches(percent / 100)
 
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        a = np.frombuffer(b"".join(left), np.uint16).reshape(-1, HASHES)
+        b = np.frombuffer(b"".join(right), np.uint16).reshape(-1, HASHES)
+        out = np.zeros(len(a), bool)
+        out[_survivors(a, b, least)] = True
+        return pd.Series(out)
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+    return F.pandas_udf(run, "boolean")
+
+
+def _tile(percent: int):
     """Links (a, b) that join components of a tile's members; exact on the sets of
     shingle hashes."""
-    rows = rows.drop_duplicates("id").reset_index(drop=True)
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
-    bands = np.array(rows["bands"].tolist(), np.int64)
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    size, ids = np.array([len(x) for x in sets]), rows["id"].to_numpy()
-    part, band = rows["part"].to_numpy(), int(rows["band"].iloc[0])
-    root = {x: x for x in rows["label"]}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    label, links = rows["label"].to_numpy(), []
-    two = rows["ti"].iloc[0] != rows["tj"].iloc[0]
-    for i in range(len(rows)):
-        other = np.arange(i + 1, len(rows))
-        tops = np.array([find(x) for x in label[i + 1 :]])
-        keep = tops != find(label[i])
-        if two:
-            keep &= part[i + 1 :] != part[i]
-        keep &= 100 * np.minimum(size[i], size[i + 1 :]) >= PERCENT * np.maximum(size[i], size[i + 1 :])
-        other = other[keep]
-        if band and len(other):
-            other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
-        if not len(other):
-            continue
-        for j in other[_survivors(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other])]:
-            if find(label[i]) == find(label[j]):
+    least = least_matches(percent / 100)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("id").reset_index(drop=True)
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
+        bands = np.array(rows["bands"].tolist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        size, ids = np.array([len(x) for x in sets]), rows["id"].to_numpy()
+        part, band = rows["part"].to_numpy(), int(rows["band"].iloc[0])
+        component, links = np.unique(rows["label"].to_numpy(), return_inverse=True)[1], []
+        two = rows["ti"].iloc[0] != rows["tj"].iloc[0]
+        for i in range(len(rows)):
+            keep = component[i + 1 :] != component[i]
+            if two:
+                keep &= part[i + 1 :] != part[i]
+            keep &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
+            other = np.flatnonzero(keep) + i + 1
+            if band and len(other):
+                other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
+            if not len(other):
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= PERCENT * (size[i] + size[j] - both):
-                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                root[find(label[i])] = find(label[j])
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            for j in other[_survivors(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], least)]:
+                if component[i] == component[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    component[component == component[j]] = component[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _shingle_set(text: str) -> set[bytes]:
@@ -197,16 +209,20 @@ def _shingle_set(text: str) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def confirmed(left: pd.Series, right: pd.Series) -> pd.Series:
+def confirmed(percent: int):
     """The exact test on full sets."""
-    out, last, a = [], None, set()
-    for x, y in zip(left, right):
-        if x is not last:
-            a, last = _shingle_set(x), x
-        b = _shingle_set(y)
-        both = len(a & b)
-        out.append(both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
-    return pd.Series(out, dtype=bool)
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, last, a = [], None, set()
+        for x, y in zip(left, right):
+            if x != last:
+                a, last = _shingle_set(x), x
+            b = _shingle_set(y)
+            both = len(a & b)
+            out.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = salted_join(both, least, ["u"], ["v"], salts=SALTS).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: u and its smaller neighbours link to the least of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        small = salted_join(large, least, ["u"], ["v"], salts=SALTS).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         after = materialise(small, "cc")
         same = after.exceptAll(state).isEmpty() and after.count() == state.count()
         discard(state)
@@ -233,35 +249,37 @@ def components(edges: DataFrame) -> DataFrame:
 def _texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, text) of class representatives; rows that repeat a doc_id with other words
     belong to another class and stay out."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").join(reps.select("id", "cls"), "id")
+    known = reps.select("id", "rep", "cls").join(ids, "id")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(known, "rep")
     return texts.filter(F.pandas_udf(_class_of, "binary")("text") == F.col("cls")).select("id", "text").dropDuplicates(["id"])
 
 
-def _confirm(alive: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(alive: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links on their full sets of words."""
     ids = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
     wanted = materialise(_texts_of(ids, reps, docs), "near-texts")
-    right = alive.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    left = alive.select("a").distinct().join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = salted_join(right, left, ["a"], ["b"], salts=4)
-    links = materialise(both.filter(F.pandas_udf(confirmed, "boolean")("text_a", "text_b")).select("a", "b"), "near-links")
+    # A pivot's pairs are dealt over salts, and its text goes to those that it has.
+    salt = F.pmod(F.xxhash64("b"), F.lit(PIVOT_SALTS)).cast("int")
+    right = alive.withColumn("_salt", salt).join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = alive.select("a", salt.alias("_salt")).distinct().join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    links = materialise(right.join(left, ["a", "_salt"]).filter(confirmed(percent)("text_a", "text_b")).select("a", "b"), "near-links")
     discard(wanted)
     return links
 
 
-def _pivot_links(banded: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _pivot_links(banded: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links of each bucket's members with its smallest."""
     heads = banded.groupBy("band", "key").agg(F.min("id").alias("a"))
     pairs = salted_join(banded, heads, ["band", "key"], ["id"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     first = pairs.select("a").distinct().join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
     sigs = salted_join(pairs.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"), first, ["a"], ["b"])
-    alive = materialise(sigs.filter(F.pandas_udf(plausible, "boolean")("sig_a", "sig_b")).select("a", "b"), "near-alive")
-    links = _confirm(alive, reps, docs)
+    alive = materialise(sigs.filter(plausible(percent)("sig_a", "sig_b")).select("a", "b"), "near-alive")
+    links = _confirm(alive, reps, docs, percent)
     discard(alive)
     return links
 
 
-def _tile_links(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _tile_links(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links within the buckets that still have several components."""
     # Buckets of two were settled by their pivot.
     labelled = banded.filter("size > 2").join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("label", F.coalesce("label", "id")).drop("_id")
@@ -270,44 +288,64 @@ def _tile_links(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
     ids = members.select("id").distinct()
     texts = _texts_of(ids, reps, docs).select("id", F.pandas_udf(_hashes, "binary")("text").alias("shingles"))
     sets = materialise(texts.join(reps.select("id", "sig", "bands"), "id"), "near-sets")
-    parts = F.ceil(F.col("size") / TILE)
-    placed = members.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts)})
+    parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    placed = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     tiled = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(
         "id", "label", "band", "key", "part", F.least("part", "o").alias("ti"), F.greatest("part", "o").alias("tj")
     )
-    alive = materialise(tiled.join(sets, "id").groupBy("band", "key", "ti", "tj").applyInPandas(_tile, "a bigint, b bigint").distinct(), "near-alive")
-    links = _confirm(alive, reps, docs)
+    alive = materialise(tiled.join(sets, "id").groupBy("band", "key", "ti", "tj").applyInPandas(_tile(percent), "a bigint, b bigint").distinct(), "near-alive")
+    links = _confirm(alive, reps, docs, percent)
     discard(members, sets, alive)
     return links
 
 
 def _class_of(text: pd.Series) -> pd.Series:
-    return pd.Series([xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in text])
+    return pd.Series([None if t is None else xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in text], dtype=object)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept."""
-    rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
-    # Null ids stay out of the search: pandas would turn the column into doubles.
-    known = rows.filter("doc_id is not null")
-    features = materialise(known.mapInPandas(_features, FEATURES), "near-features")
+def _labelled(known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """known: rows (doc_id, text) with doc_id. Rows (doc_id, cls, n_shingles,
+    component_id), and the doc_ids that occur with several sequences of words."""
+    features = materialise(known.mapInPandas(_features(rows_a_band(percent)), FEATURES), "near-features")
     classes = features.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     member = salted_join(features, classes.drop("n"), ["cls"], ["doc_id"], "left", SALTS).withColumn("rep", F.coalesce("rep", "doc_id"))
     member = materialise(member, "near-members")
-    reps = member.filter("cls is not null and doc_id = rep").select(F.col("rep").alias("id"), "cls", "sig", "bands").dropDuplicates(["id"])
-    reps = materialise(reps, "near-reps")
+    twice = materialise(features.groupBy("doc_id").agg((F.max(F.struct("cls")) != F.min(F.struct("cls"))).alias("several")).filter("several").select("doc_id"), "near-twice")
     discard(features)
-
-    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    banded = materialise(salted_join(banded, buckets, ["band", "key"], ["id"]), "near-buckets")
-
-    links = _pivot_links(banded, reps, rows)
+    # A class goes by its smallest doc_id, or by a hash where another class has that too.
+    unique = twice.isEmpty()
+    shared = twice.select(F.col("doc_id").alias("rep"), F.lit(True).alias("_shared"))
+    node = F.when(F.col("_shared"), F.xxhash64("rep", "cls")).otherwise(F.col("rep"))
+    numbered = lambda df: df.withColumn("id", F.col("rep")) if unique else df.join(shared, "rep", "left").withColumn("id", node).drop("_shared")
+    reps = member.filter("cls is not null and doc_id = rep").select("rep", "cls", "sig", "bands", "n_shingles").dropDuplicates(["rep", "cls"])
+    reps = materialise(numbered(reps), "near-reps")
+
+    banded = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).filter("size > 1")
+    banded = materialise(salted_join(banded.drop("n_shingles"), buckets, ["band", "key"], ["id"]), "near-buckets")
+
+    links = _pivot_links(banded, reps, known, percent)
     labels = components(links)
-    more = _tile_links(banded, labels, reps, rows)
+    more = _tile_links(banded, labels, reps, known, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    rows = numbered(member.select("doc_id", "cls", "rep", "n_shingles"))
+    rows = salted_join(rows, labels, ["id"], ["doc_id"], "left", SALTS).withColumn("label", F.coalesce("label", "id"))
+    if unique:  # a label is its component's smallest doc_id
+        named = rows.withColumn("component_id", F.col("label"))
+    else:
+        least = rows.groupBy("label").agg(F.min("rep").alias("component_id"))
+        named = salted_join(rows, least, ["label"], ["doc_id"], salts=SALTS)
+    # Without words there is no link, so such a row is a component alone.
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.select("doc_id", "cls", "n_shingles", own.alias("component_id")), twice
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, kept."""
+    rows = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
+    # Null ids stay out of the search: pandas would turn the column into doubles.
+    named = _labelled(rows.filter("doc_id is not null"), percent)[0].drop("cls")
     blank = rows.filter("doc_id is null").mapInPandas(_sizes, "n_shingles bigint").select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
     return named.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -320,8 +358,17 @@ def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are their component's smallest doc_id, with all columns;
     rows without doc_id stay."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = boxed(docs, _id=column(docs, "doc_id", "bigint"), _text=text_or_empty(docs))
+    named, twice = _labelled(rows.filter("_id is not null").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text")), STAGE_PERCENT)
+    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).distinct()
+    if twice.isEmpty():
+        return unboxed(rows.join(gone.drop("_cls"), "_id", "left_anti"), docs)
+    # Of rows with one doc_id and several texts, each goes by its own words.
+    marked = rows.join(twice.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several")), "_id", "left")
+    classed = marked.withColumn("_cls", F.pandas_udf(_class_of, "binary")(F.when(F.col("_several"), F.col("_text"))))
+    several = twice.select(F.col("doc_id").alias("_id"))
+    one, many = gone.join(several, "_id", "left_anti").select("_id"), gone.join(several, "_id", "left_semi")
+    return unboxed(classed.join(one, "_id", "left_anti").join(many, ["_id", "_cls"], "left_anti"), docs)
 
 
 def op5_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
