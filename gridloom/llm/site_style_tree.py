@@ -30,16 +30,20 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, materialise, salted_join, table
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 8
+#: Elements nested deeper count for the one at this depth, as in browsers.
+DEEPEST = 512
 SALTS = 8
 
 # HTML element names by role and words of boilerplate classes.
@@ -53,7 +57,8 @@ NOISE_WORDS = frozenset(
 )
 HEADERS = frozenset("header masthead topbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: A tag whose quote is left open ends at its first >.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|$)|[^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(id|class|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose start ends an open p, as in the HTML standard.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -61,15 +66,28 @@ _SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "thead": ("table",), "option": ("select",)}
 
 
+def _hash(text: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 class _Node:
-    """marked: the element says that it is not content. holds: it is or holds a main or
-    article element. size: characters of text below it. settle() gives noise and main."""
+    """key: a hash of the labels from the root to the element; chain: its key and those above
+    it but the root's. marked: the element says that it is not content. holds: it is or
+    holds a main or article element. size: characters of text below it. settle() gives
+    noise and main."""
 
-    __slots__ = ("name", "path", "parent", "marked", "own", "within", "holds", "size", "small", "noise", "main")
+    __slots__ = ("name", "key", "chain", "parent", "marked", "own", "within", "holds", "size", "small", "noise", "main")
 
     def __init__(self, name: str, label: str, parent: "_Node | None", words: set[str]):
         self.name, self.parent, self.size = name, parent, 0
-        self.path = f"{parent.path}/{label}" if parent else label
+        if not parent:
+            self.key, self.chain = 0, ()
+        elif len(parent.chain) >= DEEPEST:
+            self.key, self.chain = parent.key, parent.chain
+        else:
+            self.key = _hash(f"{parent.key}/{label}")
+            self.chain = (self.key, *parent.chain)
         self.own = name == "main" or "main" in words
         self.holds = self.own or name in MAIN
         self.within = self.holds or bool(parent and parent.within)
@@ -91,8 +109,8 @@ def _settle(nodes: list[_Node]) -> None:
         node.main = bool(up and up.main) or node.own or (node.name == "article" and not node.small)
 
 
-def read_page(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[str]]]:
-    """Blocks (path, text, noise, main) in page order; child labels by path."""
+def read_page(page: str) -> tuple[list[tuple[_Node, str]], dict[int, list[str]]]:
+    """Blocks (node, text) in page order; labels of the children by key."""
     root = _Node("html", "html", None, set())
     nodes, stack, blocks, shapes, pending = [root], [root], [], {}, []
 
@@ -160,45 +178,51 @@ def read_page(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, l
         parent = stack[-1]
         node = _Node(name, label, parent, words)
         nodes.append(node)
-        shape = shapes.setdefault(parent.path, [])
+        shape = shapes.setdefault(parent.key, [])
         if not shape or shape[-1] != label:
             shape.append(label)
         if not tag[0].endswith("/>"):
             stack.append(node)
     flush()
     _settle(nodes)
-    return [(node.path, text, node.noise, node.main) for node, text in blocks], shapes
+    return blocks, shapes
 
 
-def _branches(path: str) -> Iterator[str]:
-    """The path and all above it but the root."""
-    while "/" in path:
-        yield path
-        path = path.rpartition("/")[0]
+FEATURES = "host string, node bigint, kind int, value bigint, above binary, whole bigint"
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A page's distinct (path, kind, value): its branches' texts, a node's children."""
+    """A page's distinct rows: kind 0, a text of a node's branch; kind 1, the node's
+    children, with the nodes above it."""
     for batch in batches:
         out = []
         for host, page in zip(batch["host"], batch["html"]):
             blocks, shapes = read_page(page)
-            whole = xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks).encode("utf-8", "replace")) - (1 << 63)
-            seen = set()
-            for path, text, *_ in blocks:
-                h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
-                seen.update((p, 0, h) for p in _branches(path))
-            used = {p for p, _, _ in seen}
-            seen.update((p, 1, xxhash.xxh3_64_intdigest("\t".join(shapes.get(p, ())).encode("utf-8", "replace")) - (1 << 63)) for p in used)
-            out += [(host, *x, whole) for x in seen]
-        yield pd.DataFrame(out, columns=["host", "path", "kind", "value", "whole"])
+            whole = _hash("\n".join(text for _, text in blocks))
+            seen, used = set(), {}
+            for node, text in blocks:
+                value = _hash(text)
+                for depth, key in enumerate(node.chain):
+                    if (key, value) in seen:  # and so have all above it
+                        break
+                    seen.add((key, value))
+                    used.setdefault(key, node.chain[depth + 1 :])
+            out += [(host, key, 0, value, None, whole) for key, value in seen]
+            out += [(host, key, 1, _hash("\t".join(shapes.get(key, ()))), struct.pack(f"<{len(above)}q", *above), whole) for key, above in used.items()]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _keys_above(above: pd.Series) -> pd.Series:
+    return above.map(lambda b: list(struct.unpack(f"<{len(b) // 8}q", b)))
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """Rows (host, path, pages, presentation, content, importance) of the merged trees."""
-    rows = pages.filter("host is not null").select("host", "html").mapInPandas(_features, "host string, path string, kind int, value bigint, whole bigint")
-    counts = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
-    nodes = counts.groupBy("host", "path").agg(
+    """Rows (host, node, above, pages, presentation, content, importance) of the merged trees."""
+    rows = pages.filter("host is not null").select("host", "html").mapInPandas(_features, FEATURES)
+    counts = rows.groupBy("host", "node", "kind", "value", "above").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+    nodes = counts.groupBy("host", "node").agg(
+        F.max("above").alias("above"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("pages"),
         F.count_if(F.col("kind") == 1).alias("l"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log(F.col("n").cast("double")))).alias("nlogn"),
@@ -210,16 +234,24 @@ def importance(pages: DataFrame) -> DataFrame:
     presentation = F.when(single, F.lit(1.0)).otherwise(1 - F.try_divide(F.col("nlogn"), F.col("pages") * log_m))
     content = F.when(single, F.lit(1.0)).otherwise(1 - F.coalesce(F.try_divide(F.col("logdf"), log_m), F.lit(0.0)))
     weight = F.pow(F.lit(GAMMA), F.col("l"))
-    return nodes.select("host", "path", "pages", presentation.alias("presentation"), content.alias("content"), ((1 - weight) * presentation + weight * content).alias("importance"))
+    return nodes.select("host", "node", "above", "pages", presentation.alias("presentation"), content.alias("content"), ((1 - weight) * presentation + weight * content).alias("importance"))
 
 
 def noisy(pages: DataFrame) -> DataFrame:
-    """Rows (host, path) of the noisy branches of hosts with enough pages."""
-    parts = F.split("path", "/", -1)
-    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    best = importance(pages).select("host", F.explode(above).alias("path"), "importance").groupBy("host", "path").agg(F.max("importance").alias("best"))
+    """Rows (host, node) of the noisy branches of hosts with enough pages."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
-    return best.filter(F.col("best") < LEAST).join(hosts, "host", "left_semi").select("host", "path")
+    nodes = importance(pages).join(hosts, "host", "left_semi")
+    up = nodes.select("host", F.explode(F.concat(F.array("node"), _keys_above("above"))).alias("node"), "importance")
+    return up.groupBy("host", "node").agg(F.max("importance").alias("best")).filter(F.col("best") < LEAST).select("host", "node")
+
+
+def main_text(blocks: list[tuple[_Node, str]], low: set[int]) -> str:
+    """low: the host's noisy branches. The trees come first; then a page that has an
+    article or main element keeps to it, and marked elements go."""
+    blocks = [b for b in blocks if b[0].key not in low] or blocks
+    blocks = [b for b in blocks if b[0].main] or blocks
+    blocks = [b for b in blocks if not b[0].noise] or blocks
+    return "\n".join(text for _, text in blocks)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,12 +259,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for page, low in zip(batch["html"], batch["low"]):
             low = set(low) if low is not None else set()
-            blocks = read_page(page)[0]
-            # A page that has an article or main element keeps to it.
-            blocks = [b for b in blocks if b[3]] or blocks
-            blocks = [b for b in blocks if not b[2]] or blocks
-            blocks = [b for b in blocks if b[0] not in low] or blocks
-            texts.append("\n".join(b[1] for b in blocks))
+            texts.append(main_text(read_page(page)[0], low))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -240,7 +267,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     url = column(pages, "url", "string")
     rows = pages.select(column(pages, "page_id", "bigint").cast("string").alias("page_id"), url.alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"))
-    lists = materialise(noisy(rows).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")), "site-trees")
+    lists = materialise(noisy(rows).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "site-trees")
     joined = salted_join(rows, lists, ["host"], ["page_id", "url"], "left", SALTS)
     out = joined.select("page_id", "url", "html", "low").mapInPandas(_extract, "page_id string, url string, text string, n_chars bigint")
     return out.withColumn("page_id", F.col("page_id").cast("bigint"))
