@@ -38,7 +38,9 @@ TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 100
 TOLERANCE = 1e-3
 SYMBOLS = TOP + BUCKETS
 #: Tokens of a batch, and of the pieces in which a training pass goes through it.
-BATCH_TOKENS, SEGMENT, CHUNK = 5_000_000, 64, 1 << 18
+BATCH_TOKENS, CHUNK = 5_000_000, 1 << 20
+#: Texts of more than LONG tokens are passed in segments.
+LONG, SEGMENT = 4096, 64
 #: Weight of the overall symbol frequencies in each state's emissions.
 PRIOR = 50.0
 END = b""
@@ -127,12 +129,57 @@ class Model:
 
     def expected(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of (symbol, state), moves and starts, and the log likelihood.
-        symbols: texts one after another; fresh: true at the first token of each.
+        symbols: texts one after another; fresh: true at the first token of each."""
+        starts = np.flatnonzero(fresh)
+        lengths = np.diff(np.append(starts, len(symbols)))
+        long = np.repeat(lengths > LONG, lengths)
+        parts = [run(symbols[keep], fresh[keep]) for run, keep in ((self._side_by_side, ~long), (self._in_segments, long)) if keep.any()]
+        return tuple(sum(x) for x in zip(*parts))
 
-        Each text is padded to whole segments and passes run over all segments at once.
-        The product of a segment's steps carries the forward message into the next
-        segment of its text and the backward message into the one before, so the
-        counts are those of the whole text."""
+    def _side_by_side(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """expected() by a step a token position over all texts that reach it. Tokens are
+        laid out by position, longer texts first, so a step is one slice."""
+        k, starts = len(self.start), np.flatnonzero(fresh)
+        lengths = np.diff(np.append(starts, len(symbols)))
+        rank = np.empty(len(lengths), np.int64)
+        rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+        active = len(lengths) - np.cumsum(np.bincount(lengths))[:-1]
+        top = np.concatenate([[0], np.cumsum(active)])
+        at = top[np.arange(len(symbols)) - np.repeat(starts, lengths)] + np.repeat(rank, lengths)
+        ordered = np.empty(len(symbols), np.int64)
+        ordered[at] = symbols
+        # Emissions relative to the symbol's best state stay well within single precision.
+        best = self.emit.max(axis=1)
+        emit = (self.emit / best[:, None]).astype(np.float32)[ordered]
+        moves = self.moves.astype(np.float32)
+        alpha, scale = np.empty_like(emit), np.empty((len(symbols), 1), np.float32)
+        now = np.tile(self.start.astype(np.float32), (len(lengths), 1))
+        for t in range(len(active)):
+            s = slice(top[t], top[t + 1])
+            here = now[: active[t]] * emit[s]
+            scale[s] = np.maximum(here.sum(axis=1, keepdims=True), 1e-30)
+            here /= scale[s]
+            alpha[s] = here
+            now = here @ moves
+        moved, beta = np.zeros((k, k)), np.ones((0, k), np.float32)
+        for t in range(len(active) - 1, -1, -1):
+            s = slice(top[t], top[t + 1])
+            beta = np.concatenate([beta, np.ones((active[t] - len(beta), k), np.float32)])
+            ahead = emit[s] * beta
+            ahead /= scale[s]
+            alpha[s] *= beta
+            if t:
+                moved += alpha[top[t - 1] : top[t - 1] + active[t]].T @ ahead
+                beta = ahead @ moves.T
+        counts = np.stack([np.bincount(ordered, weights=alpha[:, j], minlength=SYMBOLS) for j in range(k)], axis=1)
+        likelihood = np.log(scale, dtype=np.float64).sum() + np.log(best)[ordered].sum()
+        return counts, moved * self.moves, alpha[: top[1]].sum(axis=0, dtype=np.float64), float(likelihood)
+
+    def _in_segments(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """expected() of long texts: each is padded to whole segments and passes run over
+        all segments at once. The product of a segment's steps carries the forward message
+        into the next segment of its text and the backward message into the one before,
+        so the counts are those of the whole text."""
         k, starts = len(self.start), np.flatnonzero(fresh)
         lengths = np.diff(np.append(starts, len(symbols)))
         parts = -(-lengths // SEGMENT)

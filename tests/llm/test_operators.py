@@ -197,6 +197,7 @@ def test_expected_counts_are_the_sums_over_paths(monkeypatch):
     from itertools import product
 
     monkeypatch.setattr(hmm, "SEGMENT", 2)
+    monkeypatch.setattr(hmm, "LONG", 3)
     rng = np.random.default_rng(1)
     m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
     texts = [rng.integers(0, 5, n) for n in (1, 7, 2, 3, 6)]
