@@ -85,5 +85,11 @@ def norm_date(c: Column, kind: str) -> Column:
     return c.try_cast("date") if kind == "text" else c.cast("date")
 
 
+def date_serial(c: Column) -> Column:
+    """Days since 1899-12-30, with the time of day as a fraction."""
+    at = c.cast("timestamp")
+    return F.datediff(at, F.lit("1899-12-30").cast("date")) + (F.unix_micros(at) - F.unix_micros(F.date_trunc("day", at))) / F.lit(86_400_000_000.0)
+
+
 def is_blank(c: Column, kind: str) -> Column:
     return c.isNull() | (trim_ws(c) == "") if kind == "text" else c.isNull()

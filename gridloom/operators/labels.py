@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,18 +15,18 @@ from .grid import kinds
 
 # Names that mean the same, by columns of a transaction and a standard table.
 SYNONYMS = [
-    ("tp|trade price|inv amount|invoice amount", "tp|inv amount"),
-    ("ntp|net trade price", "ntp|ntp regular"),
-    ("sp|consumer price|retail price|usp", "consumer price|usp|unit sp"),
-    ("utp|unit tp|per unit trade price", "utp|unit tp"),
-    ("qty|quantity", "quantity"),
-    ("disc|discount", "discount"),
-    ("date|visit date|txn date", "date"),
-    ("id|visit id|transaction id", "visit id|id"),
-    ("sku|sku standard name|product", "sku standard name"),
-    ("m.cat|master cat|master category", "m.cat|master cat"),
-    ("cat|category", "category"),
-    ("a/q|aq|amount/qty", "a/q"),
+    ({"tp", "trade price", "inv amount", "invoice amount"}, {"tp", "inv amount"}),
+    ({"ntp", "net trade price"}, {"ntp", "ntp regular"}),
+    ({"sp", "consumer price", "retail price", "usp"}, {"consumer price", "usp", "unit sp"}),
+    ({"utp", "unit tp", "per unit trade price"}, {"utp", "unit tp"}),
+    ({"qty", "quantity"}, {"quantity"}),
+    ({"disc", "discount"}, {"discount"}),
+    ({"date", "visit date", "txn date"}, {"date"}),
+    ({"id", "visit id", "transaction id"}, {"visit id", "id"}),
+    ({"sku", "sku standard name", "product"}, {"sku standard name"}),
+    ({"m.cat", "master cat", "master category"}, {"m.cat", "master cat"}),
+    ({"cat", "category"}, {"category"}),
+    ({"a/q", "aq", "amount/qty"}, {"a/q"}),
 ]
 SYNONYM_BONUS, TOKEN_BASE, CONTAINED = 0.45, 0.35, 0.82
 PREFIX_BONUS, FIRST_WORD_BONUS, LEAST_SIMILARITY = 0.18, 0.08, 0.72
@@ -46,8 +47,7 @@ def score_names(a: str, b: str) -> float:
     p, q = set(x.split()), set(y.split())
     shared = TOKEN_BASE + (1 - TOKEN_BASE) * len(p & q) / len(p | q) if p & q else 0.0
     best = max(SequenceMatcher(None, x, y).ratio(), shared, CONTAINED if x in y or y in x else 0.0)
-    low = str(a).strip().lower(), str(b).strip().lower()
-    known = any((u in l.split("|") and v in r.split("|")) for l, r in SYNONYMS for u, v in (low, low[::-1]))
+    known = any(u in left and v in right for left, right in SYNONYMS for u, v in ((x, y), (y, x)))
     return min(1.0, best + (SYNONYM_BONUS if known else 0.0))
 
 
@@ -59,8 +59,37 @@ def similarity(value: str, candidate: str) -> float:
     return min(1.0, score)
 
 
-def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
+#: Labels of one side of a tile of the comparison.
+TILE = 2000
+
+
+def _best_of_tile(rows: pd.DataFrame) -> pd.DataFrame:
+    """The most similar standard of the tile for each label. The characters that two
+    labels share bound their similarity, so the costly comparison runs only where it
+    can still win: the result is that of comparing all of them."""
+    values, standards = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("first")
+    shapes = [Counter(norm(v)) for v in standards["label"]]
+    out = []
+    for value in values["label"]:
+        own, best, at = Counter(norm(value)), -1.0, None
+        n = sum(own.values())
+        bounds = []
+        for shape in shapes:
+            m = sum(shape.values())
+            bounds.append(2 * (own & shape).total() / max(n + m, 1))
+        words = set(norm(value).split())
+        for bound, to, first in zip(bounds, standards["label"], standards["first"]):
+            # What containment, shared words, a synonym and the bonuses may add needs a common word or text.
+            y = norm(to)
+            linked = words & set(y.split()) or norm(value) in y or y in norm(value) or any(norm(value) in l | r and y in l | r for l, r in SYNONYMS)
+            if not linked and bound <= best:
+                continue
+            score = similarity(value, to)
+            if score > best:
+                best, at = score, (to, first)
+        if at:
+            out.append((value, at[0], at[1], best))
+    return pd.DataFrame(out, columns=["value", "to", "first", "score"])
 
 
 def labels(df: DataFrame, column: str, name: str = "value") -> DataFrame:
@@ -76,25 +105,74 @@ def unmatched(new: DataFrame, master: DataFrame, new_column: str, master_column:
 
 
 def suggest(unknown: DataFrame, master: DataFrame, master_column: str, crosswalk: dict[str, str] | None = None, threshold: float = LEAST_SIMILARITY) -> DataFrame:
-    """(value, rows, action, to, confidence) for unmatched labels: the crosswalk's standard,
-    else the most similar one, else add. Candidates share a first letter run or a word, so
-    labels are not all compared with each other."""
-    standards = labels(master, master_column, "to").select("to", F.col("first"))
-    grams = lambda c: F.array_distinct(F.flatten(F.array(F.split(F.lower(c), r"[^a-z0-9]+"), F.array(F.substring(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", ""), 1, 3)))))
-    left = unknown.select("value", F.explode(grams(F.col("value"))).alias("g")).filter("g <> ''")
-    right = standards.select("to", "first", F.explode(grams(F.col("to"))).alias("g")).filter("g <> ''")
-    pairs = left.join(right, "g").select("value", "to", "first").distinct()
-    scored = pairs.withColumn("score", F.pandas_udf(_similarities, "double")("value", "to"))
+    """(value, rows, action, to, confidence, why) for unmatched labels: the crosswalk's
+    standard if master has it, else the most similar one (the first of equals), else add.
+    The distinct labels that are unmatched are compared with all distinct standards, in
+    tiles of bounded size, which send one row a label."""
+    standards = labels(master, master_column, "label").select("label", "first")
+    n_values, n_standards = unknown.count(), standards.count()
+    blocks = lambda n: max(1, -(-n // TILE))
+    part = lambda n: F.pmod(F.xxhash64("label"), F.lit(blocks(n))).cast("int")
+    across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(blocks(n) - 1)))
+    left = unknown.select(F.col("value").alias("label"), F.lit(None).cast("bigint").alias("first"), F.lit(0).alias("side")).withColumn("i", part(n_values)).withColumn("j", across(n_standards))
+    right = standards.withColumn("side", F.lit(1)).withColumn("j", part(n_standards)).withColumn("i", across(n_values))
+    scored = left.unionByName(right).groupBy("i", "j").applyInPandas(_best_of_tile, "value string, to string, first bigint, score double")
     best = scored.groupBy("value").agg(F.max_by(F.struct("to", "score"), F.struct("score", -F.col("first"))).alias("b"))
-    known = F.create_map(*[F.lit(x) for k, v in (crosswalk or {"": ""}).items() for x in (k.strip().upper(), v)])
-    fixed = F.element_at(known, F.upper("value"))
+    pairs = [(str(k).strip().upper(), v) for k, v in (crosswalk or {}).items()]
+    known = master.sparkSession.createDataFrame(pairs, "__k string, __to string").dropDuplicates(["__k"])
+    held = standards.select(F.upper("label").alias("__u")).distinct()
+    known = known.join(held, F.upper(trim_ws("__to")) == F.col("__u"), "left_semi")
     near = F.col("b.score") >= threshold
-    out = unknown.join(best, "value", "left")
+    fixed = F.col("__to")
+    out = unknown.withColumn("__k", F.upper("value")).join(known, "__k", "left").join(best, "value", "left")
+    why = F.when(fixed.isNotNull(), F.lit("listed in a crosswalk")).when(near, F.concat(F.floor(100 * F.col("b.score")).cast("string"), F.lit("% similar"))).otherwise(F.lit("nothing similar"))
     return out.select(
         "value", "rows", F.when(fixed.isNotNull() | near, F.lit("map")).otherwise(F.lit("add")).alias("action"),
         F.coalesce(fixed, F.when(near, F.col("b.to"))).alias("to"),
-        F.when(fixed.isNotNull(), F.lit(1.0)).otherwise(F.round(F.coalesce("b.score", F.lit(0.0)), 3)).alias("confidence"),
-    ).orderBy("value")
+        F.when(fixed.isNotNull(), F.lit(1.0)).otherwise(F.round(F.coalesce("b.score", F.lit(0.0)), 3)).alias("confidence"), why.alias("why"),
+    )
+
+
+def report(new: DataFrame, master: DataFrame, pairs: list[dict], crosswalks: dict[str, dict[str, str]] | None = None, decisions: dict[str, dict[str, dict]] | None = None, roles: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """For pairs of columns (new, master): a summary (new_column, master_column,
+    new_values, master_values, matched, skipped) and the unmatched labels with their
+    decision, or a suggestion where there is none. Numeric columns are skipped unless
+    roles declares them dimensions."""
+    crosswalks, decisions, roles = crosswalks or {}, decisions or {}, roles or {}
+    found_new, found_master = column_roles(new), column_roles(master)
+    summary, rows = None, None
+    add = lambda a, b: b if a is None else a.unionByName(b)
+    for p in pairs:
+        a, b = p.get("new"), p.get("master")
+        if a not in new.columns or b not in master.columns:
+            continue
+        head = [F.lit(a).alias("new_column"), F.lit(b).alias("master_column")]
+        measures = "measure" in (found_new[a], found_master[b]) and roles.get(a) != "dimension"
+        x, y = labels(new, a), labels(master, b, "label")
+        if measures:
+            summary = add(summary, new.sparkSession.range(1).select(*head, *[F.lit(0).cast("bigint").alias(c) for c in ("new_values", "master_values", "matched")], F.lit(True).alias("skipped")))
+            continue
+        other = unmatched(new, master, a, b)
+        counts = x.agg(F.count("*").alias("new_values")).crossJoin(y.agg(F.count("*").alias("master_values"))).crossJoin(other.agg(F.count("*").alias("n")))
+        summary = add(summary, counts.select(*head, "new_values", "master_values", (F.col("new_values") - F.col("n")).alias("matched"), F.lit(False).alias("skipped")))
+        out = suggest(other, master, b, crosswalks.get(b))
+        prior = [(k, d.get("action", "map"), d.get("to")) for k, d in decisions.get(a, {}).items()]
+        if prior:
+            chosen = new.sparkSession.createDataFrame(prior, "value string, __action string, __to string")
+            out = out.join(chosen, "value", "left")
+            taken = F.col("__action").isNotNull()
+            out = out.select("value", "rows", F.coalesce("__action", "action").alias("action"), F.when(taken, F.col("__to")).otherwise(F.col("to")).alias("to"), F.when(taken, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"), F.when(taken, F.lit("")).otherwise(F.col("why")).alias("why"))
+        rows = add(rows, out.select(*head, "value", "rows", "action", "to", "confidence", "why"))
+    spark = new.sparkSession
+    kinds_of_summary = "new_column string, master_column string, new_values bigint, master_values bigint, matched bigint, skipped boolean"
+    kinds_of_rows = "new_column string, master_column string, value string, rows bigint, action string, to string, confidence double, why string"
+    return summary if summary is not None else spark.createDataFrame([], kinds_of_summary), rows if rows is not None else spark.createDataFrame([], kinds_of_rows)
+
+
+def review_list(df: DataFrame, column: str, mapping: dict[str, str], limit: int = 200) -> DataFrame:
+    """(value): the first distinct labels that a map has no entry for."""
+    known = df.sparkSession.createDataFrame([(str(k).strip().upper(),) for k in mapping], "__k string")
+    return labels(df, column).withColumn("__k", F.upper("value")).join(known, "__k", "left_anti").orderBy("first").limit(limit).select("value")
 
 
 def value_map(df: DataFrame, column: str, pairs: dict[str, str], keep_unmatched: bool = True) -> DataFrame:
@@ -143,9 +221,14 @@ def key_pairs(df: DataFrame, least_rows: int = 4) -> DataFrame:
     return flat.filter((F.col("rows") >= least_rows) & (F.col("keys") >= 0.9 * F.col("rows")) & (F.col("same") <= 0.95 * F.col("rows"))).select("left", "right", "rows")
 
 
+#: Labels of a crosswalk, at most.
+MOST_PAIRS = 1_000_000
+
+
 def collect_crosswalks(sheet: DataFrame, master: DataFrame, least: float = 0.6) -> dict[str, dict[str, str]]:
     """Label to standard by master column, from neighbouring columns of a sheet whose
-    right side is mostly in that column. The result is configuration, of a sheet's size."""
+    right side is mostly in that column. The result is configuration; a sheet with more
+    than MOST_PAIRS labels is none, and an error."""
     out: dict[str, dict[str, str]] = {}
     for pair in key_pairs(sheet).collect():
         right = labels(sheet, pair["right"], "v").select(F.upper("v").alias("v")).distinct()
@@ -153,26 +236,27 @@ def collect_crosswalks(sheet: DataFrame, master: DataFrame, least: float = 0.6)
             known = labels(master, column, "v").select(F.upper("v").alias("v")).distinct()
             share = right.join(known.withColumn("k", F.lit(1)), "v", "left").agg(F.avg(F.coalesce("k", F.lit(0)))).first()[0]
             if share is not None and share >= least:
-                rows = sheet.select(key(F.col(f"`{pair['left']}`")).alias("k"), trim_ws(F.col(f"`{pair['right']}`").cast("string")).alias("v"), "__row_id").filter("k <> '' and v <> ''").groupBy("k").agg(F.max_by("v", "__row_id").alias("v")).collect()
+                rows = sheet.select(key(F.col(f"`{pair['left']}`")).alias("k"), trim_ws(F.col(f"`{pair['right']}`").cast("string")).alias("v"), "__row_id").filter("k <> '' and v <> ''").groupBy("k").agg(F.max_by("v", "__row_id").alias("v")).limit(MOST_PAIRS + 1).collect()
+                if len(rows) > MOST_PAIRS:
+                    raise ValueError(f"{pair['left']}: more than {MOST_PAIRS} labels are no crosswalk")
                 for r in rows:
                     out.setdefault(column, {}).setdefault(r["k"], r["v"])
     return out
 
 
-def value_sets(df: DataFrame, sample: int = 4000) -> DataFrame:
-    """(column, vals): distinct normalised labels of a sample of the first rows."""
+def value_sets(df: DataFrame) -> DataFrame:
+    """(column, v): the distinct normalised labels of all rows, by column."""
     by = kinds(df)
     norm_col = lambda c: trim_ws(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
     names = [c for c in df.columns if not c.startswith("__")]
-    head = df.limit(sample)
-    row = head.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.array_remove(F.collect_set(norm_col(text(F.col(f"`{c}`"), by[c]))), "").alias("vals")) for c in names]).alias("s"))
-    return row.select(F.explode("s").alias("s")).select("s.*")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), norm_col(text(F.col(f"`{c}`"), by[c])).alias("v")) for c in names])
+    return df.select(F.explode(cells).alias("s")).select("s.*").filter("v <> ''").distinct()
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(left, right, overlap): shared labels by the smaller set, for all pairs of columns."""
-    x = value_sets(a).select(F.col("column").alias("left"), F.explode("vals").alias("v"))
-    y = value_sets(b).select(F.col("column").alias("right"), F.explode("vals").alias("v"))
+    x = value_sets(a).select(F.col("column").alias("left"), "v")
+    y = value_sets(b).select(F.col("column").alias("right"), "v")
     nx = x.groupBy("left").agg(F.count("*").alias("nx"))
     ny = y.groupBy("right").agg(F.count("*").alias("ny"))
     both = x.join(y, "v").groupBy("left", "right").agg(F.count("*").alias("n"))
@@ -214,16 +298,54 @@ def suggest_dims(master: DataFrame, new: DataFrame, most: int = 3) -> list[dict]
     return [{"master": c, "new": best[c][1], "hist": c} for c in ranked[:most]]
 
 
-def suggest_validations(columns: dict[str, str]) -> list[dict]:
-    quantity = re.compile(r"qty|quantity|amount|price|value|sales", re.I)
-    return [{"column": c, "type": "non_negative", "enabled": True, "blocking": False} for c, k in columns.items() if k == "number" and quantity.search(c)]
+def suggest_attributes(new: DataFrame, master: DataFrame, new_roles: dict[str, str] | None = None, master_roles: dict[str, str] | None = None, threshold: float = 0.7) -> list[dict]:
+    """Pairs of dimension columns with 2 to 500 labels: for each of master the best
+    column of new that is still free, by name and shared labels."""
+    roles = column_roles(new, new_roles), column_roles(master, master_roles)
+
+    def fit(df: DataFrame, role: dict[str, str]) -> list[str]:
+        names = [c for c in df.columns if role.get(c) == "dimension"]
+        counts = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)]).first() if names else []
+        return [c for c, n in zip(names, counts) if 1 < n <= 500]
+
+    left, right = fit(master, roles[1]), fit(new, roles[0])
+    if not left or not right:
+        return []
+    pick = lambda df, names: df.select(*[F.col(f"`{c}`") for c in names])
+    shared = {(r["left"], r["right"]): r["overlap"] for r in overlaps(pick(master, left), pick(new, right)).collect()}
+    out, used = [], set()
+    for m in left:
+        scores = {n: max(name := score_names(m, n), 0.5 * name + 0.7 * shared.get((m, n), 0.0)) for n in right if n not in used}
+        best = max(scores, key=scores.get, default=None)
+        if best and scores[best] >= threshold:
+            out.append({"new": best, "master": m})
+            used.add(best)
+    return out
+
+
+def guess_id(df: DataFrame) -> str | None:
+    """A visit, transaction or plain id by name, else a numeric column with id in it."""
+    named = (c for c in df.columns if re.search(r"\b(visit\s*id|transaction\s*id)\b|^id$", c, re.I))
+    numeric = (c for c, k in kinds(df).items() if k == "number" and re.search("id", c, re.I) and not c.startswith("__"))
+    return next(named, next(numeric, None))
+
+
+# Prices of an output and the standard price that they should be near.
+PRICE_PAIRS = [("NTP", "NTP REGULAR"), ("UNIT TP", "UTP"), ("UNIT SP", "USP"), ("CONSUMER PRICE", "USP")]
+
+
+def suggest_validations(columns: dict[str, str], master_columns: list[str] = ()) -> list[dict]:
+    quantity = re.compile(r"qty|quantity|discount|amount|sales?|net|price|value", re.I)
+    own = [{"column": c, "type": "non_negative", "enabled": True, "blocking": False} for c, k in columns.items() if k == "number" and quantity.search(c)]
+    near = [{"column": c, "type": "range_pct", "reference": f"master.{m}", "pct": 10, "enabled": True} for c, m in PRICE_PAIRS if c in columns and m in master_columns]
+    return own + near
 
 
 def column_roles(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:
-    """date, measure or dimension by type (mostly numeric text is a measure)."""
+    """date, measure or dimension by type (text that is mostly numbers is a measure)."""
     by, overrides = kinds(df), overrides or {}
     texts = [c for c, k in by.items() if k == "text" and not c.startswith("__")]
-    share = df.limit(500).agg(*[F.coalesce(F.avg(num(F.col(f"`{c}`")).isNotNull().cast("int")), F.lit(1.0)).alias(f"s{i}") for i, c in enumerate(texts)]).first() if texts else []
+    share = df.agg(*[F.coalesce(F.avg(F.when(F.col(f"`{c}`").isNotNull(), num(F.col(f"`{c}`")).isNotNull().cast("int"))), F.lit(1.0)).alias(f"s{i}") for i, c in enumerate(texts)]).first() if texts else []
     numeric = {c for i, c in enumerate(texts) if share[i] > 0.8}
     role = {"date": "date", "bool": "dimension", "number": "measure", "null": "measure"}
     return {c: overrides.get(c) or role.get(k) or ("measure" if c in numeric else "dimension") for c, k in by.items() if not c.startswith("__")}
@@ -235,5 +357,3 @@ def profile(df: DataFrame) -> DataFrame:
     names = [c for c in df.columns if not c.startswith("__")]
     row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(by[c]).alias("type"), F.count(F.col(f"`{c}`")).alias("non_null"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.count_distinct(F.col(f"`{c}`")).alias("distinct_values")) for c in names]).alias("s"))
     return row.select(F.explode("s").alias("s")).select("s.*")
-
-

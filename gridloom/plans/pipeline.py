@@ -133,7 +133,7 @@ def final_types(df: DataFrame, compat: bool = False) -> DataFrame:
     if not texts:
         return df
     col = lambda c: F.col(f"`{c}`")
-    facts = lambda c: F.array(F.count(col(c)), F.count(num(col(c))), F.count_if((num(col(c)) == F.floor(num(col(c)))) & (F.abs(num(col(c))) < 2**63)), F.count(col(c).try_cast("date")), F.count_if(col(c).rlike(r"^\s*[+-]?0[0-9]")))
+    facts = lambda c: F.array(F.count(col(c)), F.count(num(col(c))), F.count_if((num(col(c)) == F.floor(num(col(c)))) & (F.abs(num(col(c))) < 2.0**63)), F.count(col(c).try_cast("date")), F.count_if(col(c).rlike(r"^\s*[+-]?0[0-9]")))
     stats = dict(zip(texts, df.agg(F.array(*[facts(c) for c in texts])).first()[0]))
 
     def typed(c: str) -> Column:
@@ -266,7 +266,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
     if not dims:
         raise ValueError("grid.master_dims is needed")
     new, master, hist = map(with_row_id, (inputs.new, inputs.master, inputs.historical))
-    scratch = [df for df in (new, master, hist) if hasattr(df, "_scratch")]
+    scratch = [df for df, given in zip((new, master, hist), (inputs.new, inputs.master, inputs.historical)) if df is not given]
 
     # Labels.
     roles = (config.get("column_roles") or {}).get("new", {})
@@ -403,7 +403,8 @@ def suggest_config(inputs: Inputs) -> dict:
     return {
         "grid": {"master_dims": dims, "new_date_column": date(new), "date_mode": "from_new", "dedupe": {"strategy": "first"}},
         "output_columns": [{"name": c, "source": {"type": "new", "column": mapped[c]} if c in mapped else {"type": "blank"}} for c in names],
-        "gapfill": {"enabled": True, "donor_strategy": "last", "hist_date_column": date(hist), "prefer": "historical"},
-        "validations": labels.suggest_validations(grid.kinds(hist)),
+        "gapfill": {"enabled": True, "donor_strategy": "last", "hist_date_column": date(hist), "prefer": "historical", "id_policy": {"column": labels.guess_id(hist), "mode": "blank"}},
+        "attribute_map": labels.suggest_attributes(new, master),
+        "validations": labels.suggest_validations(grid.kinds(hist), master.columns),
         "add_flag": True,
     }

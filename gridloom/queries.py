@@ -6,16 +6,18 @@ segment, by month; historical: the orders before. events make a second, sparser
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.formula import Value, compile_formula
-from .functions.keys import kind_of
+from .functions.keys import date_serial, kind_of
 from .operators import dedupe, grid, labels, quality
-from .plans.pipeline import Inputs, Result, build_output
-from .sources import sinks
+from .plans.pipeline import Inputs, Result, build_output, final_types
+from .scratch import folder
+from .sources import sinks, tables
 
 SPLIT = "1998-01-01"
 DIMS = [{"master": "nation", "new": "nation", "hist": "nation"}, {"master": "segment", "new": "segment", "hist": "segment"}]
@@ -173,6 +175,16 @@ def _gate(which: int) -> Callable[[SparkSession, str], DataFrame]:
     return q
 
 
+def _gate_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """Of three rules only the maximum blocks: the list names two, and one only warns."""
+    named = lambda r: {"column": r["column"], "type": r["type"]}
+    profile = {"validations": [_RULES["non_negative"][0], _RULES["min"][0]]}
+    qc = {"extra_validations": [_RULES["max"][0]], "blocking": [named(_RULES[k][0]) for k in ("non_negative", "max")], "warn_only": [named(_RULES["non_negative"][0])]}
+    df = _customers(spark, d)
+    bad = quality.gate(df, quality.compile_rules(quality.assemble_rules(profile, {"qc": qc}), df)[0])[1]
+    return bad.select("c_custkey", "c_acctbal", F.col("QC_REASON").alias("qc_reason"))
+
+
 _DEDUPES = {"first": "arg_min(v, k)", "last": "arg_max(v, k)", "sum": "coalesce(sum(v), 0)", "mean": "avg(v)", "median": "median(v)", "max": "max(v)", "min": "min(v)"}
 
 
@@ -213,16 +225,69 @@ def _events_grid(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user", "kind", "day", F.round("value", 4).alias("value"), F.col("SOURCE").alias("source"))
 
 
+def _prior_incoming(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers of 15 nations, and those of the later 15 with a higher balance."""
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return c.filter("c_nationkey < 15"), c.filter("c_nationkey >= 10").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{folder(spark)}/queries-{uuid.uuid4().hex}"
+
+
+def _upsert_table(spark: SparkSession, d: str, partition: str | None = None) -> DataFrame:
+    path = _scratch(spark)
+    for rows in _prior_incoming(spark, d):
+        sinks.upsert_partitions(rows, path, ["c_nationkey", "c_custkey"], partition) if partition else sinks.upsert(rows, path, ["c_nationkey", "c_custkey"])
+    out = spark.read.parquet(path) if partition else sinks.read_table(spark, path)
+    return out.select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as text with a title line, quoted line breaks and numbers like 007, read again."""
+    path = _scratch(spark)
+    p = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.concat("p_name", F.lit(";\n"), "p_brand").alias("name"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size"), F.col("p_retailprice").cast("string").alias("price"))
+    quoted = F.concat_ws(";", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("k", "name", "size", "price")])
+    p.coalesce(1).select(F.concat(F.when(F.col("k") == "0", F.lit("Parts;;;\nkey;label;size code;price\n")).otherwise(F.lit("")), quoted).alias("value")).sortWithinPartitions(F.col("value").startswith("Parts").cast("int").desc()).write.text(path)
+    out = tables.read_text(spark, path)
+    return out.select(F.col("key").alias("part_key"), "label", F.col("size code").alias("size_code"), F.round("price", 2).alias("price"))
+
+
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("part_key"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size_code"), F.col("p_retailprice").cast("string").alias("price"), "p_name", F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).cast("string").alias("day"))
+    return final_types(p).withColumn("price", F.round("price", 2))
+
+
+def _display(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("price"), F.col("o_orderdate").cast("timestamp").alias("placed"))
+    e = _t(spark, d, "events").select(F.col("event_id").alias("o_orderkey"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("placed"))
+    return sinks.display(o.unionByName(e))
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    i = inputs(spark, d)
+    new = i.new.withColumn("segment", F.when(F.col("segment").isin("BUILDING", "MACHINERY"), F.concat("segment", F.lit("S"))).otherwise(F.lower("segment")))
+    pairs = [{"new": "nation", "master": "nation"}, {"new": "segment", "master": "segment"}, {"new": "price", "master": "region"}]
+    return labels.report(new, i.master, pairs)[0]
+
+
+def _suggest(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts, one letter in three places left out, matched with the names."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("__row_id"), "p_name", "p_size")
+    at = F.col("p_size") % 5 + 1
+    wrong = p.withColumn("p_name", F.concat(F.substring("p_name", F.lit(1), at), F.substring("p_name", at + 2, F.lit(100))))
+    return labels.suggest(labels.unmatched(wrong, p, "p_name", "p_name"), p, "p_name")
+
+
 def _upsert(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    prior, incoming = c.filter("c_custkey <= 1000"), c.filter("c_custkey > 500").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    prior, incoming = _prior_incoming(spark, d)
     once = sinks.upsert_frames(prior, incoming, ["c_custkey"])
     return sinks.upsert_frames(once, incoming, ["c_custkey"]).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 def _append(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("order_date"))
-    return sinks.append_new_dates(o.filter("order_date < '1997-06-15'"), o.filter("o_orderkey % 3 = 0").withColumnRenamed("order_date", "ORDER_DATE"))
+    return sinks.append_new_dates(o.filter("order_date < '1997-06-15'"), o.withColumnRenamed("order_date", "ORDER_DATE"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -234,7 +299,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "excluded_anti": lambda s, d: run(s, d, grid={"master_filter": {"column": "segment", "op": "ne", "value": "building"}}).excluded.select("order_id", "nation", "segment"),
         "grid_range_dates": lambda s, d: _named(run(s, d, grid={"date_mode": "range", "date_from": "1998-01-01", "date_to": "1998-01-10"}).output).select("nation", "segment", "period", "source"),
         "gapfill_off": _full(gapfill={"enabled": False}),
-        "donor_last": _full(),
+        "donor_undated": lambda s, d: _full(gapfill={"hist_date_column": None})(s, d).drop("period"),
+        "donor_random": _full(gapfill={"donor_strategy": "random"}),
+        "grid_explicit_dates": lambda s, d: _named(run(s, d, grid={"date_mode": "explicit", "dates": ["1998-05-01", "1998-02-01", "2001-01-01"]}).output).select("nation", "segment", "period", "source"),
+        "fill_coalesce": _full(gapfill={"rules": [{"column": "price", "type": "coalesce", "sources": [{"type": "donor", "column": "gone"}, {"type": "new_donor", "column": "price"}, {"type": "donor", "column": "price"}]}]}),
+        "fill_pool": lambda s, d: run(s, d, add_pool=True).output.select("nation", "segment", "period", F.col("FILL POOL").alias("fill_pool")),
+        "id_blank": _full(gapfill={"id_policy": {"column": "order_id", "mode": "blank"}}),
+        "id_constant": _full(gapfill={"id_policy": {"column": "order_id", "mode": "constant", "value": -7}}),
+        "id_donor": _full(gapfill={"id_policy": {"column": "order_id", "mode": "donor"}}),
+        "grid_stats": lambda s, d: run(s, d).stats,
+        "dropped_variants": lambda s, d: run(s, d, grid={"dedupe": {"strategy": "none"}}).variants,
+        "preview_cells": lambda s, d: _named(run(s, d, preview_limit=200).output).select("nation", "segment", "period", "price", "source"),
+        "gate_assembled": _gate_assembled,
+        "final_types": _types,
+        "csv_round_trip": _csv,
+        "date_serials": lambda s, d: _t(s, d, "events").select("event_id", F.round(date_serial(F.col("ts")), 6).alias("serial")),
+        "display_cells": _display,
+        "standardise_report": _report,
+        "suggest_standard": _suggest,
+        "review_list": lambda s, d: labels.review_list(_t(s, d, "customer").withColumn("__row_id", F.col("c_custkey")), "c_name", {"customer#000000000": "a", " Customer#000000001 ": "b", "CUSTOMER#000000002": "c"}),
+        "sink_upsert": _upsert_table,
+        "sink_upsert_partitions": lambda s, d: _upsert_table(s, d, "c_nationkey"),
         "donor_first": _full(gapfill={"donor_strategy": "first"}),
         "donor_previous": _full(gapfill={"donor_strategy": "previous"}),
         "donor_nearest": _full(gapfill={"donor_strategy": "nearest"}),
@@ -252,14 +337,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_in_master": lambda s, d: quality.member_flags(_t(s, d, "customer").withColumn("segment", F.concat(F.lit(" "), F.lower("c_mktsegment"))), "segment", inputs(s, d).master.filter("segment <> 'BUILDING'"), "segment", "known").select("c_custkey", "known"),
         "standardise_map": _standardise("map"),
         "standardise_add": _standardise("add"),
-        "value_counts_unmatched": lambda s, d: labels.unmatched(inputs(s, d).new, inputs(s, d).master.filter("segment <> 'BUILDING'"), "segment", "segment").select(F.col("value").alias("label"), F.col("rows").alias("n")),
+        "value_counts_unmatched": lambda s, d: labels.unmatched(
+            _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("__row_id", F.col("o_orderkey")),
+            _t(s, d, "customer").filter("c_acctbal > 5000").select(F.concat(F.lit(" "), F.lower("c_name")).alias("c_name"), F.col("c_custkey").alias("__row_id")), "c_name", "c_name",
+        ).select(F.col("value").alias("label"), F.col("rows").alias("n")),
         "column_profile": lambda s, d: labels.profile(_t(s, d, "customer")).select(F.col("column").alias("column_name"), "non_null", "nulls", "distinct_values"),
-        "value_overlap": lambda s, d: labels.overlaps(_t(s, d, "nation").select("n_name"), _t(s, d, "region").select("r_name")),
+        "value_overlap": lambda s, d: labels.overlaps(_t(s, d, "part").filter("p_size > 25").select("p_name", "p_brand"), _t(s, d, "part").filter("p_size <= 40").select("p_name", "p_brand")),
         "key_pairs": lambda s, d: labels.key_pairs(_t(s, d, "nation").select("n_name", "n_nationkey", "n_regionkey")).select(F.col("left").alias("left_name"), F.col("right").alias("right_name"), F.col("rows").alias("n")),
         "upsert_idempotent": _upsert,
         "append_skip_dates": _append,
         "events_grid": _events_grid,
-        "dedupe_overrides": _dedupe("sum", {"v": "min"}),
+        "dedupe_overrides": lambda s, d: _dedupe("sum", {"v": "last", "status": "first", "tax": "sum"})(s, d).withColumn("tax", F.round("tax", 4)),
         "duplicate_count": lambda s, d: dedupe.duplicate_count(_t(s, d, "lineitem"), ["l_partkey", "l_returnflag"]),
     }
     for op, value in (("eq", "building"), ("ne", "BUILDING "), ("in", ["Building", "machinery"])):
@@ -281,9 +369,29 @@ def oracle_sql() -> dict[str, str]:
     seq = "row_number() OVER (PARTITION BY source ORDER BY grid_id)"
     numbered = _sql(_static("arg_max", key), more=", g.grid_id")
     columns = "nation, segment, period, price, {} AS order_id, region, source, fill_basis"
+    upserted = "SELECT c_custkey, round(c_acctbal + CASE WHEN c_nationkey >= 10 THEN 1 ELSE 0 END, 2) AS c_acctbal FROM customer"
+    newer = new_pool.replace("coalesce(a.order_id, b.order_id)", "b.order_id")
+    with_id = lambda value: f"SELECT {columns.format(f'CASE WHEN source = {chr(39)}FILLED{chr(39)} THEN {value} ELSE order_id END')} FROM ({last})"
+    overlap = lambda c: f"SELECT '{c}' AS \"left\", '{c}' AS \"right\", round((SELECT count(*) FROM (SELECT DISTINCT {c} FROM part WHERE p_size > 25 INTERSECT SELECT DISTINCT {c} FROM part WHERE p_size <= 40)) / least((SELECT count(DISTINCT {c}) FROM part WHERE p_size > 25), (SELECT count(DISTINCT {c}) FROM part WHERE p_size <= 40)), 6) AS overlap"
     out = {
         "grid_complete": last,
-        "donor_last": last,
+        "donor_undated": f"SELECT * EXCLUDE (period) FROM ({_sql(_static('arg_max', 'row_id'))})",
+        "grid_explicit_dates": f"WITH {_BASE} SELECT m.nation, m.segment, d.period, CASE WHEN n.nation IS NULL THEN 'FILLED' ELSE 'ACTUAL' END AS source FROM m CROSS JOIN (VALUES (DATE '1998-02-01'), (DATE '1998-05-01'), (DATE '2001-01-01')) d(period) LEFT JOIN n ON n.nation = m.nation AND n.segment = m.segment AND n.period = d.period",
+        "fill_coalesce": _sql(newer),
+        "fill_pool": f"SELECT nation, segment, period, CASE WHEN source = 'FILLED' THEN 'historical' END AS fill_pool FROM ({last})",
+        "id_blank": with_id("NULL"),
+        "id_constant": with_id("-7"),
+        "id_donor": with_id("order_id"),
+        "grid_stats": f"WITH {_BASE} SELECT count(*) AS combinations, (SELECT count(DISTINCT period) FROM n0) AS dates, count(*) * (SELECT count(DISTINCT period) FROM n0) AS expected_rows, (SELECT count(*) FROM n) AS new_rows FROM m",
+        "dropped_variants": f"WITH {_BASE} SELECT (SELECT count(*) FROM n0) - (SELECT count(*) FROM n) AS dropped_variants",
+        "preview_cells": f"SELECT nation, segment, period, price, source FROM ({_sql(_static('arg_max', key), more=', g.grid_id')}) WHERE grid_id < 200",
+        "gate_assembled": "SELECT c_custkey, c_acctbal, 'c_acctbal: above maximum 9000.0' AS qc_reason FROM customer WHERE c_acctbal > 9000",
+        "final_types": "SELECT p_partkey AS part_key, lpad(CAST(p_size AS VARCHAR), 3, '0') AS size_code, round(p_retailprice, 2) AS price, p_name, CAST(DATE '2024-01-01' + CAST(p_size AS INTEGER) AS DATE) AS day FROM part",
+        "csv_round_trip": "SELECT p_partkey AS part_key, p_name || ';' || chr(10) || p_brand AS label, lpad(CAST(p_size AS VARCHAR), 3, '0') AS size_code, round(p_retailprice, 2) AS price FROM part",
+        "date_serials": "SELECT event_id, round(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) + (epoch_us(ts) % 86400000000) / 86400000000.0, 6) AS serial FROM events",
+        "display_cells": "SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS placed FROM orders UNION ALL SELECT event_id, value, CASE WHEN ts = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END FROM events",
+        "standardise_report": f"WITH {_BASE} SELECT 'nation' AS new_column, 'nation' AS master_column, (SELECT count(DISTINCT nation) FROM n0) AS new_values, (SELECT count(DISTINCT nation) FROM m) AS master_values, (SELECT count(DISTINCT nation) FROM n0) AS matched, false AS skipped UNION ALL SELECT 'segment', 'segment', (SELECT count(DISTINCT segment) FROM n0), (SELECT count(DISTINCT segment) FROM m), (SELECT count(DISTINCT segment) FROM n0 WHERE segment NOT IN ('BUILDING', 'MACHINERY')), false UNION ALL SELECT 'price', 'region', 0, 0, 0, true",
+        "review_list": "SELECT c_name AS value FROM customer WHERE c_custkey >= 3 ORDER BY c_custkey LIMIT 200",
         "gap_rows": f"SELECT * FROM ({last}) WHERE source = 'FILLED'",
         "excluded_anti": f"WITH {_BASE} SELECT order_id, nation, segment FROM n WHERE segment = 'BUILDING'",
         "grid_range_dates": f"WITH {_BASE} SELECT m.nation, m.segment, CAST(d.period AS DATE) AS period, CASE WHEN n.nation IS NULL THEN 'FILLED' ELSE 'ACTUAL' END AS source FROM m CROSS JOIN (SELECT unnest(range(DATE '1998-01-01', DATE '1998-01-11', INTERVAL 1 DAY)) AS period) d LEFT JOIN n ON n.nation = m.nation AND n.segment = m.segment AND n.period = d.period",
@@ -311,14 +419,15 @@ UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), col, rule, blocking, CAST(NULL A
         "rule_in_master": "SELECT c_custkey, c_mktsegment <> 'BUILDING' AS known FROM customer",
         "standardise_map": f"WITH {_BASE} SELECT segment, count(*) AS n FROM n0 GROUP BY ALL",
         "standardise_add": f"WITH {_BASE} SELECT segment, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'building trade', count(DISTINCT nation) FROM n0 WHERE segment = 'BUILDING'",
-        "value_counts_unmatched": f"WITH {_BASE} SELECT segment AS label, count(*) AS n FROM n0 WHERE segment = 'BUILDING' GROUP BY ALL",
+        "value_counts_unmatched": "SELECT c_name AS label, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal <= 5000 GROUP BY ALL",
         "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
-        "value_overlap": "WITH a AS (SELECT DISTINCT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS v FROM nation), b AS (SELECT DISTINCT trim(regexp_replace(lower(r_name), '[^a-z0-9]+', ' ', 'g')) AS v FROM region) SELECT 'n_name' AS \"left\", 'r_name' AS \"right\", round(count(*) / least((SELECT count(*) FROM a), (SELECT count(*) FROM b)), 6) AS overlap FROM a JOIN b USING (v) HAVING count(*) > 0",
+        "value_overlap": overlap("p_name") + " UNION ALL " + overlap("p_brand"),
         "key_pairs": "SELECT 'n_name' AS left_name, 'n_nationkey' AS right_name, count(*) AS n FROM nation UNION ALL SELECT 'n_nationkey', 'n_regionkey', count(*) FROM nation",
-        "upsert_idempotent": "SELECT c_custkey, round(c_acctbal + CASE WHEN c_custkey > 500 THEN 1 ELSE 0 END, 2) AS c_acctbal FROM customer",
-        "append_skip_dates": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date FROM orders), p AS (SELECT * FROM o WHERE order_date < DATE '1997-06-15') SELECT * FROM p UNION ALL SELECT * FROM o WHERE o_orderkey % 3 = 0 AND order_date NOT IN (SELECT order_date FROM p)",
+        "upsert_idempotent": upserted,
+        "sink_upsert": upserted,
+        "sink_upsert_partitions": upserted,
+        "append_skip_dates": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date FROM orders), p AS (SELECT * FROM o WHERE order_date < DATE '1997-06-15') SELECT * FROM p UNION ALL SELECT * FROM o WHERE order_date NOT IN (SELECT order_date FROM p)",
         "events_grid": "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS \"user\", event_type AS kind, CAST(ts AS DATE) AS day, sum(value) AS value FROM events GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT \"user\" FROM e) CROSS JOIN (SELECT DISTINCT kind FROM e) CROSS JOIN (SELECT DISTINCT day FROM e)) SELECT g.*, round(coalesce(e.value, 0), 4) AS value, CASE WHEN e.kind IS NULL THEN 'FILLED' ELSE 'ACTUAL' END AS source FROM g LEFT JOIN e USING (\"user\", kind, day)",
-        "dedupe_overrides": None,
         "duplicate_count": "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_returnflag)",
         "grid_master_filter_eq": filtered("g.segment = 'BUILDING'", "segment"),
         "grid_master_filter_ne": filtered("g.segment <> 'BUILDING'", "segment"),
@@ -327,7 +436,7 @@ UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), col, rule, blocking, CAST(NULL A
     }
     lines = "(SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS k, *, CASE WHEN l_discount > 0.03 THEN l_quantity END AS v FROM lineitem)"
     group = lambda v: f"SELECT l_partkey, l_returnflag, round({v}, 4) AS v, arg_max(l_linestatus, k) AS status, max(l_tax) AS tax FROM {lines} GROUP BY ALL"
-    out |= {f"dedupe_{k}": group(v) for k, v in _DEDUPES.items()} | {"dedupe_overrides": group("min(v)")}
+    out |= {f"dedupe_{k}": group(v) for k, v in _DEDUPES.items()} | {"dedupe_overrides": group("arg_max(v, k)").replace("arg_max(l_linestatus, k)", "arg_min(l_linestatus, k)").replace("max(l_tax)", "round(sum(l_tax), 4)")}
     for k, (_, sql) in FORMULAS.items():
         text = k in ("formula_text", "formula_compare", "formula_pad", "formula_proper")
         out[k] = f"SELECT o_orderkey, {sql if text else f'round({sql}, 6)'} AS result FROM (SELECT *, o_custkey % 100 AS qty FROM orders)"

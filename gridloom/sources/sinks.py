@@ -1,8 +1,11 @@
 """Sinks: a dataset a sheet, keyed upsert, append of new dates, status files.
 
-A table is a folder with numbered versions and a pointer file; a write makes the next
-version and then moves the pointer, so a reader never sees half a write, the version
-before stays as backup, and a job never overwrites what it reads.
+A table is a folder with numbered versions; a reader takes the highest one that is
+complete (_SUCCESS), so it never sees half a write, and a job never overwrites what it
+reads. A writer claims its number by creating a file that must not exist, so two writers
+cannot take the same one. The version before stays as backup, older ones go. A table
+partitioned by a key column is changed in place instead: only the partitions that rows
+come in for are read and written.
 """
 
 from __future__ import annotations
@@ -10,11 +13,12 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import key, norm_date
 from ..operators.grid import kinds
+from ..scratch import discard, materialise
 
 #: Key columns by preference, when a configuration names none.
 DEFAULT_KEYS = (("DATE", "CITY", "SKU STANDARD NAME"), ("UNIQUE ID",), ("ID",))
@@ -39,12 +43,43 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{v}") if v else None
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    v = current_version(df.sparkSession, path) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v{v}")
+def write_version(df: DataFrame, path: str, keep: int = 2) -> int:
+    spark = df.sparkSession
+    fs, _ = _fs(spark, path)
+    named = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
+    v = current_version(spark, path)
+    while True:
+        v += 1
+        if not fs.exists(named(f"v{v}")) and fs.createNewFile(named(f"_claim{v}")):
+            break
+    df.write.parquet(f"{path}/v{v}")
+    for old in range(max(1, v - keep - 8), v - keep + 1):
+        fs.delete(named(f"v{old}"), True)
+        fs.delete(named(f"_claim{old}"), False)
     return v
 
 
+def upsert_partitions(incoming: DataFrame, path: str, keys: list[str], partition: str) -> dict:
+    """Upsert into a table partitioned by one of its keys. A row's key lies in one
+    partition, so the others stay as they are, unread; the new rows of those that change
+    are written aside first and then replace them. The same rows again change nothing."""
+    if partition not in keys:
+        raise ValueError("the partition column must be one of the keys")
+    spark = incoming.sparkSession
+    fs, p = _fs(spark, path)
+    incoming = materialise(incoming, "upsert-in")
+    if fs.exists(p):
+        prior = spark.read.parquet(path)
+        touched = prior.join(incoming.select(partition).distinct(), partition, "left_semi")
+        out = materialise(upsert_frames(touched, incoming, keys), "upsert-out")
+    else:
+        out = incoming
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    n = incoming.select(partition).distinct().count()
+    discard(incoming, out)
+    return {"partitions": n, "keys": keys}
+
+
 def resolve_keys(columns: list[str], wanted: list[str] | None = None) -> list[str]:
     """All of the wanted columns, else the first default set that is there, else none."""
     lower = {c.strip().lower(): c for c in columns}
@@ -102,6 +137,19 @@ def template_columns(df: DataFrame, template: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c in template])
 
 
+def display(df: DataFrame) -> DataFrame:
+    """Cells as a report shows them: NaN and infinities as null, times at midnight as days."""
+    def cell(c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        if kind in ("double", "float"):
+            return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+        if kind in ("timestamp", "timestamp_ntz"):
+            return F.when(x == F.date_trunc("day", x), F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "yyyy-MM-dd HH:mm:ss"))
+        return F.date_format(x, "yyyy-MM-dd") if kind == "date" else x
+
+    return df.select(*[cell(f.name, f.dataType.typeName()).alias(f.name) for f in df.schema])
+
+
 def sheet_name(name: str) -> str:
     return "".join("_" if ch in "[]:*?/\\" else ch for ch in name).strip()[:31] or "Sheet"
 

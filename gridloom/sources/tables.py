@@ -6,13 +6,17 @@ delimiter and header row. Workbooks (zip of XML) are read in a task each.
 
 from __future__ import annotations
 
+import csv
+import datetime
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import NUMBER
@@ -52,30 +56,33 @@ def header_row(rows: list[list[str | None]]) -> int:
 
 
 def delimiter(lines: list[str]) -> str:
-    counts = {d: [line.count(d) for line in lines if line.strip()] for d in (",", "\t", ";", "|")}
+    bare = [re.sub(r'"[^"]*"', "", line) for line in lines]
+    counts = {d: [line.count(d) for line in bare if line.strip()] for d in (",", "\t", ";", "|")}
     return max(counts, key=lambda d: (min(counts[d], default=0) > 0, min(counts[d], default=0), sum(counts[d])))
 
 
 def tidy(df: DataFrame) -> DataFrame:
     """Typed and cleaned: no empty rows, no unnamed empty columns, NaN as null, serial
-    numbers under a date's name as dates. One aggregation decides all of it."""
+    numbers under a date's name as dates. A column with a number like 007 stays text.
+    One aggregation decides all of it."""
     names = df.columns
     text = {c for c, k in kinds(df).items() if k == "text"}
     blank = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")) if c in text else F.col(f"`{c}`")
-    df = df.select(*[blank(c).alias(c) for c in names]).na.drop("all")
+    df = df.select(*[blank(c).alias(c) for c in names])
+    df = df.filter(reduce(Column.__or__, [F.col(f"`{c}`").isNotNull() for c in names])) if names else df
     number = lambda c: F.when(F.col(f"`{c}`").rlike(NUMBER), F.trim(F.col(f"`{c}`")).try_cast("double")) if c in text else F.col(f"`{c}`").try_cast("double")
     whole = lambda c: F.count_if(number(c) == F.floor(number(c)))
     day = lambda c: F.col(f"`{c}`").try_cast("date") if c in text else F.lit(None)
-    stats = df.agg(F.array(*[F.array(F.count(F.col(f"`{c}`")), F.count(number(c)), whole(c), F.count_if(number(c).between(20000, 80000)), F.count(day(c))) for c in names])).first()[0]
+    stats = df.agg(F.array(*[F.array(F.count(F.col(f"`{c}`")), F.count(number(c)), whole(c), F.count_if(number(c).between(20000, 80000)), F.count(day(c)), F.count_if(F.col(f"`{c}`").rlike(r"^\s*[+-]?0[0-9]") if c in text else F.lit(False))) for c in names])).first()[0]
     out = []
-    for c, (n, numbers, wholes, serials, days) in zip(names, stats):
+    for c, (n, numbers, wholes, serials, days, zeros) in zip(names, stats):
         if n == 0 and re.fullmatch(r"(Column|Unnamed:?) ?\d+", c):
             continue
         own = F.col(f"`{c}`")
         if c in text or kinds(df)[c] == "number":
             if n and numbers == n and serials > SERIAL_SHARE * n and "date" in c.lower():
                 own = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(number(c)).cast("int"))
-            elif c in text and n and numbers == n:
+            elif c in text and n and numbers == n and not zeros:
                 own = number(c).cast("bigint") if wholes == n else F.nanvl(number(c), F.lit(None))
             elif c in text and n and days == n and numbers == 0:
                 own = day(c)
@@ -84,26 +91,24 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, header: int | None = None, sep: str | None = None) -> DataFrame:
-    """CSV, TSV or other delimited text with a header somewhere in its first rows."""
-    lines = [r[0] for r in spark.read.text(path).limit(SCAN_ROWS + 3).collect()]
-    sep = sep or ("\t" if path.endswith(".tsv") else delimiter(lines))
-    cells = [line.split(sep) for line in lines]
+    """CSV, TSV or other delimited text with a header somewhere in its first rows. Each
+    file's rows up to the header go by their position. Files with line breaks inside
+    quotes are read whole, others in splits; one pass over the quotes tells which."""
+    lines = spark.read.text(path)
+    head = [r[0] for r in lines.limit(4 * SCAN_ROWS).collect()]
+    sep = sep or ("\t" if path.endswith(".tsv") else delimiter(head))
+    cells = [row for row in csv.reader(io.StringIO("\n".join(head)), delimiter=sep) if row][: SCAN_ROWS + 3]
     at = header_row(cells) if header is None else header
-    names = clean_names([v.strip().strip('"') for v in cells[at]] if cells else [])
-    if at == 0:
-        raw = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').csv(path)
-        names = clean_names([re.sub(r"^_c\d+$", "", c) for c in raw.columns])
-        return tidy(raw.toDF(*names))
+    names = clean_names(cells[at]) if cells else []
+    if not names:
+        return spark.createDataFrame([], "`Column 1` string")
+    broken = not lines.filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    raw = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
-    # Rows up to the header: those lines stand first in the file.
-    above = [tuple(v.strip().strip('"') or None for v in row[: len(names)]) + (None,) * (len(names) - len(row)) for row in cells[: at + 1]]
-    for row in above:
-        same = F.lit(True)
-        for i, v in enumerate(row):
-            same = same & F.trim(F.col(f"c{i}")).eqNullSafe(F.lit(v))
-        raw = raw.filter(~same)
-    return tidy(raw.toDF(*names))
+    raw = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", broken).csv(path)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__n"))
+    first = rows.filter("__start = 0").groupBy("__file").agg(F.min("__n").alias("__first"))
+    below = rows.join(first, "__file", "left").filter(~((F.col("__start") == 0) & (F.col("__n") - F.col("__first") <= at)))
+    return tidy(below.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)]))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -116,9 +121,36 @@ def _workbook(data: bytes) -> tuple[zipfile.ZipFile, dict[str, str]]:
     return z, {s.get("name"): "xl/" + rels[s.get(f"{{{_NS['r']}}}id")].removeprefix("/xl/").removeprefix("xl/") for s in sheets}
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\\\.', "", f.get("formatCode") or "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
+    dated = lambda n: n in (*range(14, 23), *range(45, 48)) or bool(re.search("[ymdhs]", own.get(n, ""), re.I))
+    return {i for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)) if dated(int(xf.get("numFmtId") or 0))}
+
+
+def _cell(c: ElementTree.Element, shared: list[str], dates: set[int]) -> str | None:
+    kind, v = c.get("t"), c.find("m:v", _NS)
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+    if v is None or kind == "e":
+        return None
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind == "b":
+        return "True" if v.text == "1" else "False"
+    if kind in (None, "n") and v.text and int(c.get("s") or 0) in dates:
+        at = datetime.datetime(1899, 12, 30) + datetime.timedelta(days=float(v.text))
+        return at.date().isoformat() if at.time() == datetime.time() else at.isoformat(" ", "seconds")
+    return v.text
+
+
 def _sheet_rows(data: bytes, sheet: str | None) -> Iterator[list[str | None]]:
     z, sheets = _workbook(data)
     shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+    dates = _date_styles(z)
     for _, row in ElementTree.iterparse(z.open(sheets[sheet] if sheet else next(iter(sheets.values())))):
         if row.tag != f"{{{_NS['m']}}}row":
             continue
@@ -129,9 +161,7 @@ def _sheet_rows(data: bytes, sheet: str | None) -> Iterator[list[str | None]]:
             for ch in letters[0] if letters else "":
                 at = at * 26 + ord(ch) - 64
             cells += [None] * ((at or len(cells) + 1) - 1 - len(cells))
-            v = c.find("m:v", _NS)
-            inline = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-            cells.append(shared[int(v.text)] if c.get("t") == "s" and v is not None else inline if c.get("t") == "inlineStr" else v.text if v is not None else None)
+            cells.append(_cell(c, shared, dates))
         yield cells
         row.clear()
 
@@ -147,10 +177,10 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, head
 
         for batch in batches:
             for content in batch["content"]:
-                rows = list(_sheet_rows(bytes(content), sheet))
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
+                rows, at = _sheet_rows(bytes(content), sheet), 0
+                while part := list(islice(rows, 10_000)):
                     yield pd.DataFrame({"n": range(at, at + len(part)), "v": part})
+                    at += len(part)
 
     cells = files.select("content").mapInPandas(run, "n bigint, v array<string>")
     head = [r["v"] for r in cells.filter(F.col("n") < SCAN_ROWS + 3).orderBy("n").collect()]
@@ -176,10 +206,56 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, header:
     return read_workbook(spark, path, sheet, header)
 
 
-# Words of file names by role.
-ROLE_WORDS = {"master": ("master", "list"), "historical": ("historical", "history", "output", "template", "db final", "sales db"), "new": ("new", "data", "transaction")}
+# Words of file names by role, the sheet of results and those beside it.
+ROLE_WORDS = {"master": ("master",), "historical": ("hist", "template", "db final", "sales db"), "new": ("new", "raw", "input")}
+OUTPUT_SHEET = "output data"
+AUX_SHEETS = {"quarantined rows", "validation issues", "excluded new rows", "master additions", "master data additions", "run summary"}
+READABLE = (".csv", ".tsv", ".txt", ".parquet", ".xlsx", ".xlsm", ".xltx")
 
 
 def guess_role(name: str) -> str | None:
     low = name.lower()
-    return next((role for role, words in ROLE_WORDS.items() if any(w in low for w in words)), None)
+    return next((role for role, words in ROLE_WORDS.items() if any(w in low for w in words) or (role == "master" and low.startswith("md"))), None)
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> list[dict]:
+    """name, path, size and mtime (ms) of what a folder holds, by name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    rows = [{"name": s.getPath().getName(), "path": s.getPath().toString(), "size": s.getLen(), "mtime": s.getModificationTime()} for s in found or []]
+    return sorted(rows, key=lambda r: r["name"])
+
+
+def resolve_files(spark: SparkSession, folder: str, named: dict[str, str] | None = None, new_file: str | None = None) -> dict[str, str]:
+    """Paths by role: new_file, then those named, then by the words of the file names. A
+    named file that is missing, or a role without a file, is an error."""
+    files = {f["name"]: f["path"] for f in list_files(spark, folder)}
+    out: dict[str, str] = {}
+    for role, name in {**(named or {}), **({"new": new_file} if new_file else {})}.items():
+        if name:
+            elsewhere = list_files(spark, *name.rsplit("/", 1)) if "/" in name else []
+            if not elsewhere and name not in files:
+                raise FileNotFoundError(f"{role}: {name} not found in {folder}")
+            out[role] = elsewhere[0]["path"] if elsewhere else files[name]
+    for name, path in files.items():
+        role = guess_role(name)
+        if role and role not in out and name.lower().endswith(READABLE) and not name.startswith("~$"):
+            out[role] = path
+    missing = [r for r in ("new", "master", "historical") if r not in out]
+    if missing:
+        raise FileNotFoundError(f"no file for {', '.join(missing)} in {folder}")
+    return out
+
+
+def choose_sheet(spark: SparkSession, path: str, role: str, wanted: str | None = None) -> str | None:
+    """The sheet wanted; else the first, or for master and historical the sheet of results,
+    or of those that are not written beside it the one with most cells in its first rows."""
+    sheets = list_sheets(spark, path)
+    if wanted or role == "new" or len(sheets) < 2:
+        return wanted or (sheets[0] if sheets else None)
+    exact = [s for s in sheets if s.strip().casefold() == OUTPUT_SHEET]
+    if exact:
+        return exact[0]
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    filled = lambda s: sum(v not in (None, "") for row in islice(_sheet_rows(data, s), 30) for v in row)
+    return max([s for s in sheets if s.strip().casefold() not in AUX_SHEETS] or sheets, key=filled)
