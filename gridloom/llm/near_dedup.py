@@ -249,9 +249,10 @@ def components(edges: DataFrame) -> DataFrame:
 def _texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, text) of class representatives; rows that repeat a doc_id with other words
     belong to another class and stay out."""
-    known = reps.select("id", "rep", "cls").join(ids, "id")
+    # Written, so that its size is known and the texts stay where they are if it is small.
+    known = materialise(reps.select("id", "rep", "cls").join(ids, "id"), "near-known")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(known, "rep")
-    return texts.filter(F.pandas_udf(_class_of, "binary")("text") == F.col("cls")).select("id", "text").dropDuplicates(["id"])
+    return texts.filter(F.pandas_udf(_in_class, "boolean")("text", "cls")).select("id", "text").dropDuplicates(["id"])
 
 
 def _confirm(alive: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -303,6 +304,10 @@ def _class_of(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in text], dtype=object)
 
 
+def _in_class(text: pd.Series, cls: pd.Series) -> pd.Series:
+    return pd.Series([x == c for x, c in zip(_class_of(text), cls)], dtype=bool)
+
+
 def _labelled(known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """known: rows (doc_id, text) with doc_id. Rows (doc_id, cls, n_shingles,
     component_id), and the doc_ids that occur with several sequences of words."""
