@@ -48,7 +48,7 @@ HASHES = 144
 #: Signature values compared at a time, and the chance to drop a true link there.
 BATCH, MISS = 24, 1e-6
 #: Members of a bucket, and shingles of theirs, on one side of a tile.
-TILE, TILE_SHINGLES = 2048, 1 << 21
+TILE, TILE_SHINGLES = 512, 1 << 21
 SALTS, PIVOT_SALTS = 16, 64
 
 
