@@ -100,8 +100,10 @@ def test_quality_matches_numpy(docs):
         starts.append(estimate(first))
     for _ in range(quality_rules.C_STEPS):
         was = [np.linalg.slogdet(k)[1] / 2 for _, k in starts]
-        starts = [estimate(cut(((z - m) @ np.linalg.inv(k) * (z - m)).sum(1))) for m, k in starts]
-        if max(abs(a - np.linalg.slogdet(k)[1] / 2) for a, (_, k) in zip(was, starts)) <= quality_rules.SETTLED:
+        steps = [estimate(cut(((z - m) @ np.linalg.inv(k) * (z - m)).sum(1))) for m, k in starts]
+        now = [np.linalg.slogdet(k)[1] / 2 for _, k in steps]
+        starts = [b if y < x else a for a, b, x, y in zip(starts, steps, was, now)]
+        if max(x - y for x, y in zip(was, now)) <= quality_rules.SETTLED:
             break
     best = min(((np.linalg.slogdet(k)[1], m, k) for m, k in starts), key=lambda x: x[0])
     low = np.zeros((4, 4))
