@@ -42,29 +42,35 @@ TEXT_RULES = [
 ]
 
 
+_MARKUP = [(re.compile(pattern), replacement) for pattern, replacement in TEXT_RULES[:3]]
 #: A reference that is not one of ENTITIES as they are written there.
-_OTHER = "&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + ");)[#A-Za-z]"
+_OTHER = re.compile("&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + ");)[#A-Za-z]")
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 
 
-@F.pandas_udf(T.StringType())
-def _decode(text: pd.Series) -> pd.Series:
-    one = lambda m: html_lib.unescape(m[0]).replace("\xa0", ENTITIES["&nbsp;"])
-    return text.map(lambda t: _REFERENCE.sub(one, t) if t and "&" in t else t)
+def _decode(text: str) -> str:
+    if _OTHER.search(text):
+        return _REFERENCE.sub(lambda m: html_lib.unescape(m[0]).replace("\xa0", ENTITIES["&nbsp;"]), text)
+    for name, value in ENTITIES.items():
+        text = text.replace(name, value)
+    return text
 
 
-def plain_text(html: Column) -> Column:
-    out = html
-    for pattern, replacement in TEXT_RULES[:3]:
-        out = F.regexp_replace(out, pattern, replacement)
-    # Only texts with other references go through Python; the rest send nulls there.
-    plain = out
-    for name, value in ENTITIES.items():
-        plain = F.replace(plain, F.lit(name), F.lit(value))
-    out = F.coalesce(_decode(F.when(out.rlike(_OTHER), out)), plain)
-    for pattern, replacement in TEXT_RULES[3:]:
-        out = F.regexp_replace(out, pattern, replacement)
-    return out
+def _strip(html: str) -> str:
+    for pattern, replacement in _MARKUP:
+        html = pattern.sub(replacement, html)
+    text = _decode(html) if "&" in html else html
+    # The rules for white space: lines of words with a space between, no empty lines.
+    for space in "\t\r\f":
+        text = text.replace(space, " ")
+    lines = (" ".join(filter(None, line.split(" "))) for line in text.split("\n"))
+    return "\n".join(filter(None, lines))
+
+
+@F.pandas_udf(T.StringType())
+def plain_text(html: pd.Series) -> pd.Series:
+    """A page's text, each page read once."""
+    return html.map(_strip, na_action="ignore")
 
 
 def _id(kind: str, *names: Column) -> Column:

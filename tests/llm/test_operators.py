@@ -490,6 +490,20 @@ def test_warc_round_trip(spark):
     assert all(r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest() for r in back)
 
 
+def test_warc_text_follows_its_rules():
+    pieces = [" ", "\t", "\r", "\f", "\n", "a", "b", "\xa0", "\v", "<p>", "</p>", "<br>", "&amp;", "&lt;", "<!-- x -->", "<script>y</script>"]
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        page = text = "".join(rng.choice(pieces, rng.integers(0, 14)))
+        for pattern, replacement in warc_derivatives.TEXT_RULES[:3]:
+            text = re.sub(pattern, replacement, text)
+        for name, value in warc_derivatives.ENTITIES.items():
+            text = text.replace(name, value)
+        for pattern, replacement in warc_derivatives.TEXT_RULES[3:]:
+            text = re.sub(pattern, replacement, text)
+        assert warc_derivatives._strip(page) == text
+
+
 def test_warc_text_decodes_all_references(spark):
     import html
 
