@@ -38,7 +38,7 @@ TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 100
 TOLERANCE = 1e-3
 SYMBOLS = TOP + BUCKETS
 #: Tokens of a batch, and of the pieces in which a training pass goes through it.
-BATCH_TOKENS, CHUNK = 5_000_000, 1 << 20
+BATCH_TOKENS, CHUNK = 5_000_000, 2 << 20
 #: Texts of more than LONG tokens are passed in segments.
 LONG, SEGMENT = 4096, 64
 #: Weight of the overall symbol frequencies in each state's emissions.
