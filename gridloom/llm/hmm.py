@@ -150,29 +150,34 @@ class Model:
         ordered[at] = symbols
         # Emissions relative to the symbol's best state stay well within single precision.
         best = self.emit.max(axis=1)
-        emit = (self.emit / best[:, None]).astype(np.float32)[ordered]
-        moves = self.moves.astype(np.float32)
-        alpha, scale = np.empty_like(emit), np.empty((len(symbols), 1), np.float32)
-        now = np.tile(self.start.astype(np.float32), (len(lengths), 1))
-        for t in range(len(active)):
-            s = slice(top[t], top[t + 1])
-            here = now[: active[t]] * emit[s]
-            scale[s] = np.maximum(here.sum(axis=1, keepdims=True), 1e-30)
-            here /= scale[s]
-            alpha[s] = here
-            now = here @ moves
-        moved, beta = np.zeros((k, k)), np.ones((0, k), np.float32)
-        for t in range(len(active) - 1, -1, -1):
-            s = slice(top[t], top[t + 1])
-            beta = np.concatenate([beta, np.ones((active[t] - len(beta), k), np.float32)])
-            ahead = emit[s] * beta
-            ahead /= scale[s]
-            alpha[s] *= beta
+        emit = np.take((self.emit / best[:, None]).astype(np.float32), ordered, axis=0)
+        moves, back = self.moves.astype(np.float32), np.ascontiguousarray(self.moves.T, dtype=np.float32)
+        alpha, scale = np.empty_like(emit), np.empty(len(symbols), np.float32)
+        # A product with ones puts a row's sum beside each of its states.
+        now, ones = np.tile(self.start.astype(np.float32), (len(lengths), 1)), np.ones((k, k), np.float32)
+        spans = list(zip(top.tolist(), active.tolist()))
+        for first, n in spans:
+            here, seen = alpha[first : first + n], emit[first : first + n]
+            np.multiply(now[:n], seen, out=here)
+            total = here @ ones
+            np.maximum(total, 1e-30, out=total)
+            here /= total
+            seen /= total
+            scale[first : first + n] = total[:, 0]
+            np.matmul(here, moves, out=now[:n])
+        # Emissions now hold the scale; a text's backward message is one until its last token.
+        moved, beta = np.zeros((k, k)), np.ones((len(lengths), k), np.float32)
+        for t in range(len(spans) - 1, -1, -1):
+            first, n = spans[t]
+            ahead = emit[first : first + n]
+            ahead *= beta[:n]
+            alpha[first : first + n] *= beta[:n]
             if t:
-                moved += alpha[top[t - 1] : top[t - 1] + active[t]].T @ ahead
-                beta = ahead @ moves.T
+                before = spans[t - 1][0]
+                moved += alpha[before : before + n].T @ ahead
+                np.matmul(ahead, back, out=beta[:n])
         counts = np.stack([np.bincount(ordered, weights=alpha[:, j], minlength=SYMBOLS) for j in range(k)], axis=1)
-        likelihood = np.log(scale, dtype=np.float64).sum() + np.log(best)[ordered].sum()
+        likelihood = np.log(scale).sum(dtype=np.float64) + np.bincount(ordered, minlength=SYMBOLS) @ np.log(best)
         return counts, moved * self.moves, alpha[: top[1]].sum(axis=0, dtype=np.float64), float(likelihood)
 
     def _in_segments(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
