@@ -177,7 +177,7 @@ class Model:
                 moved += alpha[before : before + n].T @ ahead
                 np.matmul(ahead, back, out=beta[:n])
         counts = np.stack([np.bincount(ordered, weights=alpha[:, j], minlength=SYMBOLS) for j in range(k)], axis=1)
-        likelihood = np.log(scale).sum(dtype=np.float64) + np.bincount(ordered, minlength=SYMBOLS) @ np.log(best)
+        likelihood = np.log(scale).sum(dtype=np.float64) + np.bincount(ordered, minlength=len(best)) @ np.log(best)
         return counts, moved * self.moves, alpha[: top[1]].sum(axis=0, dtype=np.float64), float(likelihood)
 
     def _in_segments(self, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
