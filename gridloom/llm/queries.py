@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, language_id, mixing, near_dedup, packing, quality_rules, secrets, site_style_tree, warc_derivatives
+from . import exact_dedup, hmm, language_id, mixing, near_dedup, packing, periodic_runs, quality_rules, secrets, site_style_tree, substring_dedup, vector_codes, warc_derivatives
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_multipart_secrets": secrets.op8_multipart_secrets,
         "op9_entropy_mix": mixing.op9_entropy_mix,
         "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
+        "op11_suffix_tree_dedup": substring_dedup.op11_suffix_tree_dedup,
+        "op12_delta_lloyd": vector_codes.op12_delta_lloyd,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return exact_dedup.ORACLE_SQL | warc_derivatives.ORACLE_SQL
+    return exact_dedup.ORACLE_SQL | warc_derivatives.ORACLE_SQL | substring_dedup.ORACLE_SQL | vector_codes.ORACLE_SQL
