@@ -3,93 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.keys import key, num, text, trim_ws
+from . import similar
 from .grid import kinds
-
-# Names that mean the same, by columns of a transaction and a standard table.
-SYNONYMS = [
-    ({"tp", "trade price", "inv amount", "invoice amount"}, {"tp", "inv amount"}),
-    ({"ntp", "net trade price"}, {"ntp", "ntp regular"}),
-    ({"sp", "consumer price", "retail price", "usp"}, {"consumer price", "usp", "unit sp"}),
-    ({"utp", "unit tp", "per unit trade price"}, {"utp", "unit tp"}),
-    ({"qty", "quantity"}, {"quantity"}),
-    ({"disc", "discount"}, {"discount"}),
-    ({"date", "visit date", "txn date"}, {"date"}),
-    ({"id", "visit id", "transaction id"}, {"visit id", "id"}),
-    ({"sku", "sku standard name", "product"}, {"sku standard name"}),
-    ({"m.cat", "master cat", "master category"}, {"m.cat", "master cat"}),
-    ({"cat", "category"}, {"category"}),
-    ({"a/q", "aq", "amount/qty"}, {"a/q"}),
-]
-SYNONYM_BONUS, TOKEN_BASE, CONTAINED = 0.45, 0.35, 0.82
-PREFIX_BONUS, FIRST_WORD_BONUS, LEAST_SIMILARITY = 0.18, 0.08, 0.72
-
-
-def norm(s: str) -> str:
-    return " ".join(re.findall(r"[a-z0-9]+", str(s or "").lower().replace("&", " and ")))
-
-
-def score_names(a: str, b: str) -> float:
-    """0 to 1: the best of character similarity, shared words and containment, and a bonus
-    for known synonyms."""
-    x, y = norm(a), norm(b)
-    if not x or not y:
-        return 0.0
-    if x == y:
-        return 1.0
-    p, q = set(x.split()), set(y.split())
-    shared = TOKEN_BASE + (1 - TOKEN_BASE) * len(p & q) / len(p | q) if p & q else 0.0
-    best = max(SequenceMatcher(None, x, y).ratio(), shared, CONTAINED if x in y or y in x else 0.0)
-    known = any(u in left and v in right for left, right in SYNONYMS for u, v in ((x, y), (y, x)))
-    return min(1.0, best + (SYNONYM_BONUS if known else 0.0))
-
-
-def similarity(value: str, candidate: str) -> float:
-    score, x, y = score_names(value, candidate), norm(value), norm(candidate)
-    if x and y:
-        score += PREFIX_BONUS if y.startswith(f"{x} ") or x.startswith(f"{y} ") else 0.0
-        score += FIRST_WORD_BONUS if x.split()[0] == y.split()[0] else 0.0
-    return min(1.0, score)
-
-
-#: Labels of one side of a tile of the comparison.
-TILE = 2000
-
-
-def _best_of_tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """The most similar standard of the tile for each label. The characters that two
-    labels share bound their similarity, so the costly comparison runs only where it
-    can still win: the result is that of comparing all of them."""
-    values, standards = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("first")
-    shapes = [Counter(norm(v)) for v in standards["label"]]
-    out = []
-    for value in values["label"]:
-        own, best, at = Counter(norm(value)), -1.0, None
-        n = sum(own.values())
-        bounds = []
-        for shape in shapes:
-            m = sum(shape.values())
-            bounds.append(2 * (own & shape).total() / max(n + m, 1))
-        words = set(norm(value).split())
-        for bound, to, first in zip(bounds, standards["label"], standards["first"]):
-            # What containment, shared words, a synonym and the bonuses may add needs a common word or text.
-            y = norm(to)
-            linked = words & set(y.split()) or norm(value) in y or y in norm(value) or any(norm(value) in l | r and y in l | r for l, r in SYNONYMS)
-            if not linked and bound <= best:
-                continue
-            score = similarity(value, to)
-            if score > best:
-                best, at = score, (to, first)
-        if at:
-            out.append((value, at[0], at[1], best))
-    return pd.DataFrame(out, columns=["value", "to", "first", "score"])
+from .names import LEAST_SIMILARITY, norm, score_names, similarity  # noqa: F401
 
 
 def labels(df: DataFrame, column: str, name: str = "value") -> DataFrame:
@@ -107,17 +29,15 @@ def unmatched(new: DataFrame, master: DataFrame, new_column: str, master_column:
 def suggest(unknown: DataFrame, master: DataFrame, master_column: str, crosswalk: dict[str, str] | None = None, threshold: float = LEAST_SIMILARITY) -> DataFrame:
     """(value, rows, action, to, confidence, why) for unmatched labels: the crosswalk's
     standard if master has it, else the most similar one (the first of equals), else add.
-    The distinct labels that are unmatched are compared with all distinct standards, in
-    tiles of bounded size, which send one row a label."""
+    similar.best() finds these without comparing all pairs."""
     standards = labels(master, master_column, "label").select("label", "first")
-    n_values, n_standards = unknown.count(), standards.count()
-    blocks = lambda n: max(1, -(-n // TILE))
-    part = lambda n: F.pmod(F.xxhash64("label"), F.lit(blocks(n))).cast("int")
-    across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(blocks(n) - 1)))
-    left = unknown.select(F.col("value").alias("label"), F.lit(None).cast("bigint").alias("first"), F.lit(0).alias("side")).withColumn("i", part(n_values)).withColumn("j", across(n_standards))
-    right = standards.withColumn("side", F.lit(1)).withColumn("j", part(n_standards)).withColumn("i", across(n_values))
-    scored = left.unionByName(right).groupBy("i", "j").applyInPandas(_best_of_tile, "value string, to string, first bigint, score double")
-    best = scored.groupBy("value").agg(F.max_by(F.struct("to", "score"), F.struct("score", -F.col("first"))).alias("b"))
+    plain = F.pandas_udf(lambda s: s.map(norm), "string")
+    left = unknown.select("value", plain("value").alias("x"))
+    right = standards.withColumn("x", plain("label"))
+    # Labels that read the same stand for their first one.
+    named = right.groupBy("x").agg(F.min_by("label", "first").alias("to"))
+    found = similar.best(left, right).join(named.withColumnRenamed("x", "y"), "y").select("x", F.struct("to", "score").alias("b"))
+    best = left.join(found, "x").select("value", "b")
     pairs = [(str(k).strip().upper(), v) for k, v in (crosswalk or {}).items()]
     known = master.sparkSession.createDataFrame(pairs, "__k string, __to string").dropDuplicates(["__k"])
     held = standards.select(F.upper("label").alias("__u")).distinct()
@@ -136,11 +56,11 @@ def suggest(unknown: DataFrame, master: DataFrame, master_column: str, crosswalk
 def report(new: DataFrame, master: DataFrame, pairs: list[dict], crosswalks: dict[str, dict[str, str]] | None = None, decisions: dict[str, dict[str, dict]] | None = None, roles: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """For pairs of columns (new, master): a summary (new_column, master_column,
     new_values, master_values, matched, skipped) and the unmatched labels with their
-    decision, or a suggestion where there is none. Numeric columns are skipped unless
+    decision, or a suggestion where there is none, by pair and value. Numeric columns are skipped unless
     roles declares them dimensions."""
     crosswalks, decisions, roles = crosswalks or {}, decisions or {}, roles or {}
     found_new, found_master = column_roles(new), column_roles(master)
-    summary, rows = None, None
+    summary, rows, seen = None, None, []
     add = lambda a, b: b if a is None else a.unionByName(b)
     for p in pairs:
         a, b = p.get("new"), p.get("master")
@@ -162,11 +82,12 @@ def report(new: DataFrame, master: DataFrame, pairs: list[dict], crosswalks: dic
             out = out.join(chosen, "value", "left")
             taken = F.col("__action").isNotNull()
             out = out.select("value", "rows", F.coalesce("__action", "action").alias("action"), F.when(taken, F.col("__to")).otherwise(F.col("to")).alias("to"), F.when(taken, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"), F.when(taken, F.lit("")).otherwise(F.col("why")).alias("why"))
-        rows = add(rows, out.select(*head, "value", "rows", "action", "to", "confidence", "why"))
+        rows = add(rows, out.select(*head, "value", "rows", "action", "to", "confidence", "why", F.lit(len(seen)).alias("__pair")))
+        seen.append(p)
     spark = new.sparkSession
     kinds_of_summary = "new_column string, master_column string, new_values bigint, master_values bigint, matched bigint, skipped boolean"
     kinds_of_rows = "new_column string, master_column string, value string, rows bigint, action string, to string, confidence double, why string"
-    return summary if summary is not None else spark.createDataFrame([], kinds_of_summary), rows if rows is not None else spark.createDataFrame([], kinds_of_rows)
+    return summary if summary is not None else spark.createDataFrame([], kinds_of_summary), rows.orderBy("__pair", "value").drop("__pair") if rows is not None else spark.createDataFrame([], kinds_of_rows)
 
 
 def review_list(df: DataFrame, column: str, mapping: dict[str, str], limit: int = 200) -> DataFrame:
@@ -207,17 +128,16 @@ def apply_decisions(new: DataFrame, master: DataFrame, attributes: list[dict], d
 
 
 def key_pairs(df: DataFrame, least_rows: int = 4) -> DataFrame:
-    """Neighbouring columns that read as label and standard: (left, right, rows)."""
-    names, by, out = [c for c in df.columns if not c.startswith("__")], kinds(df), []
-    stats = []
-    for a, b in zip(names, names[1:]):
-        x, y = trim_ws(text(F.col(f"`{a}`"), by[a])), trim_ws(text(F.col(f"`{b}`"), by[b]))
-        both = (x != "") & (y != "")
-        stats.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.count_if(both).alias("rows"), F.count_distinct(F.when(both, F.lower(x))).alias("keys"), F.count_if(both & (F.lower(x) == F.lower(y))).alias("same")))
-        out.append((a, b))
-    if not out:
+    """Neighbouring columns that read as label and standard: (left, right, rows). Labels
+    are counted by pair and value, which each task combines first."""
+    names, by = [c for c in df.columns if not c.startswith("__")], kinds(df)
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "left string, right string, rows bigint")
-    flat = df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    shown = {c: trim_ws(text(F.col(f"`{c}`"), by[c])) for c in names}
+    pair = lambda a, b: F.when((shown[a] != "") & (shown[b] != ""), F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lower(shown[a]).alias("k"), F.lower(shown[b]).alias("v")))
+    cells = df.select(F.explode(F.array_compact(F.array(*[pair(a, b) for a, b in zip(names, names[1:])]))).alias("p")).select("p.*")
+    counted = cells.groupBy("left", "right", "k").agg(F.count("*").alias("n"), F.count_if(F.col("k") == F.col("v")).alias("same"))
+    flat = counted.groupBy("left", "right").agg(F.sum("n").alias("rows"), F.count("*").alias("keys"), F.sum("same").alias("same"))
     return flat.filter((F.col("rows") >= least_rows) & (F.col("keys") >= 0.9 * F.col("rows")) & (F.col("same") <= 0.95 * F.col("rows"))).select("left", "right", "rows")
 
 
@@ -282,20 +202,119 @@ def suggest_column_map(target: list[str], source: DataFrame, reference: DataFram
     return out
 
 
-def suggest_dims(master: DataFrame, new: DataFrame, most: int = 3) -> list[dict]:
-    """Text columns of master whose labels new shares, by overlap; at most three."""
-    n = master.count()
-    names = [c for c, k in kinds(master).items() if k == "text" and not c.startswith("__")]
+def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """How many values each column has: counted by column and value, in one pass."""
     if not names:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(names)])
+    per = df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null").distinct().groupBy("i").agg(F.count("*").alias("n"))
+    found = {r["i"]: r["n"] for r in per.collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(names)}
+
+
+# Names of the columns that define a row, most wanted first.
+PREFERRED_DIMS = ["city", "sku standard name", "sku", "product", "region"]
+
+
+def _rank(name: str) -> int | None:
+    plain = norm(name)
+    if plain in PREFERRED_DIMS:
+        return PREFERRED_DIMS.index(plain)
+    return next((len(PREFERRED_DIMS) * 2 + i for i, p in enumerate(PREFERRED_DIMS) if p in plain), None)
+
+
+def equal_shares(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float]:
+    """For each pair of columns the share of rows whose labels are equal, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        return {}
+    by = kinds(df)
+    label = {c: key(F.col(f"`{c}`"), by[c]) for c in names}
+    row = df.agg(*[F.avg((label[a] == label[b]).cast("int")).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return {p: row[i] or 0.0 for i, p in enumerate(pairs)}
+
+
+def suggest_dims(master: DataFrame, new: DataFrame, hist: DataFrame | None = None, most: int = 3) -> list[dict]:
+    """Columns of master that define a row: texts of 2 labels or more, under a preferred
+    name (or one that has it in it), at least half of whose labels new has in one column.
+    A column that is equal to a better one in more than 95 % of the rows, or is joined
+    to the same column of new, says the same again and is left out."""
+    n, by = master.count(), kinds(master)
+    named = [c for c, k in by.items() if k in ("text", "bool") and not c.startswith("__") and _rank(c) is not None]
+    counts = distinct_counts(master, named)
+    fit = [c for c in named if 2 <= counts[c] <= max(400, n / 2)]
+    if not fit:
         return []
-    distinct = master.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)]).first()
-    fit = [c for i, c in enumerate(names) if 2 <= distinct[i] <= max(400, n / 2)]
-    best: dict[str, tuple[float, str]] = {}
-    for r in overlaps(master.select("__row_id", *[F.col(f"`{c}`") for c in fit]), new).collect():
-        if r["overlap"] >= 0.5:
-            best[r["left"]] = max(best.get(r["left"], (0.0, "")), (r["overlap"] + score_names(r["left"], r["right"]) / 10, r["right"]))
-    ranked = sorted(best, key=lambda c: (-best[c][0], names.index(c)))
-    return [{"master": c, "new": best[c][1], "hist": c} for c in ranked[:most]]
+    pool = master.select("__row_id", *[F.col(f"`{c}`") for c in fit])
+
+    def matches(df: DataFrame) -> dict[str, tuple[float, str]]:
+        order = {c: i for i, c in enumerate(df.columns)}
+        found: dict[str, tuple[float, str]] = {}
+        rows = [r for r in overlaps(pool, df).collect() if kinds(df)[r["right"]] != "date"]
+        for r in sorted(rows, key=lambda r: (-r["overlap"], order[r["right"]])):
+            found.setdefault(r["left"], (r["overlap"], r["right"]))
+        return found
+
+    in_new, in_hist = matches(new), matches(hist) if hist is not None else {}
+    ranked = sorted((c for c in fit if in_new.get(c, (0, ""))[0] >= 0.5), key=lambda c: (_rank(c), -in_new[c][0], fit.index(c)))
+    shares = equal_shares(pool, ranked)
+    chosen: list[str] = []
+    for c in ranked:
+        if all(in_new[c][1] != in_new[k][1] and max(shares.get((c, k), 0), shares.get((k, c), 0)) <= 0.95 for k in chosen):
+            chosen.append(c)
+    return [{"master": c, "new": in_new[c][1], "hist": in_hist[c][1] if c in in_hist else None if hist is not None else c} for c in chosen[:most]]
+
+
+#: What a value map has to bring: more labels known by this share, and this share in all.
+LEAST_GAIN, LEAST_KNOWN = 0.15, 0.6
+
+
+def suggest_value_maps(new: DataFrame, master: DataFrame, sheets: dict[str, DataFrame]) -> DataFrame:
+    """Crosswalks worth applying: (column, target, sheet, from_column, to_column, covers,
+    before, after, gain). Neighbouring columns of a sheet are one if mapping a column of
+    new by them raises the share of its labels that its partner in master (the column
+    of the most similar name) knows by LEAST_GAIN, to LEAST_KNOWN at least. One a column,
+    that of the largest gain."""
+    spark = new.sparkSession
+    schema = "column string, target string, sheet string, from_column string, to_column string, covers bigint, before double, after double, gain double"
+    label = lambda df, c: F.upper(trim_ws(text(F.col(f"`{c}`"), kinds(df)[c])))
+
+    def texts(df: DataFrame) -> list[str]:
+        names = [c for c, k in kinds(df).items() if k in ("text", "bool") and not c.startswith("__")]
+        return [c for c, n in distinct_counts(df, names).items() if 1 < n <= 500]
+
+    def melted(df: DataFrame, names: list[str], name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias(name), label(df, c).alias("v")) for c in names])
+        return df.select(F.explode(cells).alias("c")).select("c.*").filter("v <> ''").distinct()
+
+    ours, theirs = texts(new), texts(master)
+    partner = {c: max(theirs, key=lambda m: score_names(c, m)) for c in ours if theirs}
+    partner = {c: m for c, m in partner.items() if score_names(c, m) >= 0.7}
+    pairs = [(name, r["left"], r["right"]) for name, df in sheets.items() for r in key_pairs(df).collect()]
+    if not partner or not pairs:
+        return spark.createDataFrame([], schema)
+    # Of the sheets, one table of what each pair of columns maps; a label's last row counts.
+    maps = None
+    for i, (name, a, b) in enumerate(pairs):
+        df = sheets[name]
+        rows = df.select(F.lit(i).alias("pair"), label(df, a).alias("v"), trim_ws(text(F.col(f"`{b}`"), kinds(df)[b])).alias("to"), "__row_id").filter("v <> '' and to <> ''")
+        part = rows.groupBy("pair", "v").agg(F.upper(F.max_by("to", "__row_id")).alias("to"))
+        maps = part if maps is None else maps.unionByName(part)
+    partners = spark.createDataFrame(sorted(partner.items()), "column string, target string")
+    source = melted(new, sorted(partner), "column")
+    known = melted(master, sorted(set(partner.values())), "target").join(partners, "target").select("column", F.col("v").alias("m"), F.lit(1).alias("known"))
+    share = lambda df: df.join(known, [*(c for c in ("column", "m"))], "left").groupBy(*[c for c in df.columns if c != "m"]).agg(F.avg(F.coalesce("known", F.lit(0))).alias("share"))
+    before = share(source.withColumnRenamed("v", "m")).withColumnRenamed("share", "before")
+    every = source.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))))
+    mapped = every.join(maps, ["pair", "v"], "left").withColumn("m", F.coalesce("to", "v"))
+    covers = mapped.groupBy("column", "pair").agg(F.count("to").alias("covers"))
+    after = share(mapped.select("column", "pair", "m").distinct()).withColumnRenamed("share", "after")
+    gains = after.join(before, "column").join(covers, ["column", "pair"]).withColumn("gain", F.col("after") - F.col("before"))
+    worth = gains.filter((F.col("gain") >= LEAST_GAIN) & (F.col("after") >= LEAST_KNOWN))
+    top = worth.groupBy("column").agg(F.max_by(F.struct("pair", "covers", "before", "after", "gain"), F.struct("gain", -F.col("pair"))).alias("b")).select("column", "b.*")
+    where = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pair int, sheet string, from_column string, to_column string")
+    rounded = [F.round(c, 3).alias(c) for c in ("before", "after", "gain")]
+    return top.join(where, "pair").join(partners, "column").select("column", "target", "sheet", "from_column", "to_column", "covers", *rounded)
 
 
 def suggest_attributes(new: DataFrame, master: DataFrame, new_roles: dict[str, str] | None = None, master_roles: dict[str, str] | None = None, threshold: float = 0.7) -> list[dict]:
@@ -305,27 +324,32 @@ def suggest_attributes(new: DataFrame, master: DataFrame, new_roles: dict[str, s
 
     def fit(df: DataFrame, role: dict[str, str]) -> list[str]:
         names = [c for c in df.columns if role.get(c) == "dimension"]
-        counts = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)]).first() if names else []
-        return [c for c, n in zip(names, counts) if 1 < n <= 500]
+        return [c for c, n in distinct_counts(df, names).items() if 1 < n <= 500]
 
     left, right = fit(master, roles[1]), fit(new, roles[0])
     if not left or not right:
         return []
     pick = lambda df, names: df.select(*[F.col(f"`{c}`") for c in names])
     shared = {(r["left"], r["right"]): r["overlap"] for r in overlaps(pick(master, left), pick(new, right)).collect()}
-    out, used = [], set()
-    for m in left:
-        scores = {n: max(name := score_names(m, n), 0.5 * name + 0.7 * shared.get((m, n), 0.0)) for n in right if n not in used}
-        best = max(scores, key=scores.get, default=None)
-        if best and scores[best] >= threshold:
-            out.append({"new": best, "master": m})
-            used.add(best)
+    table = {(m, n): max(score_names(m, n), 0.5 * score_names(m, n) + 0.7 * shared.get((m, n), 0.0)) for m in left for n in right}
+    out: list[dict] = []
+    while left and right:
+        # The first column of master that is left takes the best that is free.
+        m = left.pop(0)
+        score, _, n = max((table[m, n], -i, n) for i, n in enumerate(right))
+        if score >= threshold:
+            out.append({"new": n, "master": m})
+            right.remove(n)
     return out
 
 
+# Fixed value: names of an id column.
+ID_NAME = re.compile(r"^id$|\bvisit\s*id\b|\btransaction\s*id\b", re.I)
+
+
 def guess_id(df: DataFrame) -> str | None:
     """A visit, transaction or plain id by name, else a numeric column with id in it."""
-    named = (c for c in df.columns if re.search(r"\b(visit\s*id|transaction\s*id)\b|^id$", c, re.I))
+    named = (c for c in df.columns if ID_NAME.search(c))
     numeric = (c for c, k in kinds(df).items() if k == "number" and re.search("id", c, re.I) and not c.startswith("__"))
     return next(named, next(numeric, None))
 
@@ -351,9 +375,29 @@ def column_roles(df: DataFrame, overrides: dict[str, str] | None = None) -> dict
     return {c: overrides.get(c) or role.get(k) or ("measure" if c in numeric else "dimension") for c, k in by.items() if not c.startswith("__")}
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """(column, type, non_null, nulls, distinct_values) in one aggregation."""
+#: Values that a profile shows of each column, and rows of a head.
+SAMPLES, HEAD = 3, 25
+
+
+def profile(df: DataFrame, row_id: str = "__row_id") -> DataFrame:
+    """(column, type, non_null, nulls, distinct_values, samples), by one pass that counts each
+    column's values, combined in the tasks. samples are the first values that are not
+    null, in the order of row_id (of the values themselves without it), as texts."""
     by = kinds(df)
     names = [c for c in df.columns if not c.startswith("__")]
-    row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(by[c]).alias("type"), F.count(F.col(f"`{c}`")).alias("non_null"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.count_distinct(F.col(f"`{c}`")).alias("distinct_values")) for c in names]).alias("s"))
-    return row.select(F.explode("s").alias("s")).select("s.*")
+    at = F.col(row_id).cast("bigint") if row_id in df.columns else F.lit(0).cast("bigint")
+    cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"))
+    cells = df.select(at.alias("at"), F.explode(F.array(*[cell(c) for c in names])).alias("c")).select("at", "c.*")
+    counted = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values"))
+    # Each task keeps its first rows of a column before any are sent.
+    first = Window.partitionBy("column").orderBy("at", "v")
+    top = cells.filter("v is not null").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLES)
+    samples = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("samples"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for c in names for x in (c, by[c])]), F.col("column"))
+    return sizes.join(samples, "column", "left").select("column", kind.alias("type"), "non_null", "nulls", "distinct_values", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+def head(df: DataFrame, rows: int = HEAD, row_id: str = "__row_id") -> DataFrame:
+    """The first rows, without the engine's own columns."""
+    return df.orderBy(row_id).limit(rows).select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("__")])

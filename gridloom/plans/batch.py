@@ -18,10 +18,14 @@ ROLES = ("new", "master", "historical")
 
 def load(result: Result, path: str, key_columns: list[str] | None = None, on_unevaluable: str = "fail", dry_run: bool = False, sheets: str | None = None, partition: str | None = None) -> dict:
     """Gate a result, write its quarantine and other sheets (below the folder sheets) and
-    upsert its clean rows. A blocking rule that cannot be evaluated stops the load, after
-    the sheets and before any change of the table."""
-    result = result.saved()
+    upsert its clean rows. A blocking rule that cannot be evaluated stops the load before
+    anything is written."""
     try:
+        # Before anything is written: the rules are known from the plan alone.
+        blocked = [why for rule, why in result.unevaluable if rule.get("blocking")]
+        if blocked and on_unevaluable == "fail":
+            raise ValueError(f"blocking rules cannot be evaluated: {blocked}")
+        result = result.saved()
         clean, quarantine = result.gate()
         counts = result.counts().first()
         out = {"rows": counts["rows"], "filled": counts["filled"], "quarantined": quarantine.count(), "excluded": result.excluded.count(), "dropped_variants": result.variants.first()[0]}
@@ -32,9 +36,6 @@ def load(result: Result, path: str, key_columns: list[str] | None = None, on_une
                 frames["Master Additions"] = result.additions
             shown = {k: v for k, v in frames.items() if k == "Output Data" or not v.isEmpty()}
             out["sheets"] = sinks.write_sheets(shown | {"Run Summary": sinks.summary(result.output.sparkSession, out)}, sheets)
-        blocked = [why for rule, why in result.unevaluable if rule.get("blocking")]
-        if blocked and on_unevaluable == "fail":
-            raise ValueError(f"blocking rules cannot be evaluated: {blocked}")
         if dry_run or not out["clean"]:
             return out | {"loaded": False}
         keys = sinks.resolve_keys(clean.columns, key_columns)

@@ -396,7 +396,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
 def suggest_config(inputs: Inputs) -> dict:
     """A starting configuration from the tables' names and labels."""
     new, master, hist = map(with_row_id, (inputs.new, inputs.master, inputs.historical))
-    dims = labels.suggest_dims(master, new)
+    dims = labels.suggest_dims(master, new, hist)
     date = lambda df: next((f.name for f in df.schema if kind_of(f.dataType) == "date"), next((c for c in df.columns if "date" in c.lower()), None))
     names = [c for c in hist.columns if not c.startswith("__")]
     mapped = labels.suggest_column_map(names, new, hist)

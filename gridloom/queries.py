@@ -239,18 +239,25 @@ def _upsert_table(spark: SparkSession, d: str, partition: str | None = None) ->
     path = _scratch(spark)
     for rows in _prior_incoming(spark, d):
         sinks.upsert_partitions(rows, path, ["c_nationkey", "c_custkey"], partition) if partition else sinks.upsert(rows, path, ["c_nationkey", "c_custkey"])
-    out = spark.read.parquet(path) if partition else sinks.read_table(spark, path)
-    return out.select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+    return sinks.read_table(spark, path).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+def _upsert_text_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Customers keyed by texts with leading zeros, some null, in three overlapping loads."""
+    path, n = _scratch(spark), F.col("c_nationkey")
+    c = _t(spark, d, "customer").select(F.when(n != 7, F.lpad(n.cast("string"), 3, "0")).alias("area"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("code"), "c_acctbal", n.alias("n"))
+    for low, high in ((0, 15), (5, 10), (10, 25)):
+        sinks.upsert_partitions(c.filter(f"n >= {low} and n < {high}").withColumn("c_acctbal", F.round(F.col("c_acctbal") + low, 2)).drop("n"), path, ["area", "code"], "area")
+    return sinks.read_table(spark, path).select("area", "code", F.round("c_acctbal", 2).alias("balance"))
 
 
 def _csv(spark: SparkSession, d: str) -> DataFrame:
-    """Parts written as text with a title line, quoted line breaks and numbers like 007, read again."""
+    """Parts written as text files with quoted line breaks, inch marks and numbers like 007, read again."""
     path = _scratch(spark)
-    p = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.concat("p_name", F.lit(";\n"), "p_brand").alias("name"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size"), F.col("p_retailprice").cast("string").alias("price"))
-    quoted = F.concat_ws(";", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("k", "name", "size", "price")])
-    p.coalesce(1).select(F.concat(F.when(F.col("k") == "0", F.lit("Parts;;;\nkey;label;size code;price\n")).otherwise(F.lit("")), quoted).alias("value")).sortWithinPartitions(F.col("value").startswith("Parts").cast("int").desc()).write.text(path)
+    p = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat("p_name", F.lit(";\n"), "p_brand").alias("label"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size code"), F.col("p_retailprice").cast("string").alias("price"), F.concat("p_size", F.lit('" '), "p_type").alias("kind"))
+    p.repartition(4).write.options(header=True, sep=";", quote='"', escape='"').csv(path)
     out = tables.read_text(spark, path)
-    return out.select(F.col("key").alias("part_key"), "label", F.col("size code").alias("size_code"), F.round("price", 2).alias("price"))
+    return out.select(F.col("key").alias("part_key"), "label", F.col("size code").alias("size_code"), F.round("price", 2).alias("price"), "kind")
 
 
 def _types(spark: SparkSession, d: str) -> DataFrame:
@@ -271,6 +278,29 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
     return labels.report(new, i.master, pairs)[0]
 
 
+def _unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The second table of the report: labels that master has not, with what is proposed."""
+    i = inputs(spark, d)
+    new = i.new.withColumn("segment", F.when(F.col("price") > 200000, F.concat("segment", F.lit("S"))).otherwise(F.lower("segment")))
+    rows = labels.report(new, i.master, [{"new": "nation", "master": "nation"}, {"new": "segment", "master": "segment"}])[1]
+    return rows.select("new_column", "master_column", "value", F.col("rows").alias("n"), "action", F.col("to").alias("standard"), "confidence")
+
+
+def _value_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Customers name nations by codes; of two sheets one turns them into names."""
+    n = _t(spark, d, "nation").withColumn("__row_id", F.col("n_nationkey").cast("bigint"))
+    code = F.concat(F.lit("n-"), F.col("n_nationkey").cast("string"))
+    new = _t(spark, d, "customer").select(F.col("c_custkey").alias("__row_id"), F.concat(F.lit("N-"), F.col("c_nationkey").cast("string")).alias("nation"), F.col("c_mktsegment").alias("segment"))
+    sheets = {"codes": n.filter("n_nationkey < 20").select("__row_id", code.alias("code"), F.col("n_name").alias("name")), "other": n.select("__row_id", F.concat("n_name", F.lit("?")).alias("name"), F.col("n_name").alias("label"))}
+    out = labels.suggest_value_maps(new, n.select("__row_id", F.col("n_name").alias("nation")), sheets)
+    return out.withColumnsRenamed({"column": "new_column"})
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("__row_id"), F.when(F.col("c_custkey") % 4 > 1, F.col("c_name")).alias("c_name"), "c_nationkey", "c_mktsegment")
+    return labels.profile(c).select(F.col("column").alias("column_name"), "non_null", "nulls", "distinct_values", F.array_join("samples", "|").alias("samples"))
+
+
 def _suggest(spark: SparkSession, d: str) -> DataFrame:
     """Names of parts, one letter in three places left out, matched with the names."""
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("__row_id"), "p_name", "p_size")
@@ -320,6 +350,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_list": lambda s, d: labels.review_list(_t(s, d, "customer").withColumn("__row_id", F.col("c_custkey")), "c_name", {"customer#000000000": "a", " Customer#000000001 ": "b", "CUSTOMER#000000002": "c"}),
         "sink_upsert": _upsert_table,
         "sink_upsert_partitions": lambda s, d: _upsert_table(s, d, "c_nationkey"),
+        "sink_upsert_text_keys": _upsert_text_keys,
         "donor_first": _full(gapfill={"donor_strategy": "first"}),
         "donor_previous": _full(gapfill={"donor_strategy": "previous"}),
         "donor_nearest": _full(gapfill={"donor_strategy": "nearest"}),
@@ -343,6 +374,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ).select(F.col("value").alias("label"), F.col("rows").alias("n")),
         "column_profile": lambda s, d: labels.profile(_t(s, d, "customer")).select(F.col("column").alias("column_name"), "non_null", "nulls", "distinct_values"),
         "value_overlap": lambda s, d: labels.overlaps(_t(s, d, "part").filter("p_size > 25").select("p_name", "p_brand"), _t(s, d, "part").filter("p_size <= 40").select("p_name", "p_brand")),
+        "column_samples": _samples,
+        "standardise_unmatched": _unmatched,
+        "value_map_suggestion": _value_maps,
         "key_pairs": lambda s, d: labels.key_pairs(_t(s, d, "nation").select("n_name", "n_nationkey", "n_regionkey")).select(F.col("left").alias("left_name"), F.col("right").alias("right_name"), F.col("rows").alias("n")),
         "upsert_idempotent": _upsert,
         "append_skip_dates": _append,
@@ -387,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "preview_cells": f"SELECT nation, segment, period, price, source FROM ({_sql(_static('arg_max', key), more=', g.grid_id')}) WHERE grid_id < 200",
         "gate_assembled": "SELECT c_custkey, c_acctbal, 'c_acctbal: above maximum 9000.0' AS qc_reason FROM customer WHERE c_acctbal > 9000",
         "final_types": "SELECT p_partkey AS part_key, lpad(CAST(p_size AS VARCHAR), 3, '0') AS size_code, round(p_retailprice, 2) AS price, p_name, CAST(DATE '2024-01-01' + CAST(p_size AS INTEGER) AS DATE) AS day FROM part",
-        "csv_round_trip": "SELECT p_partkey AS part_key, p_name || ';' || chr(10) || p_brand AS label, lpad(CAST(p_size AS VARCHAR), 3, '0') AS size_code, round(p_retailprice, 2) AS price FROM part",
+        "csv_round_trip": "SELECT p_partkey AS part_key, p_name || ';' || chr(10) || p_brand AS label, lpad(CAST(p_size AS VARCHAR), 3, '0') AS size_code, round(p_retailprice, 2) AS price, CAST(p_size AS VARCHAR) || '\" ' || p_type AS kind FROM part",
         "date_serials": "SELECT event_id, round(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) + (epoch_us(ts) % 86400000000) / 86400000000.0, 6) AS serial FROM events",
         "display_cells": "SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS placed FROM orders UNION ALL SELECT event_id, value, CASE WHEN ts = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END FROM events",
         "standardise_report": f"WITH {_BASE} SELECT 'nation' AS new_column, 'nation' AS master_column, (SELECT count(DISTINCT nation) FROM n0) AS new_values, (SELECT count(DISTINCT nation) FROM m) AS master_values, (SELECT count(DISTINCT nation) FROM n0) AS matched, false AS skipped UNION ALL SELECT 'segment', 'segment', (SELECT count(DISTINCT segment) FROM n0), (SELECT count(DISTINCT segment) FROM m), (SELECT count(DISTINCT segment) FROM n0 WHERE segment NOT IN ('BUILDING', 'MACHINERY')), false UNION ALL SELECT 'price', 'region', 0, 0, 0, true",
@@ -422,10 +456,16 @@ UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), col, rule, blocking, CAST(NULL A
         "value_counts_unmatched": "SELECT c_name AS label, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal <= 5000 GROUP BY ALL",
         "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
         "value_overlap": overlap("p_name") + " UNION ALL " + overlap("p_brand"),
+        "column_samples": " UNION ALL ".join(f"SELECT '{n}' AS column_name, count({e}) AS non_null, count(*) - count({e}) AS nulls, count(DISTINCT {e}) AS distinct_values, array_to_string(list(CAST({e} AS VARCHAR) ORDER BY c_custkey) FILTER (WHERE {e} IS NOT NULL)[1:3], '|') AS samples FROM customer" for n, e in (("c_name", "CASE WHEN c_custkey % 4 > 1 THEN c_name END"), ("c_nationkey", "c_nationkey"), ("c_mktsegment", "c_mktsegment"))),
+        "standardise_unmatched": f"WITH {_BASE} SELECT 'segment' AS new_column, 'segment' AS master_column, segment || 'S' AS value, count(*) AS n, 'map' AS action, segment AS standard, round(2.0 * length(segment) / (2 * length(segment) + 1), 3) AS confidence FROM n0 WHERE price > 200000 GROUP BY segment",
+        "value_map_suggestion": """WITH s AS (SELECT DISTINCT c_nationkey AS k FROM customer), m AS (SELECT count(*) AS n, count(CASE WHEN k < 20 THEN 1 END) AS covers FROM s)
+SELECT 'nation' AS new_column, 'nation' AS target, 'codes' AS sheet, 'code' AS from_column, 'name' AS to_column, covers, CAST(0 AS DOUBLE) AS before, round(covers / n, 3) AS after, round(covers / n, 3) AS gain FROM m""",
         "key_pairs": "SELECT 'n_name' AS left_name, 'n_nationkey' AS right_name, count(*) AS n FROM nation UNION ALL SELECT 'n_nationkey', 'n_regionkey', count(*) FROM nation",
         "upsert_idempotent": upserted,
         "sink_upsert": upserted,
         "sink_upsert_partitions": upserted,
+        "sink_upsert_text_keys": """SELECT CASE WHEN c_nationkey <> 7 THEN lpad(CAST(c_nationkey AS VARCHAR), 3, '0') END AS area, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code,
+ round(c_acctbal + CASE WHEN c_nationkey >= 10 THEN 10 WHEN c_nationkey >= 5 THEN 5 ELSE 0 END, 2) AS balance FROM customer""",
         "append_skip_dates": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date FROM orders), p AS (SELECT * FROM o WHERE order_date < DATE '1997-06-15') SELECT * FROM p UNION ALL SELECT * FROM o WHERE order_date NOT IN (SELECT order_date FROM p)",
         "events_grid": "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS \"user\", event_type AS kind, CAST(ts AS DATE) AS day, sum(value) AS value FROM events GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT \"user\" FROM e) CROSS JOIN (SELECT DISTINCT kind FROM e) CROSS JOIN (SELECT DISTINCT day FROM e)) SELECT g.*, round(coalesce(e.value, 0), 4) AS value, CASE WHEN e.kind IS NULL THEN 'FILLED' ELSE 'ACTUAL' END AS source FROM g LEFT JOIN e USING (\"user\", kind, day)",
         "duplicate_count": "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_returnflag)",

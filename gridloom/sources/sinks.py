@@ -1,11 +1,8 @@
 """Sinks: a dataset a sheet, keyed upsert, append of new dates, status files.
 
-A table is a folder with numbered versions; a reader takes the highest one that is
-complete (_SUCCESS), so it never sees half a write, and a job never overwrites what it
-reads. A writer claims its number by creating a file that must not exist, so two writers
-cannot take the same one. The version before stays as backup, older ones go. A table
-partitioned by a key column is changed in place instead: only the partitions that rows
-come in for are read and written.
+Keyed tables have a commit log (commits.py): half a write is never seen, a job never
+overwrites what it reads, of two writers none loses the other's rows, and only files that
+hold an incoming key are rewritten.
 """
 
 from __future__ import annotations
@@ -16,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import key, norm_date
+from ..functions.keys import norm_date
 from ..operators.grid import kinds
-from ..scratch import discard, materialise
+from . import commits, workbooks
 
 #: Key columns by preference, when a configuration names none.
 DEFAULT_KEYS = (("DATE", "CITY", "SKU STANDARD NAME"), ("UNIQUE ID",), ("ID",))
@@ -30,54 +27,25 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return max(done, default=0)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    v = current_version(spark, path)
-    return spark.read.parquet(f"{path}/v{v}") if v else None
-
-
-def write_version(df: DataFrame, path: str, keep: int = 2) -> int:
-    spark = df.sparkSession
-    fs, _ = _fs(spark, path)
-    named = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
-    v = current_version(spark, path)
-    while True:
-        v += 1
-        if not fs.exists(named(f"v{v}")) and fs.createNewFile(named(f"_claim{v}")):
-            break
-    df.write.parquet(f"{path}/v{v}")
-    for old in range(max(1, v - keep - 8), v - keep + 1):
-        fs.delete(named(f"v{old}"), True)
-        fs.delete(named(f"_claim{old}"), False)
-    return v
+    return max(commits.versions(spark, path), default=0)
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The table as it is now, or as of a version; None if there is none."""
+    at = commits.snapshot(spark, path, version)
+    return commits.frame(spark, path, at) if at.version else None
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    return commits.replace(df, path)
 
 
 def upsert_partitions(incoming: DataFrame, path: str, keys: list[str], partition: str) -> dict:
-    """Upsert into a table partitioned by one of its keys. A row's key lies in one
-    partition, so the others stay as they are, unread; the new rows of those that change
-    are written aside first and then replace them. The same rows again change nothing."""
+    """Upsert into a table whose files are ranged by one of its keys first, so that rows of
+    other values of it stay in files that are not touched."""
     if partition not in keys:
         raise ValueError("the partition column must be one of the keys")
-    spark = incoming.sparkSession
-    fs, p = _fs(spark, path)
-    incoming = materialise(incoming, "upsert-in")
-    if fs.exists(p):
-        prior = spark.read.parquet(path)
-        touched = prior.join(incoming.select(partition).distinct(), partition, "left_semi")
-        out = materialise(upsert_frames(touched, incoming, keys), "upsert-out")
-    else:
-        out = incoming
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    n = incoming.select(partition).distinct().count()
-    discard(incoming, out)
-    return {"partitions": n, "keys": keys}
+    return commits.upsert(incoming, path, keys, partition)
 
 
 def resolve_keys(columns: list[str], wanted: list[str] | None = None) -> list[str]:
@@ -89,28 +57,20 @@ def resolve_keys(columns: list[str], wanted: list[str] | None = None) -> list[st
     return []
 
 
-def _matched(df: DataFrame, keys: list[str]) -> DataFrame:
-    by = kinds(df)
-    return df.withColumns({f"__u{i}": key(F.col(f"`{k}`"), by[k]) for i, k in enumerate(keys)})
-
-
 def upsert_frames(prior: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Prior rows whose key does not come in, and all incoming rows; prior columns first."""
     if not keys:
         return prior.unionByName(incoming, allowMissingColumns=True)
     names = [f"__u{i}" for i in range(len(keys))]
-    stay = _matched(prior, keys).join(_matched(incoming, keys).select(*names).distinct(), names, "left_anti").drop(*names)
+    stay = commits.matched(prior, keys).join(commits.matched(incoming, keys).select(*names).distinct(), names, "left_anti").drop(*names)
     return stay.unionByName(incoming, allowMissingColumns=True)
 
 
 def upsert(incoming: DataFrame, path: str, key_columns: list[str] | None = None) -> dict:
     """Idempotent: the same rows again change nothing."""
-    spark = incoming.sparkSession
-    prior = read_table(spark, path)
-    keys = resolve_keys(incoming.columns, key_columns)
-    keys = [k for k in keys if prior is None or k in prior.columns]
-    out = incoming if prior is None else upsert_frames(prior, incoming, keys)
-    return {"version": write_version(out, path), "keys": keys}
+    at = commits.snapshot(incoming.sparkSession, path)
+    keys = [k for k in resolve_keys(incoming.columns, key_columns) if at.schema is None or k in at.schema.names]
+    return commits.upsert(incoming, path, keys)
 
 
 def shared_date_column(a: list[str], b: list[str]) -> tuple[str, str] | None:
@@ -155,6 +115,10 @@ def sheet_name(name: str) -> str:
 
 
 def write_sheets(sheets: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
+    """A dataset a sheet below folder; fmt xlsx: one workbook, folder/workbook.xlsx."""
+    if fmt == "xlsx":
+        path = workbooks.write_workbook({sheet_name(n): df for n, df in sheets.items()}, f"{folder}/workbook.xlsx")
+        return dict.fromkeys(sheets, path)
     out = {}
     for name, df in sheets.items():
         out[name] = f"{folder}/{sheet_name(name)}"

@@ -1,26 +1,24 @@
 """Readers: Parquet, delimited text and workbooks, with header and type inference.
 
-Delimited text is read by Spark; only a few lines come to the driver to find the
-delimiter and header row. Workbooks (zip of XML) are read in a task each.
+Delimited text is read in splits (delimited.py); only a few lines come to the driver to find
+the delimiter and header row. Workbooks are read in ranges of a sheet (workbooks.py).
 """
 
 from __future__ import annotations
 
 import csv
-import datetime
 import io
 import re
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
-from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import NUMBER
 from ..operators.grid import kinds
+from ..scratch import materialise
+from . import delimited, workbooks
 
 SCAN_ROWS = 12
 SERIAL_SHARE = 0.9
@@ -49,7 +47,7 @@ def header_row(rows: list[list[str | None]]) -> int:
             continue
         below = [str(v) for v in (rows[i + 1] if i + 1 < len(rows) else []) if v not in (None, "")]
         numeric = lambda vs: sum(bool(re.match(NUMBER, v)) for v in vs) / max(len(vs), 1)
-        score = 2 * (1 - numeric(cells)) + 1.5 * len(cells) / max(len(row), 1) + len(cells) / width - 0.8 * (len(cells) - len(set(cells))) / len(cells) + 1.2 * numeric(below) - 0.15 * i
+        score = 2 * (1 - numeric(cells)) + 1.5 * len(cells) / max(len(row), 1) + len(cells) / width - 0.8 * (len(cells) - len({c.lower() for c in cells})) + 1.2 * numeric(below) - 0.15 * i
         if score > best:
             best, at = score, i
     return at
@@ -63,7 +61,7 @@ def delimiter(lines: list[str]) -> str:
 
 def tidy(df: DataFrame) -> DataFrame:
     """Typed and cleaned: no empty rows, no unnamed empty columns, NaN as null, serial
-    numbers under a date's name as dates. A column with a number like 007 stays text.
+    numbers under a date's name as dates, texts of dates as dates (of times as times). A column with a number like 007 stays text.
     One aggregation decides all of it."""
     names = df.columns
     text = {c for c, k in kinds(df).items() if k == "text"}
@@ -73,9 +71,10 @@ def tidy(df: DataFrame) -> DataFrame:
     number = lambda c: F.when(F.col(f"`{c}`").rlike(NUMBER), F.trim(F.col(f"`{c}`")).try_cast("double")) if c in text else F.col(f"`{c}`").try_cast("double")
     whole = lambda c: F.count_if(number(c) == F.floor(number(c)))
     day = lambda c: F.col(f"`{c}`").try_cast("date") if c in text else F.lit(None)
-    stats = df.agg(F.array(*[F.array(F.count(F.col(f"`{c}`")), F.count(number(c)), whole(c), F.count_if(number(c).between(20000, 80000)), F.count(day(c)), F.count_if(F.col(f"`{c}`").rlike(r"^\s*[+-]?0[0-9]") if c in text else F.lit(False))) for c in names])).first()[0]
+    timed = lambda c: F.count_if(F.col(f"`{c}`").try_cast("timestamp") != F.col(f"`{c}`").try_cast("date")) if c in text else F.lit(0)
+    stats = df.agg(F.array(*[F.array(F.count(F.col(f"`{c}`")), F.count(number(c)), whole(c), F.count_if(number(c).between(20000, 80000)), F.count(day(c)), F.count_if(F.col(f"`{c}`").rlike(r"^\s*[+-]?0[0-9]") if c in text else F.lit(False)), timed(c)) for c in names])).first()[0]
     out = []
-    for c, (n, numbers, wholes, serials, days, zeros) in zip(names, stats):
+    for c, (n, numbers, wholes, serials, days, zeros, times) in zip(names, stats):
         if n == 0 and re.fullmatch(r"(Column|Unnamed:?) ?\d+", c):
             continue
         own = F.col(f"`{c}`")
@@ -85,104 +84,46 @@ def tidy(df: DataFrame) -> DataFrame:
             elif c in text and n and numbers == n and not zeros:
                 own = number(c).cast("bigint") if wholes == n else F.nanvl(number(c), F.lit(None))
             elif c in text and n and days == n and numbers == 0:
-                own = day(c)
+                own = own.try_cast("timestamp") if times else day(c)
         out.append(own.alias(c))
     return df.select(*out)
 
 
-def read_text(spark: SparkSession, path: str, header: int | None = None, sep: str | None = None) -> DataFrame:
-    """CSV, TSV or other delimited text with a header somewhere in its first rows. Each
-    file's rows up to the header go by their position. Files with line breaks inside
-    quotes are read whole, others in splits; one pass over the quotes tells which."""
-    lines = spark.read.text(path)
-    head = [r[0] for r in lines.limit(4 * SCAN_ROWS).collect()]
+def parse_text(spark: SparkSession, path: str, header: int | None = None, sep: str | None = None, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """CSV, TSV or other delimited text with a header somewhere in its first rows: the good
+    records as a table, and (file, start, problem, raw) of those that are not. Each file's
+    rows up to the header go by their position. encoding: else that of the byte order
+    mark, else UTF-8."""
+    top = lambda e: [bytes(r[0]) for r in delimited.lines(spark, path, e).filter("start = 0").limit(4 * SCAN_ROWS).select("value").collect()]
+    first = top("utf-8")
+    encoding = encoding or delimited.encoding_of(first[0] if first else b"") or "utf-8"
+    if encoding.startswith("utf-16"):
+        first = top(encoding)
+    head = [v.decode(encoding, "backslashreplace").removeprefix("\ufeff").removesuffix("\r") for v in first]
     sep = sep or ("\t" if path.endswith(".tsv") else delimiter(head))
     cells = [row for row in csv.reader(io.StringIO("\n".join(head)), delimiter=sep) if row][: SCAN_ROWS + 3]
     at = header_row(cells) if header is None else header
     names = clean_names(cells[at]) if cells else []
+    records = delimited.checked(delimited.parse(spark, path, sep, encoding), len(names)).filter(~((F.col("start") == 0) & (F.col("n") <= at)))
+    bad = records.filter("problem is not null").select("file", "start", "problem", F.coalesce("raw", F.array_join("cells", sep)).alias("raw"))
     if not names:
-        return spark.createDataFrame([], "`Column 1` string")
-    broken = not lines.filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    raw = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", broken).csv(path)
-    rows = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__n"))
-    first = rows.filter("__start = 0").groupBy("__file").agg(F.min("__n").alias("__first"))
-    below = rows.join(first, "__file", "left").filter(~((F.col("__start") == 0) & (F.col("__n") - F.col("__first") <= at)))
-    return tidy(below.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)]))
-
-
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-
-
-def _workbook(data: bytes) -> tuple[zipfile.ZipFile, dict[str, str]]:
-    z = zipfile.ZipFile(io.BytesIO(data))
-    rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
-    return z, {s.get("name"): "xl/" + rels[s.get(f"{{{_NS['r']}}}id")].removeprefix("/xl/").removeprefix("xl/") for s in sheets}
-
-
-def _date_styles(z: zipfile.ZipFile) -> set[int]:
-    """Numbers of the cell styles that show a number as a date or time."""
-    if "xl/styles.xml" not in z.namelist():
-        return set()
-    root = ElementTree.fromstring(z.read("xl/styles.xml"))
-    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\\\.', "", f.get("formatCode") or "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
-    dated = lambda n: n in (*range(14, 23), *range(45, 48)) or bool(re.search("[ymdhs]", own.get(n, ""), re.I))
-    return {i for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)) if dated(int(xf.get("numFmtId") or 0))}
-
-
-def _cell(c: ElementTree.Element, shared: list[str], dates: set[int]) -> str | None:
-    kind, v = c.get("t"), c.find("m:v", _NS)
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-    if v is None or kind == "e":
-        return None
-    if kind == "s":
-        return shared[int(v.text)]
-    if kind == "b":
-        return "True" if v.text == "1" else "False"
-    if kind in (None, "n") and v.text and int(c.get("s") or 0) in dates:
-        at = datetime.datetime(1899, 12, 30) + datetime.timedelta(days=float(v.text))
-        return at.date().isoformat() if at.time() == datetime.time() else at.isoformat(" ", "seconds")
-    return v.text
-
-
-def _sheet_rows(data: bytes, sheet: str | None) -> Iterator[list[str | None]]:
-    z, sheets = _workbook(data)
-    shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    dates = _date_styles(z)
-    for _, row in ElementTree.iterparse(z.open(sheets[sheet] if sheet else next(iter(sheets.values())))):
-        if row.tag != f"{{{_NS['m']}}}row":
-            continue
-        cells: list[str | None] = []
-        for c in row.findall("m:c", _NS):
-            letters = re.match(r"[A-Z]+", c.get("r") or "")
-            at = 0
-            for ch in letters[0] if letters else "":
-                at = at * 26 + ord(ch) - 64
-            cells += [None] * ((at or len(cells) + 1) - 1 - len(cells))
-            cells.append(_cell(c, shared, dates))
-        yield cells
-        row.clear()
+        return spark.createDataFrame([], "`Column 1` string"), bad
+    good = records.filter("problem is null")
+    return tidy(good.select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)])), bad
+
+
+def read_text(spark: SparkSession, path: str, header: int | None = None, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """The table of parse_text(); a record that is not good is an error."""
+    good, bad = parse_text(spark, path, header, sep, encoding)
+    shown = bad.limit(5).collect()
+    if shown:
+        raise ValueError(f"{path}: " + "; ".join(f"{r['problem']}: {r['raw'][:200]!r}" for r in shown))
+    return good
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header: int | None = None) -> DataFrame:
-    """A sheet of an .xlsx or .xlsm file. Other workbook formats have no reader here."""
-    if not path.lower().endswith((".xlsx", ".xlsm", ".xltx")):
-        raise ValueError(f"{path}: only .xlsx, .xlsm and .xltx workbooks can be read")
-    files = spark.read.format("binaryFile").load(path)
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                rows, at = _sheet_rows(bytes(content), sheet), 0
-                while part := list(islice(rows, 10_000)):
-                    yield pd.DataFrame({"n": range(at, at + len(part)), "v": part})
-                    at += len(part)
-
-    cells = files.select("content").mapInPandas(run, "n bigint, v array<string>")
+    """A sheet of a workbook, parsed once, in ranges."""
+    cells = materialise(workbooks.read_rows(spark, path, sheet), "workbook")
     head = [r["v"] for r in cells.filter(F.col("n") < SCAN_ROWS + 3).orderBy("n").collect()]
     if not head:
         raise ValueError(f"{path}: the sheet is empty")
@@ -192,10 +133,10 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, head
 
 
 def list_sheets(spark: SparkSession, path: str) -> list[str]:
-    if not path.lower().endswith((".xlsx", ".xlsm", ".xltx")):
+    if not path.lower().endswith(workbooks.READABLE):
         return ["(csv)"]
-    data = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    return list(_workbook(bytes(data))[1])
+    with workbooks.open_workbook(path) as z:
+        return list(workbooks.sheets(z))
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None, header: int | None = None) -> DataFrame:
@@ -210,7 +151,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, header:
 ROLE_WORDS = {"master": ("master",), "historical": ("hist", "template", "db final", "sales db"), "new": ("new", "raw", "input")}
 OUTPUT_SHEET = "output data"
 AUX_SHEETS = {"quarantined rows", "validation issues", "excluded new rows", "master additions", "master data additions", "run summary"}
-READABLE = (".csv", ".tsv", ".txt", ".parquet", ".xlsx", ".xlsm", ".xltx")
+READABLE = (".csv", ".tsv", ".txt", ".parquet", *workbooks.READABLE)
 
 
 def guess_role(name: str) -> str | None:
@@ -256,6 +197,5 @@ def choose_sheet(spark: SparkSession, path: str, role: str, wanted: str | None =
     exact = [s for s in sheets if s.strip().casefold() == OUTPUT_SHEET]
     if exact:
         return exact[0]
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    filled = lambda s: sum(v not in (None, "") for row in islice(_sheet_rows(data, s), 30) for v in row)
+    filled = lambda s: sum(v not in (None, "") for _, row in islice(workbooks.sheet_rows(path, s), 30) for v in row)
     return max([s for s in sheets if s.strip().casefold() not in AUX_SHEETS] or sheets, key=filled)

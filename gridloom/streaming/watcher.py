@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from ..plans.batch import load, read_status
 from ..plans.pipeline import Inputs, build_output, with_row_id
 from ..sources import sinks, tables
+from .changes import FileChanges
 
 
 def process(new: DataFrame, master: DataFrame, historical: DataFrame, config: dict, path: str, key_columns: list[str] | None = None, **options) -> dict:
@@ -47,6 +48,27 @@ def watch(
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def follow(
+    spark: SparkSession, folder: str, run: Callable[[dict], dict], checkpoint: str, pattern: str = "*", exclude: tuple[str, ...] = (), stable_seconds: float = 5.0,
+    interval: str | None = None, report: Callable[[dict, dict], None] | None = None,
+) -> StreamingQuery:
+    """run gets path, name, size, mtime and entry of every version of a file, in the order
+    of their times. A version counts as done when its batch is; if run raises, the query
+    stops, and the next start goes on with the same versions."""
+    spark.dataSource.register(FileChanges)
+    options = {"folder": folder, "log": f"{checkpoint}/changes", "pattern": pattern, "exclude": "|".join(exclude), "stable_seconds": str(stable_seconds)}
+
+    def each(batch: DataFrame, number: int) -> None:
+        # One small row for each changed file.
+        for event in sorted((r.asDict() for r in batch.collect()), key=lambda e: (e["entry"], e["mtime"], e["path"])):
+            got = run(event)
+            if report:
+                report(event, got)
+
+    writer = spark.readStream.format("file_changes").options(**options).load().writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/query")
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def newest(spark: SparkSession, folder: str, glob: str = "*", exclude: tuple[str, ...] = ()) -> dict | None:
     """The file that changed last, without those that are named and a job's own."""
     found = [f for f in tables.list_files(spark, folder, glob) if f["name"] not in exclude and not f["name"].startswith(("_", ".", "~$"))]

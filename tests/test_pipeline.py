@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import scratch
-from gridloom.operators import dedupe, donors, grid, labels, quality
+from gridloom.operators import dedupe, donors, grid, labels, quality, similar
 from gridloom.plans import batch
 from gridloom.plans.pipeline import Inputs, build_output, dump_config, fill_presets, final_types, load_config, order_like, rename_output
-from gridloom.sources import sinks, tables
+from gridloom.sources import commits, sinks, tables
 from gridloom.streaming import watcher
 
 CITIES, SKUS = ["SPR", "RVT", "LKS", "HLC"], [f"SKU {i}" for i in range(6)]
@@ -93,7 +93,7 @@ def test_rows_are_numbered_without_one_task(spark):
 
 
 def test_suggest_like_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(labels, "TILE", 3)
+    monkeypatch.setattr(similar, "TILE", 3)
     typos = ["BRANGE", "KOLA", "0RANGE", "LMON", "WTAER", "Pehsawar", "GreaterLahore", "Cola & Lime", "zzz", "!!", "Consumer price"]
     names = ["ORANGE", "COLA", "LEMON", "WATER", "Peshawar", "Lahore", "COLA", "cola and lime 500ML", "usp"]
     new = spark.createDataFrame(list(enumerate(typos)), "__row_id long, b string")
@@ -202,7 +202,7 @@ def test_batch_writes_its_quarantine(spark, frames, tmp_path):
     bad = spark.read.parquet(got["sheets"]["Quarantined Rows"]).collect()
     assert [(r["ID"], r["QC_REASON"]) for r in bad] == [(1001, "PRICE: not positive")]
     for _ in range(2):
-        assert go()["loaded"] and spark.read.parquet(str(tmp_path / "db")).count() == 47
+        assert go()["loaded"] and sinks.read_table(spark, str(tmp_path / "db")).count() == 47
     assert told == ["rows need attention"] * 3 and batch.read_status(spark, str(tmp_path / "out" / "last_run.json"))["status"] == "completed_with_attention"
 
 
@@ -225,10 +225,11 @@ def test_poll_sees_a_file_written_again(spark, tmp_path):
 def test_partitions_that_nothing_comes_for_stay(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.upsert_partitions(spark.createDataFrame([(1, "a", 1), (2, "a", 1), (1, "b", 1)], "k int, p string, v int"), path, ["k", "p"], "p")
-    before = {f.name for f in (tmp_path / "t" / "p=b").glob("*.parquet")}
+    holding = lambda p: {n for n, f in commits.snapshot(spark, path).files.items() if f["keys"]["p"][0] <= p <= f["keys"]["p"][1]}
+    before = holding("B")
     sinks.upsert_partitions(spark.createDataFrame([(2, "a", 5), (1, "c", 5)], "k int, p string, v int"), path, ["k", "p"], "p")
-    assert {(r["k"], r["p"], r["v"]) for r in spark.read.parquet(path).collect()} == {(1, "a", 1), (2, "a", 5), (1, "b", 1), (1, "c", 5)}
-    assert before == {f.name for f in (tmp_path / "t" / "p=b").glob("*.parquet")}
+    assert {(r["k"], r["p"], r["v"]) for r in sinks.read_table(spark, path).collect()} == {(1, "a", 1), (2, "a", 5), (1, "b", 1), (1, "c", 5)}
+    assert before and before == holding("B")
 
 
 def test_scratch_folder_needs_to_be_shared(spark, monkeypatch):
