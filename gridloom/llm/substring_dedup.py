@@ -50,6 +50,8 @@ CROWDED, GROUP = 8_000, 30_000
 #: Words of the prefixes tried where GRAM words are too few.
 LENGTHS = ((GRAM + WINDOW) // 2, WINDOW)
 SALTS = 32
+#: Suffixes that a task sends on at a time.
+ROWS = 50_000
 #: Anchors of a block that are combined in a task, and characters of text behind a bucket.
 BLOCK, BUCKET_CHARS = 1 << 20, 1 << 24
 
@@ -148,18 +150,19 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     many (both included) words before."""
     names = ["key", "doc_id", "at", "few", "many", "before", "after"]
     for batch in batches:
+        out: list[tuple] = []
         for key, doc_id, text, hashes in zip(batch["key"], batch["doc_id"], batch["text"], batch["hashes"]):
             words = words_of(text)
             at, h, first, last = anchors(words)
             wanted = np.unique(np.frombuffer(b"".join(hashes), "<u4"))
             keep = np.flatnonzero(np.isin((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), wanted))
-            out = []
-            for i in keep.tolist():
-                a, many = int(at[i]), int(at[i] - first[i])
-                before, after = words[a - many : a], words[a : a + WINDOW]
-                out.append((key, doc_id, a, int(at[i] - last[i]), many, b" ".join(before).decode(), b" ".join(after).decode()))
-            if out:
+            for a, f, m in zip(at[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
+                out.append((key, doc_id, a, a - m, a - f, b" ".join(words[f:a]).decode(), b" ".join(words[a : a + WINDOW]).decode()))
+            if len(out) >= ROWS:
                 yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
 
 def _codes(texts: pd.Series, width: int, seen: dict[str, int], right: bool) -> np.ndarray:
