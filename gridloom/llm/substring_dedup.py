@@ -53,7 +53,7 @@ SALTS = 32
 #: Suffixes that a task sends on at a time.
 ROWS = 50_000
 #: Anchors of a block that are combined in a task, and characters of text behind a bucket.
-BLOCK, BUCKET_CHARS = 1 << 20, 1 << 24
+BLOCK, BUCKET_CHARS = 1 << 20, 1 << 22
 
 _MULTIPLY = np.random.default_rng(20240611).integers(1, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ANCHOR = np.dtype([("hash", "<u4"), ("key", "<i8")])
