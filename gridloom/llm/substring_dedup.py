@@ -45,8 +45,9 @@ from .common import column, discard, materialise, salted_join, table, text_or_em
 WINDOW, GRAM = 13, 5
 #: Places of an anchor within its window.
 PLACES = WINDOW - GRAM + 1
-#: Suffixes of one prefix, and of the prefixes that share a group.
-CROWDED, GROUP = 8_000, 30_000
+#: Suffixes of one prefix, and of the prefixes that share a group: a task needs about a
+#: kilobyte for each.
+CROWDED, GROUP = 100_000, 50_000
 #: Words of the prefixes tried where GRAM words are too few.
 LENGTHS = ((GRAM + WINDOW) // 2, WINDOW)
 SALTS = 32
