@@ -81,9 +81,11 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     # join below read the same numbers of the rows.
     rows = materialise(candidates(docs), "secret-candidates")
     base = F.col("kind").isin(*BASE)
-    at = Window.partitionBy("doc").orderBy("start", F.desc("end"))
+    # Both frames grow from their first row: one that shrinks is read anew for each row.
+    at = Window.partitionBy("doc").orderBy("start", F.desc("end"), "kind")
+    back = Window.partitionBy("doc").orderBy(F.desc("start"), "end", F.desc("kind"))
     before = F.max(F.when(base, F.col("end"))).over(at.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(at.rowsBetween(1, Window.unboundedFollowing))
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     clear = F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True))
     rows = rows.withColumn("_clear", base | clear).withColumn("kind", F.when(F.col("_clear"), F.col("kind"))).drop("_clear")
     role = F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), F.col("kind"))
