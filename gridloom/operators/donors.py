@@ -4,8 +4,8 @@ The first level that has a donor wins with its whole row. A donor by keys alone
 first, random) does not depend on the date, so it is joined to the combinations, before
 these meet the dates. previous and nearest depend on keys and date: the pool is reduced
 to one row a key and date, and a window a key runs over its distinct dates and those of
-the grid; its length is bounded by the calendar, whatever the number of rows. Each level
-adds one aggregation and one join, and levels share the pool's first aggregation.
+the gaps; its length is bounded by the calendar, whatever the number of rows. Only gaps are
+looked for, and each level takes those that the levels before left open.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import materialise
 from .grid import kinds, match_keys
 
 STRATEGIES = ("last", "first", "random", "previous", "nearest")
@@ -40,6 +41,8 @@ class Search:
         self.levels = [v for v in chain if v and all(p["grid"] in dims and p[side] in known for p in v)]
         self.side, self.carry, self.strategy, self.dims, self.name, self.seed = side, carry, strategy, dims, name, seed
         self.schema = pool.schema
+        #: Written tables: of each level in turn what it was asked for, and what it found.
+        self.opened: list[DataFrame] = []
         self.columns = list(dict.fromkeys(p[side] for v in self.levels for p in v))
         self.static_levels = [] if strategy in DATED and strict_previous else self.levels
         self.pool = match_keys(pool, self.columns, "__m").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in carry])) if self.levels else pool
@@ -65,18 +68,38 @@ class Search:
             cells = cells.join(found, [k for k, _ in keys], "left")
         return cells
 
+    def _written(self, df: DataFrame) -> DataFrame:
+        df = materialise(df, "donor-open")
+        self.opened.append(df)
+        return df
+
     def dated(self, cells: DataFrame, wanted: DataFrame) -> DataFrame:
-        """wanted: the keys and dates that may be asked for; it may hold more than cells."""
-        if self.strategy not in DATED:
+        """wanted: the keys and dates that ask for a donor. Each level takes those that the
+        levels before left open, from a written table; what they found comes to the cells in
+        one join."""
+        if self.strategy not in DATED or not self.levels:
             return cells
-        reduced = self.pool.filter("__date is not null").groupBy(*[f"__m{i}" for i in range(len(self.columns))], "__date").agg(F.max_by("__row", "__row_id").alias("__row"), F.max("__row_id").alias("__row_id"))
+        every = [f"__m{i}" for i in range(len(self.columns))]
+        reduced = self.pool.filter("__date is not null").groupBy(*every, "__date").agg(F.max_by("__row", "__row_id").alias("__row"), F.max("__row_id").alias("__row_id"))
+        asked = list(dict.fromkeys(k for v in self.levels for k, _ in self._keys(v)))
+        rest, found = wanted.select(*asked, "__date").distinct(), None
         for depth, level in enumerate(self.levels):
             keys = self._keys(level)
-            names = [k for k, _ in keys]
+            names = list(dict.fromkeys(k for k, _ in keys))
+            rest = self._written(rest)
             donors = reduced.groupBy(*[F.col(m).alias(k) for k, m in keys], "__date").agg(F.max_by("__row", "__row_id").alias("row"))
-            found = asof(donors, wanted.select(*names, "__date").distinct(), names, self.strategy).withColumnRenamed("d", f"__{self.name}{depth}a")
-            cells = cells.join(found, [*names, "__date"], "left")
-        return cells
+            near = asof(donors, rest.select(*names, "__date").distinct(), names, self.strategy).filter("d is not null")
+            # Written, as two plans read it: what is found, and what stays open.
+            part = self._written(rest.join(near, [*names, "__date"]).select(*asked, "__date", F.lit(depth).alias("__depth"), "d"))
+            found = part if found is None else found.unionByName(part)
+            if depth + 1 < len(self.levels):
+                rest = rest.join(part.select(*asked, "__date"), [*asked, "__date"], "left_anti")
+                if self.static_levels:
+                    # A key of the pool has a donor at this level, if not by date.
+                    rest = rest.join(self.pool.select(*[F.col(m).alias(k) for k, m in keys]).distinct(), names, "left_anti")
+        slot = lambda i: F.when(F.col("__depth") == i, F.col("d")).alias(f"__{self.name}{i}a")
+        placed = found.select(*asked, "__date", *[slot(i) for i in range(len(self.levels))])
+        return cells.join(placed, [*asked, "__date"], "left")
 
     def settle(self, cells: DataFrame, wanted: Column | None = None) -> DataFrame:
         """wanted: the rows that take a donor; others get none."""

@@ -309,7 +309,9 @@ def build_output(inputs: Inputs, config: dict) -> Result:
         donors.Search(hist, chains[0], "hist", hist_cols, strategy, dim_names, "donor", strict),
         donors.Search(new, chains[1], "new", new_cols, strategy, dim_names, "new_donor", strict),
     ]
-    wanted = keys_only.crossJoin(axis.select("__date"))
+    # The gaps: cells without a transaction. Only their keys and dates look for donors.
+    taken = placed.filter("__in_grid").select(*[f"__k{i}" for i in range(len(dims))], "__date").distinct()
+    wanted = keys_only.crossJoin(axis.select("__date")).join(taken, [*(f"__k{i}" for i in range(len(dims))), "__date"], "left_anti")
     for search in searches:
         combos = search.static(combos)
     cells = grid.grid(combos, axis)
@@ -317,6 +319,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
         cells = cells.orderBy("__grid_id").limit(int(config["preview_limit"]))
     for search in searches:
         cells = search.dated(cells, wanted)
+        scratch += search.opened
     wide = grid.attach_new(cells, new, len(dims), new_cols, "left" if filling else "inner").withColumn("__gap", F.col("new").isNull())
     for search in searches:
         wide = search.settle(wide, F.col("__gap"))

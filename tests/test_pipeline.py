@@ -87,6 +87,17 @@ def test_three_levels_and_a_linear_plan(spark):
         assert plan[2] - plan[1] <= plan[1] - plan[0]
 
 
+def test_later_levels_see_open_gaps_only(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    pool = spark.createDataFrame([(i, f"a{i}", "x", day(2), i) for i in range(6)] + [(9, "a9", "y", None, 9)], "__row_id long, p string, q string, __date date, v int")
+    gaps = spark.createDataFrame([(i, f"A{i}", "X" if i < 9 else "Y", day(1 + i % 3)) for i in range(10)], "__grid_id long, __k0 string, __k1 string, __date date")
+    search = donors.Search(pool, donors.default_chain([{"master": c} for c in "pq"]), "hist", ["v"], "nearest", list("pq"), "donor")
+    out = {r["__grid_id"]: (r["donor"]["v"], r["donor_level"]) for r in search.settle(search.dated(search.static(gaps), gaps)).collect()}
+    # Six gaps have a donor of their keys by date, one has it without a date.
+    assert [df.count() for df in search.opened] == [10, 6, 3, 3]
+    assert out == {i: (i, "p + q") for i in range(6)} | {i: (5, "q") for i in (6, 7, 8)} | {9: (9, "p + q")}
+
+
 def test_rows_are_numbered_without_one_task(spark):
     df = spark.createDataFrame([(v,) for v in (7, 5 << 33, 3, 1 << 20, -4, (5 << 33) + 9)], "n long")
     assert {r["n"]: r["ix"] for r in grid.ordinals(df, "n", "ix", 8).collect()} == {v: i for i, v in enumerate(sorted((7, 5 << 33, 3, 1 << 20, -4, (5 << 33) + 9)))}
