@@ -87,6 +87,16 @@ def test_three_levels_and_a_linear_plan(spark):
         assert plan[2] - plan[1] <= plan[1] - plan[0]
 
 
+def test_random_donors_are_of_the_key_and_stay(spark):
+    pool = spark.createDataFrame([(i, f"a{i % 3}", None, i) for i in range(60)], "__row_id long, k string, __date date, v int")
+    gaps = spark.createDataFrame([(i, f"A{i % 4}", dt.date(2024, 1, 1)) for i in range(8)], "__grid_id long, __k0 string, __date date")
+    draw = lambda df: {r["__grid_id"]: r["donor"] and r["donor"]["v"] for r in donors.pick(gaps, df, [[{"grid": "k", "hist": "k"}]], "hist", ["v"], "random", ["k"]).collect()}
+    got = draw(pool)
+    assert got == draw(pool.repartition(7)) and all(got[i] is None if i % 4 == 3 else got[i] % 3 == i % 4 for i in range(8))
+    # Another row than the first or last of its key for some key.
+    assert any(got[i] not in (i, 57 + i) for i in range(3))
+
+
 def test_later_levels_see_open_gaps_only(spark):
     day = lambda n: dt.date(2024, 1, n)
     pool = spark.createDataFrame([(i, f"a{i}", "x", day(2), i) for i in range(6)] + [(9, "a9", "y", None, 9)], "__row_id long, p string, q string, __date date, v int")
