@@ -4,7 +4,6 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.operators import dedupe, labels, quality, selection
 
