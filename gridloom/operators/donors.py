@@ -41,8 +41,10 @@ class Search:
         self.levels = [v for v in chain if v and all(p["grid"] in dims and p[side] in known for p in v)]
         self.side, self.carry, self.strategy, self.dims, self.name, self.seed = side, carry, strategy, dims, name, seed
         self.schema = pool.schema
-        #: Written tables: of each level in turn what it was asked for, and what it found.
+        #: Of each level in turn what it was asked for, and what it found.
         self.opened: list[DataFrame] = []
+        #: The tables behind them, for discard().
+        self.written: list[DataFrame] = []
         self.columns = list(dict.fromkeys(p[side] for v in self.levels for p in v))
         self.static_levels = [] if strategy in DATED and strict_previous else self.levels
         self.pool = match_keys(pool, self.columns, "__m").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in carry])) if self.levels else pool
@@ -68,32 +70,39 @@ class Search:
             cells = cells.join(found, [k for k, _ in keys], "left")
         return cells
 
-    def _written(self, df: DataFrame) -> DataFrame:
+    def _write(self, df: DataFrame) -> DataFrame:
         df = materialise(df, "donor-open")
-        self.opened.append(df)
+        self.written.append(df)
         return df
 
     def dated(self, cells: DataFrame, wanted: DataFrame) -> DataFrame:
-        """wanted: the keys and dates that ask for a donor. Each level takes those that the
-        levels before left open, from a written table; what they found comes to the cells in
-        one join."""
+        """wanted: the keys and dates that ask for a donor. Each level writes its answers once
+        and takes those that the levels before left open; what they found comes to the cells
+        in one join. A null key or date has no donor by date."""
         if self.strategy not in DATED or not self.levels:
             return cells
         every = [f"__m{i}" for i in range(len(self.columns))]
         reduced = self.pool.filter("__date is not null").groupBy(*every, "__date").agg(F.max_by("__row", "__row_id").alias("__row"), F.max("__row_id").alias("__row_id"))
+        if len(self.levels) > 1:
+            reduced = self._write(reduced)
         asked = list(dict.fromkeys(k for v in self.levels for k, _ in self._keys(v)))
-        rest, found = wanted.select(*asked, "__date").distinct(), None
+        rest, found = wanted.filter("__date is not null").select(*asked, "__date").distinct(), None
         for depth, level in enumerate(self.levels):
             keys = self._keys(level)
             names = list(dict.fromkeys(k for k, _ in keys))
-            rest = self._written(rest)
-            donors = reduced.groupBy(*[F.col(m).alias(k) for k, m in keys], "__date").agg(F.max_by("__row", "__row_id").alias("row"))
-            near = asof(donors, rest.select(*names, "__date").distinct(), names, self.strategy).filter("d is not null")
-            # Written, as two plans read it: what is found, and what stays open.
-            part = self._written(rest.join(near, [*names, "__date"]).select(*asked, "__date", F.lit(depth).alias("__depth"), "d"))
+            dated = reduced.filter(" and ".join(f"{m} is not null" for _, m in keys))
+            donors = dated.groupBy(*[F.col(m).alias(k) for k, m in keys], "__date").agg(F.max_by("__row", "__row_id").alias("row"))
+            if set(names) == set(asked):
+                answers = asof(donors, rest, names, self.strategy)  # one row for each that asks
+            else:
+                near = asof(donors, rest.select(*names, "__date").distinct(), names, self.strategy).filter("d is not null")
+                answers = rest.join(near, [*names, "__date"], "left")
+            answers = self._write(answers.select(*asked, "__date", "d"))
+            part = answers.filter("d is not null").withColumn("__depth", F.lit(depth))
+            self.opened += [answers.drop("d"), part]
             found = part if found is None else found.unionByName(part)
             if depth + 1 < len(self.levels):
-                rest = rest.join(part.select(*asked, "__date"), [*asked, "__date"], "left_anti")
+                rest = answers.filter("d is null").drop("d")
                 if self.static_levels:
                     # A key of the pool has a donor at this level, if not by date.
                     rest = rest.join(self.pool.select(*[F.col(m).alias(k) for k, m in keys]).distinct(), names, "left_anti")

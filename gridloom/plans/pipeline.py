@@ -319,7 +319,7 @@ def build_output(inputs: Inputs, config: dict) -> Result:
         cells = cells.orderBy("__grid_id").limit(int(config["preview_limit"]))
     for search in searches:
         cells = search.dated(cells, wanted)
-        scratch += search.opened
+        scratch += search.written
     wide = grid.attach_new(cells, new, len(dims), new_cols, "left" if filling else "inner").withColumn("__gap", F.col("new").isNull())
     for search in searches:
         wide = search.settle(wide, F.col("__gap"))
