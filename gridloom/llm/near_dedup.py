@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, column, discard, materialise, salted_join, table, text_or_empty, unboxed
+from .common import boxed, column, discard, likely, materialise, salted_join, table, text_or_empty, unboxed
 
 SHINGLE = 5
 #: Links need 100 * intersection >= percent * union; the query's and the stage's percent.
@@ -249,9 +249,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, text) of class representatives; rows that repeat a doc_id with other words
     belong to another class and stay out."""
-    # Written, so that its size is known and the texts stay where they are if it is small.
+    # Written, as it is read for the filter too: of the texts, only candidates' are shuffled.
     known = materialise(reps.select("id", "rep", "cls").join(ids, "id"), "near-known")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(known, "rep")
+    texts = likely(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", known).join(known, "rep")
     return texts.filter(F.pandas_udf(_in_class, "boolean")("text", "cls")).select("id", "text").dropDuplicates(["id"])
 
 
@@ -271,12 +271,14 @@ def _confirm(alive: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -
 def _pivot_links(banded: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links of each bucket's members with its smallest."""
     heads = banded.groupBy("band", "key").agg(F.min("id").alias("a"))
-    pairs = salted_join(banded, heads, ["band", "key"], ["id"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    first = pairs.select("a").distinct().join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    sigs = salted_join(pairs.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"), first, ["a"], ["b"])
+    pairs = materialise(salted_join(banded, heads, ["band", "key"], ["id"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "near-pairs")
+    a, b = pairs.select("a").distinct(), pairs.select("b").distinct()
+    first = a.join(likely(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a", a), "a")
+    second = likely(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b", b)
+    sigs = salted_join(pairs.join(second, "b"), first, ["a"], ["b"])
     alive = materialise(sigs.filter(plausible(percent)("sig_a", "sig_b")).select("a", "b"), "near-alive")
     links = _confirm(alive, reps, docs, percent)
-    discard(alive)
+    discard(pairs, alive)
     return links
 
 
@@ -286,9 +288,9 @@ def _tile_links(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
     labelled = banded.filter("size > 2").join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("label", F.coalesce("label", "id")).drop("_id")
     several = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "key")
     members = materialise(salted_join(labelled, several, ["band", "key"], ["id"]), "near-open")
-    ids = members.select("id").distinct()
+    ids = materialise(members.select("id").distinct(), "near-ids")
     texts = _texts_of(ids, reps, docs).select("id", F.pandas_udf(_hashes, "binary")("text").alias("shingles"))
-    sets = materialise(texts.join(reps.select("id", "sig", "bands"), "id"), "near-sets")
+    sets = materialise(texts.join(likely(reps.select("id", "sig", "bands"), "id", ids), "id"), "near-sets")
     parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
     placed = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     tiled = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(
@@ -296,7 +298,7 @@ def _tile_links(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
     )
     alive = materialise(tiled.join(sets, "id").groupBy("band", "key", "ti", "tj").applyInPandas(_tile(percent), "a bigint, b bigint").distinct(), "near-alive")
     links = _confirm(alive, reps, docs, percent)
-    discard(members, sets, alive)
+    discard(members, ids, sets, alive)
     return links
 
 

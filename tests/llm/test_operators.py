@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, hmm, language_id, mixing, near_dedup, packing, quality_rules, secrets, site_style_tree, warc_derivatives
+from gridloom.llm import common, exact_dedup, hmm, language_id, mixing, near_dedup, packing, quality_rules, secrets, site_style_tree, warc_derivatives
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, size string, target string, n_words string, row string, _gone string"
 WORDS = {"en": "the and of to house tree water with river stone green under".split(), "de": "der und das nicht haus baum wasser fluss stein grün unter straße".split(), "fr": "le la et dans maison arbre eau rivière pierre verte sous été".split(), "es": "el los y en casa árbol agua río piedra verde bajo niño".split()}
@@ -270,6 +271,41 @@ def test_tiles_link_like_all_pairs(monkeypatch, docs, rows):
     assert want == {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
 
 
+def shuffled(spark) -> int:
+    """Bytes that this session's tasks have shuffled so far."""
+    for _ in range(2):  # the last task's figures are booked with the next one
+        time.sleep(1.2)
+        spark.range(1).count()
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_near_duplicates_shuffle_the_texts_of_candidates_only(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(f" w{rng.randrange(10**6)}" for _ in range(4000)) for _ in range(200)]
+    texts += [f"changed{i}{texts[i]}" for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+        assert shuffled(spark) - before < sum(map(len, texts)) / 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: i - 200 if i >= 200 else i for i in range(204)}
+
+
+def test_likely_keeps_all_that_are_wanted(spark, monkeypatch):
+    wanted = spark.range(0, 10_000, 7).unionByName(spark.range(-100, 0)).selectExpr("id AS k")
+    rows = spark.range(-1000, 20_000).selectExpr("id AS k", "id % 5 AS other").unionByName(spark.createDataFrame([(None, 1)], "k long, other long"))
+    want = {r["k"] for r in wanted.collect()}
+    got = [r["k"] for r in common.likely(rows, "k", wanted).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) and len(got) - len(want) < 0.08 * 21_000
+    assert common.likely(rows, "k", wanted.limit(0)).count() == 0
+    monkeypatch.setattr(common, "BLOCKS", 4)  # too few: more of the others pass, but nothing is lost
+    assert want <= {r["k"] for r in common.likely(rows, "k", wanted).collect()}
+
+
 def test_language_id(docs, rows):
     got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
     test = [r for r in rows[:260] if got[r[0]]["held_out"]]
