@@ -23,7 +23,9 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -37,10 +39,14 @@ TOP, BUCKETS, STATES, ITERATIONS = 16384, 8192, 8, 100
 #: Training ends when the log likelihood gains less than this share, or at ITERATIONS.
 TOLERANCE = 1e-3
 SYMBOLS = TOP + BUCKETS
-#: Tokens of a batch, and of the pieces in which a training pass goes through it.
-BATCH_TOKENS, CHUNK = 5_000_000, 2 << 20
-#: Texts of more than LONG tokens are passed in segments.
-LONG, SEGMENT = 4096, 64
+#: Tokens of a batch.
+BATCH_TOKENS = 5_000_000
+#: Tokens that a task of a training pass puts in order of length, two bytes each (a text counts
+#: as TEXT more), and those that it passes at once, about 100 bytes each. Texts of like length share their steps.
+SORTED, TEXT, CHUNK = 8 << 20, 100, 1 << 20
+#: Texts of more than LONG tokens are passed in segments where that costs less. A token
+#: in segments costs 1 more than side by side, a step of texts side by side STEP.
+LONG, SEGMENT, STEP = 4096, 64, 40
 #: Weight of the overall symbol frequencies in each state's emissions.
 PRIOR = 50.0
 END = b""
@@ -52,7 +58,8 @@ SCORED = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_sc
 def _code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as numbers of their batch's words; then the words with training counts."""
     number, held = TaskContext.get().partitionId() << 32, 0
-    index: dict[bytes, int] = {}
+    # A word not met yet gets the next number.
+    index: defaultdict[bytes, int] = defaultdict(count().__next__)
     counts = np.zeros(0, np.int64)
 
     def words() -> Iterator[pd.DataFrame]:
@@ -69,8 +76,7 @@ def _code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text in part["text"]:
                 tokens = text.encode("utf-8", "replace").lower().split()
                 tokens.append(END)
-                ids = np.fromiter((index.setdefault(w, len(index)) for w in tokens), np.int32, len(tokens))
-                coded.append(ids)
+                coded.append(np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens)))
             counts = np.concatenate([counts, np.zeros(len(index) - len(counts), np.int64)])
             train = part["train"].to_numpy(bool)
             learned = [ids for ids, t in zip(coded, train) if t]
@@ -82,7 +88,7 @@ def _code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"batch": number, "doc_id": pd.array(doc_id, "Int64"), "train": train, "ids": ids, "word": None, "wid": pd.array([None] * len(part), "Int32"), "c": pd.array([None] * len(part), "Int64")})
             if held >= BATCH_TOKENS:
                 yield from words()
-                number, held, index, counts = number + 1, 0, {}, np.zeros(0, np.int64)
+                number, held, index, counts = number + 1, 0, defaultdict(count().__next__), np.zeros(0, np.int64)
     if index:
         yield from words()
 
@@ -132,7 +138,11 @@ class Model:
         symbols: texts one after another; fresh: true at the first token of each."""
         starts = np.flatnonzero(fresh)
         lengths = np.diff(np.append(starts, len(symbols)))
-        long = np.repeat(lengths > LONG, lengths)
+        # Steps side by side are as many as the longest text's tokens, so the few that are much longer go apart.
+        ordered = np.append(-np.sort(-lengths), 0)
+        cost = np.cumsum(ordered) - ordered + STEP * ordered
+        limit = ordered[np.argmin(cost[: np.count_nonzero(lengths > LONG) + 1])]
+        long = np.repeat(lengths > limit, lengths)
         parts = [run(symbols[keep], fresh[keep]) for run, keep in ((self._side_by_side, ~long), (self._in_segments, long)) if keep.any()]
         return tuple(sum(x) for x in zip(*parts))
 
@@ -176,6 +186,7 @@ class Model:
                 before = spans[t - 1][0]
                 moved += alpha[before : before + n].T @ ahead
                 np.matmul(ahead, back, out=beta[:n])
+        del emit
         counts = np.stack([np.bincount(ordered, weights=alpha[:, j], minlength=SYMBOLS) for j in range(k)], axis=1)
         likelihood = np.log(scale).sum(dtype=np.float64) + np.bincount(ordered, minlength=len(best)) @ np.log(best)
         return counts, moved * self.moves, alpha[: top[1]].sum(axis=0, dtype=np.float64), float(likelihood)
@@ -254,7 +265,7 @@ class Model:
         """Exact scaled forward recursion, over all texts side by side."""
         order = np.argsort([-len(x) for x in texts], kind="stable")
         lengths = np.array([len(texts[i]) for i in order])
-        flat = np.concatenate([texts[i] for i in order]).astype(np.int64) if texts else np.zeros(0, np.int64)
+        flat = np.concatenate([texts[i] for i in order]) if texts else np.zeros(0, np.int64)
         at, out = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64), np.zeros(len(texts))
         state, active = np.tile(self.start, (len(texts), 1)), len(texts)
         for t in range(int(lengths[0]) if len(texts) else 0):
@@ -275,22 +286,31 @@ def _expectation(model: Model):
         counts, moved, starts, likelihood = np.zeros((SYMBOLS, k)), np.zeros((k, k)), np.zeros(k), 0.0
         held, size = [], 0
 
-        def add() -> None:
-            nonlocal counts, moved, starts, likelihood, held, size
-            fresh = np.zeros(size, bool)
-            fresh[np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]])] = True
-            got = model.expected(np.concatenate(held), fresh)
-            counts, moved, starts, likelihood, held, size = counts + got[0], moved + got[1], starts + got[2], likelihood + got[3], [], 0
+        def add(texts: list[np.ndarray]) -> None:
+            nonlocal counts, moved, starts, likelihood
+            fresh = np.zeros(sum(map(len, texts)), bool)
+            fresh[np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])] = True
+            got = model.expected(np.concatenate(texts), fresh)
+            counts, moved, starts, likelihood = counts + got[0], moved + got[1], starts + got[2], likelihood + got[3]
+
+        def add_held() -> None:
+            nonlocal held, size
+            held.sort(key=len, reverse=True)
+            ends = np.cumsum([len(x) for x in held])
+            at = 0
+            while at < len(held):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+                add(held[at:end])
+                at = end
+            held, size = [], 0
 
         for batch in batches:
             for raw in batch["symbols"]:
-                symbols = np.frombuffer(raw, np.uint16).astype(np.int64)
-                held.append(symbols)
-                size += len(symbols)
-                if size >= CHUNK:
-                    add()
-        if held:
-            add()
+                held.append(np.frombuffer(raw, np.uint16))
+                size += len(held[-1]) + TEXT
+                if size >= SORTED:
+                    add_held()
+        add_held()
         used = np.flatnonzero(counts.any(axis=1))
         values = np.concatenate([counts[used], moved, starts[None], np.full((1, k), likelihood)])
         symbol = np.concatenate([used, np.arange(SYMBOLS, SYMBOLS + k + 2)])

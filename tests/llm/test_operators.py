@@ -220,6 +220,27 @@ def test_expected_counts_are_the_sums_over_paths(monkeypatch):
     assert np.allclose(got[2], starts, atol=1e-4) and got[3] == pytest.approx(likelihood, rel=1e-5)
 
 
+def test_a_training_pass_holds_a_bounded_piece_of_its_tokens():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    m = hmm.Model.first(np.full(hmm.SYMBOLS, 1 / hmm.SYMBOLS), 8)
+    texts = [rng.integers(0, hmm.SYMBOLS, n).astype(np.uint16) for n in [30_000, *rng.integers(1, 9000, 700)]]
+    batch = pd.DataFrame({"symbols": [x.tobytes() for x in texts]})
+    tracemalloc.start()
+    (got,) = hmm._expectation(m)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    tokens = sum(map(len, texts))
+    sums = got.filter(like="s").drop(columns="symbol").to_numpy()
+    assert tokens > 3_000_000 and peak < 150
+    # Expected counts add up to the tokens, moves to those after the first, starts to the texts.
+    assert [sums[:-10].sum(), sums[-10:-2].sum(), sums[-2].sum()] == pytest.approx([tokens, tokens - len(texts), len(texts)], rel=1e-4)
+    assert sums[-1, 0] / math.log(10) == pytest.approx(m.log10_likelihood(texts).sum(), rel=1e-5)
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for i, t, *_ in rows:
