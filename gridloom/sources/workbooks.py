@@ -4,7 +4,9 @@ A workbook is a zip of parts, XML in .xlsx, .xlsm and .xltx, records in .xlsb. A
 read in ranges of its uncompressed bytes: each task unpacks the part, which is cheap, passes
 over what is not its own without parsing it, and parses the rows that start in its range.
 Tasks that write turn rows into XML aside; the commit puts these into one .xlsx, piece by
-piece, and an abort removes them.
+piece, and an abort removes them. Rows beyond what a sheet can hold go on in further sheets
+with the same header; a hidden name of each tells the sheet that it goes on with, and the
+reader takes them as one (in .xlsb, which this does not write, each stands by itself).
 
 Edge cases: cells that a row leaves out are nulls, as are errors; a sheet without rows gives
 none; cells whose style shows a date are ISO dates; .xls has no reader.
@@ -21,6 +23,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import count, islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -36,8 +39,11 @@ READABLE = (".xlsx", ".xlsm", ".xltx", ".xlsb")
 #: Uncompressed bytes of a sheet behind a task.
 RANGE = 32 << 20
 CHUNK = 1 << 20
-#: Rows that a sheet of a workbook can hold.
+#: Rows that a sheet of a workbook can hold, and that a task writes to a part at most.
 MOST_ROWS = 1_048_576
+PART_ROWS = 65_535
+#: Name, within a sheet, of the first cell of the sheet whose rows it goes on with.
+GOES_ON = "gridloom.goes_on"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 EPOCH = datetime.datetime(1899, 12, 30)
 
@@ -84,21 +90,39 @@ def _wide(content: bytes, at: int) -> tuple[str, int]:
     return content[at + 4 : at + 4 + 2 * n].decode("utf-16-le"), at + 4 + 2 * n
 
 
-def sheets(z: zipfile.ZipFile) -> dict[str, str]:
-    """The part of each sheet, by name, in order."""
+def _first_cell(name: str) -> str:
+    return "'" + name.replace("'", "''") + "'!$A$1"
+
+
+def _sheet_of(cell: str) -> str:
+    name = cell.rpartition("!")[0]
+    return name[1:-1].replace("''", "'") if name.startswith("'") else name
+
+
+def sheets(z: zipfile.ZipFile) -> dict[str, list[str]]:
+    """The parts of each sheet, by name, in order: its own, then those that go on with its rows."""
     binary = "xl/workbook.bin" in z.namelist()
     part = "xl/workbook.bin" if binary else "xl/workbook.xml"
     rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read(f"xl/_rels/{part[3:]}.rels"))}
-    found = {}
+    found, goes_on = {}, {}
     if binary:
         for _, number, content in records(z.read(part)):
             if number == SHEET:
                 rel, at = _wide(content, 8)
                 found[_wide(content, at)[0]] = rel
     else:
-        for s in ElementTree.fromstring(z.read(part)).findall("m:sheets/m:sheet", _NS):
+        root = ElementTree.fromstring(z.read(part))
+        for s in root.findall("m:sheets/m:sheet", _NS):
             found[s.get("name")] = s.get(f"{{{_NS['r']}}}id")
-    return {name: "xl/" + rels[r].removeprefix("/xl/").removeprefix("xl/") for name, r in found.items()}
+        for d in root.findall("m:definedNames/m:definedName", _NS):
+            if d.get("name") == GOES_ON and d.get("localSheetId"):
+                goes_on[list(found)[int(d.get("localSheetId"))]] = _sheet_of(d.text or "")
+    # A sheet whose first one is gone stands by itself.
+    goes_on = {name: first for name, first in goes_on.items() if first in found.keys() - goes_on.keys()}
+    out: dict[str, list[str]] = {name: [] for name in found if name not in goes_on}
+    for name in sorted(found, key=lambda name: name in goes_on):
+        out[goes_on.get(name, name)].append("xl/" + rels[found[name]].removeprefix("/xl/").removeprefix("xl/"))
+    return out
 
 
 def _dated(number: int, code: str | None) -> bool:
@@ -239,18 +263,25 @@ def _binary_rows(stream, low: int, high: int, shared: list[str], dates: set[int]
         yield n, cells
 
 
-def sheet_rows(path: str, sheet: str | None, low: int = 0, high: int = 1 << 62) -> Iterator[tuple[int, list[str | None]]]:
+def sheet_rows(path: str, sheet: str | None, low: int = 0, high: int = 1 << 62, which: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+    """(number, cells) of a sheet's rows, and of those that go on in further sheets, without
+    the headers there; which: one of these alone. Numbers rise from sheet to sheet, with gaps."""
     with open_workbook(path) as z:
         named = sheets(z)
-        part = named[sheet] if sheet else next(iter(named.values()))
-        run = _binary_rows if part.endswith(".bin") else _xml_rows
-        with z.open(part) as stream:
-            yield from run(stream, low, high, shared_texts(z), date_styles(z))
+        shared, dates = shared_texts(z), date_styles(z)
+        for i, part in enumerate(named[sheet] if sheet else next(iter(named.values()))):
+            if which not in (None, i):
+                continue
+            run = _binary_rows if part.endswith(".bin") else _xml_rows
+            with z.open(part) as stream:
+                for n, cells in run(stream, low, high, shared, dates):
+                    if n or not i:
+                        yield i * MOST_ROWS + n, cells
 
 
 class Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, which: int, low: int, high: int):
+        self.which, self.low, self.high = which, low, high
 
 
 class SheetReader(DataSourceReader):
@@ -261,16 +292,16 @@ class SheetReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         with open_workbook(self.path) as z:
             named = sheets(z)
-            size = z.getinfo(named[self.sheet] if self.sheet else next(iter(named.values()))).file_size
-        return [Range(at, at + self.size) for at in range(0, max(size, 1), self.size)]
+            sizes = [z.getinfo(part).file_size for part in (named[self.sheet] if self.sheet else next(iter(named.values())))]
+        return [Range(i, at, at + self.size) for i, size in enumerate(sizes) for at in range(0, max(size, 1), self.size)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        yield from sheet_rows(self.path, self.sheet, partition.low, partition.high)
+        yield from sheet_rows(self.path, self.sheet, partition.low, partition.high, partition.which)
 
 
 class Message(WriterCommitMessage):
-    def __init__(self, part: str, number: int, rows: int):
-        self.part, self.number, self.rows = part, number, rows
+    def __init__(self, number: int, parts: list[tuple[str, int]]):
+        self.number, self.parts = number, parts
 
 
 def _xml_cell(x) -> str:
@@ -290,29 +321,33 @@ def _xml_cell(x) -> str:
 
 
 class SheetWriter(DataSourceWriter):
-    """Parts of a sheet in a folder of their own, listed by the commit."""
+    """Parts of a sheet in a folder of their own, listed by the commit with their rows, of
+    which none has more than a sheet can hold."""
 
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+        self.folder, self.most = options["path"], int(options.get("rows", PART_ROWS))
 
     def write(self, iterator) -> Message:
         fs, folder = arrow_fs(self.folder)
         fs.create_dir(folder, recursive=True)
         context = TaskContext.get()
         number = context.partitionId() if context else 0
-        part, rows = f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.xml", 0
-        with fs.open_output_stream(part) as out:
-            for row in iterator:
-                out.write(("<row>" + "".join(map(_xml_cell, row)) + "</row>").encode())
-                rows += 1
-        return Message(part, number, rows)
+        parts, rows = [], self.most
+        while rows == self.most:
+            part, rows = f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.xml", 0
+            with fs.open_output_stream(part) as out:
+                for row in islice(iterator, self.most):
+                    out.write(("<row>" + "".join(map(_xml_cell, row)) + "</row>").encode())
+                    rows += 1
+            parts.append((part, rows))
+        return Message(number, parts)
 
     def commit(self, messages: list[Message | None]) -> None:
         fs, folder = arrow_fs(self.folder)
         fs.create_dir(folder, recursive=True)
         done = sorted((m for m in messages if m is not None), key=lambda m: m.number)
         with fs.open_output_stream(f"{folder}/sheet.json") as out:
-            out.write(json.dumps([[m.part, m.rows] for m in done]).encode())
+            out.write(json.dumps([p for m in done for p in m.parts]).encode())
 
     def abort(self, messages: list[Message | None]) -> None:
         fs, folder = arrow_fs(self.folder)
@@ -322,7 +357,7 @@ class SheetWriter(DataSourceWriter):
 
 class Workbook(DataSource):
     """Reading: path, sheet (else the first) and range; rows (n, v). Writing: path, a
-    folder for the parts of one sheet."""
+    folder for the parts of one sheet, and rows, those of a part at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -339,7 +374,7 @@ class Workbook(DataSource):
 
 
 def read_rows(spark: SparkSession, path: str, sheet: str | None = None, size: int = RANGE) -> DataFrame:
-    """(n, v): the rows of a sheet and their cells as texts."""
+    """(n, v): the rows of a sheet, as of sheet_rows(), and their cells as texts."""
     spark.dataSource.register(Workbook)
     return spark.read.format("workbook_rows").options(path=path, sheet=sheet or "", range=str(size)).load()
 
@@ -349,36 +384,58 @@ _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _STYLES = f'<styleSheet xmlns="{_MAIN}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="14" applyNumberFormat="1"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>'
 
 
+def _dealt(parts: list[tuple[str, int]]) -> list[list[str]]:
+    """A frame's parts by sheet, in order; the header takes a row of each."""
+    out, rows = [[]], 1
+    for part, more in parts:
+        if rows + more > MOST_ROWS:
+            out.append([])
+            rows = 1
+        out[-1].append(part)
+        rows += more
+    return out
+
+
+def _further(name: str, taken: set[str]) -> str:
+    """A name for a sheet that goes on with this one, of 31 characters at most."""
+    names = (f"{name[: 31 - len(end)]}{end}" for end in map(" ({})".format, count(2)))
+    found = next(n for n in names if n.casefold() not in taken)
+    taken.add(found.casefold())
+    return found
+
+
 def write_workbook(frames: dict[str, DataFrame], path: str) -> str:
-    """One .xlsx with a sheet for each frame, in the frames' order, with a header row.
-    Tasks write the sheets' rows; the driver only copies the parts, a piece at a time. The
-    workbook takes its place by a rename at the end; the parts go whatever happens."""
+    """One .xlsx with a sheet for each frame, in the frames' order, with a header row; as
+    many sheets as its rows need. Tasks write the sheets' rows; the driver only copies the
+    parts, a piece at a time. The workbook takes its place by a rename at the end; the
+    parts go whatever happens."""
     fs, target = arrow_fs(path)
     aside = f"{target}.{uuid.uuid4().hex}"
     try:
         parts = {}
         for i, (name, df) in enumerate(frames.items()):
             df.sparkSession.dataSource.register(Workbook)
-            df.write.format("workbook_rows").mode("append").save(f"{aside}/{i}")
+            df.write.format("workbook_rows").mode("append").option("rows", min(PART_ROWS, MOST_ROWS - 1)).save(f"{aside}/{i}")
             with fs.open_input_stream(f"{aside}/{i}/sheet.json") as stream:
                 parts[name] = json.loads(stream.readall())
-            if sum(rows for _, rows in parts[name]) >= MOST_ROWS:
-                raise ValueError(f"{name}: a sheet holds {MOST_ROWS - 1} rows at most")
-        order = list(enumerate(parts, 1))
+        taken = {name.casefold() for name in frames}
+        dealt = [(name, held, n) for name, found in parts.items() for n, held in enumerate(_dealt(found))]
+        order = [(i, _further(name, taken) if n else name) for i, (name, _, n) in enumerate(dealt, 1)]
         with fs.open_output_stream(f"{aside}/workbook.xlsx") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
             overrides = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in order)
             z.writestr("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{overrides}</Types>')
             z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             listed = "".join(f'<sheet name="{escape(name, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, name in order)
-            z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{listed}</sheets></workbook>')
+            marks = "".join(f'<definedName name="{GOES_ON}" localSheetId="{i}" hidden="1">{escape(_first_cell(name))}</definedName>' for i, (name, _, n) in enumerate(dealt) if n)
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{listed}</sheets>{marks and f"<definedNames>{marks}</definedNames>"}</workbook>')
             related = "".join(f'<Relationship Id="r{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in order)
             z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}/relationships">{related}<Relationship Id="styles" Type="{_REL}/styles" Target="styles.xml"/></Relationships>')
             z.writestr("xl/styles.xml", _STYLES)
-            for i, name in order:
+            for i, (name, held, _) in enumerate(dealt, 1):
                 with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as sheet:
                     sheet.write(f'<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(map(_xml_cell, frames[name].columns))}</row>'.encode())
-                    for part, _ in parts[name]:
+                    for part in held:
                         with fs.open_input_stream(part) as stream:
                             while piece := stream.read(CHUNK):
                                 sheet.write(piece)

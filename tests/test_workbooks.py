@@ -90,6 +90,36 @@ def test_workbook_round_trip(spark, tmp_path):
     assert workbooks.read_rows(spark, path, "None").collect()[0]["v"] == df.columns
 
 
+def test_rows_beyond_a_sheet_go_on_in_further_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbooks, "MOST_ROWS", 100)
+    long = "it's <a> name of 31 characters."
+    frames = {long: spark.range(950).repartition(3).select("id", F.concat(F.lit("t"), "id").alias("t")), "b": spark.range(99), "B (2)": spark.range(3), "c": spark.range(100, numPartitions=1), "b (3)": spark.range(250, numPartitions=1)}
+    path = workbooks.write_workbook(frames, str(tmp_path / "w.xlsx"))
+    assert tables.list_sheets(spark, path) == list(frames)
+    with zipfile.ZipFile(path) as z:
+        named = workbooks.sheets(z)
+        listed = [s.get("name") for s in workbooks.ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if s.tag.endswith("}sheet")]
+        texts = [z.read(part) for parts in named.values() for part in parts]
+    assert [len(parts) for parts in named.values()][1:] == [1, 1, 2, 3] and len(texts) == len(listed) == len({n.casefold() for n in listed})
+    assert max(map(len, listed)) == 31 and all(t.count(b"<row>") <= 100 and b'preserve">id<' in t for t in texts)
+    for name, df in frames.items():
+        back = tables.read_table(spark, path, name, 0)
+        assert back.columns == df.columns and sorted(back.collect()) == sorted(df.collect())
+        numbers = [r["n"] for r in workbooks.read_rows(spark, path, name, 500).collect()]
+        assert len(numbers) == len(set(numbers)) == df.count() + 1
+    assert [cells[0] for _, cells in workbooks.sheet_rows(path, "b (3)")] == ["id", *map(str, range(250))]
+
+
+@pytest.mark.parametrize("mark, listed", [("one!$A$1", {"one": 2, "two!": 1}), ("'two!'!$A$1", {"one": 1, "two!": 2}), ("#REF!$A$1", {"one": 1, "two!": 1, "three": 1})])
+def test_sheets_are_taken_as_one_by_their_mark(tmp_path, mark, listed):
+    main, rel = workbooks._NS["m"], workbooks._NS["r"]
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        named = "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(["one", "two!", "three"]))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{named}</sheets><definedNames><definedName name="other" localSheetId="1">one!$A$1</definedName><definedName name="{workbooks.GOES_ON}" localSheetId="2" hidden="1">{mark}</definedName></definedNames></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/{i}.xml"/>' for i in range(3)) + "</Relationships>")
+        assert {name: len(parts) for name, parts in workbooks.sheets(z).items()} == listed
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     bad = spark.range(10).select(F.raise_error(F.lit("no")).alias("x"))
     with pytest.raises(Exception):
