@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zipfile
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import count, islice
 from xml.etree import ElementTree
@@ -167,6 +168,10 @@ def _number(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
 
 
+_CELL, _VALUE, _TEXT = (f"{{{_NS['m']}}}{name}" for name in "cvt")
+_COLUMN = re.compile("[A-Z]*")
+
+
 def _put(cells: list[str | None], at: int, value: str | None) -> None:
     cells.extend([None] * (at - len(cells)))
     cells.append(value)
@@ -174,12 +179,13 @@ def _put(cells: list[str | None], at: int, value: str | None) -> None:
 
 def _xml_cells(row: ElementTree.Element, shared: list[str], dates: set[int]) -> list[str | None]:
     cells: list[str | None] = []
-    for c in row.iter(f"{{{_NS['m']}}}c"):
-        at, kind, v = 0, c.get("t"), c.find("m:v", _NS)
-        for ch in re.match("[A-Z]*", c.get("r") or "")[0]:
-            at = at * 26 + ord(ch) - 64
+    for c in row.iter(_CELL):
+        at, kind, v = 0, c.get("t"), c.find(_VALUE)
+        if place := c.get("r"):
+            for ch in _COLUMN.match(place)[0]:
+                at = at * 26 + ord(ch) - 64
         if kind == "inlineStr":
-            value = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+            value = "".join(t.text or "" for t in c.iter(_TEXT))
         elif v is None or kind == "e":
             value = None
         elif kind == "s":
@@ -195,16 +201,19 @@ def _xml_cells(row: ElementTree.Element, shared: list[str], dates: set[int]) ->
 
 
 _ROW = re.compile(rb"<(?:\w+:)?row(?=[\s/>])")
+_ROWS_END = re.compile(rb"</(?:\w+:)?sheetData\s*>|<(?:\w+:)?sheetData\s*/>")
 
 
 def _xml_rows(stream, low: int, high: int, shared: list[str], dates: set[int]) -> Iterator[tuple[int, list[str | None]]]:
     """(number, cells) of the rows that start in bytes low to high. Rows before are
-    counted only; the parser sees none but its own."""
+    counted only; the parser sees none but its own, those of a chunk at once."""
     buffer, base, n, ended, head = b"", 0, 0, False, None
     while True:
         more = b"" if ended else stream.read(CHUNK)
-        ended = ended or not more
         buffer += more
+        ended = ended or not more
+        if b"sheetData" in buffer and (end := _ROWS_END.search(buffer)):
+            buffer, ended = buffer[: end.start()], True
         if head is None:
             start = _ROW.search(buffer)
             if not start and not ended:
@@ -216,18 +225,15 @@ def _xml_rows(stream, low: int, high: int, shared: list[str], dates: set[int]) -
         starts = [m.start() for m in _ROW.finditer(buffer)]
         # The last row may go on in the next chunk.
         whole = starts if ended else starts[:-1]
-        for i, at in enumerate(whole):
-            place = base + at
-            if place >= high:
-                return
-            if place >= low:
-                end = starts[i + 1] if i + 1 < len(starts) else max(buffer.rfind(b"</"), at)
-                text = buffer[at:end]
-                closed = re.match(rb"(?s).*</(?:\w+:)?row\s*>", text) or re.match(rb"(?s)<[^>]*/>", text)
-                yield n, _xml_cells(ElementTree.fromstring(head + closed[0] + tail), shared, dates)
-            n += 1
-        if ended:
+        first, last = bisect_left(whole, low - base), bisect_left(whole, high - base)
+        if first < last:
+            text = buffer[whole[first] : starts[last] if last < len(starts) else None]
+            for row in ElementTree.fromstring(head + text + tail):
+                yield n + first, _xml_cells(row, shared, dates)
+                first += 1
+        if ended or last < len(whole):
             return
+        n += len(whole)
         keep = starts[-1] if starts else max(len(buffer) - 64, 0)
         base, buffer = base + keep, buffer[keep:]
 

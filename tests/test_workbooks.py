@@ -1,6 +1,7 @@
 """Workbooks of both formats, read in ranges, and written by tasks."""
 
 import datetime as dt
+import io
 import struct
 import zipfile
 
@@ -77,6 +78,14 @@ def test_ranges_hold_every_row_once(spark, tmp_path, size, monkeypatch):
     assert got == [(i, [] if i % 7 == 3 else [None, f"v<{i}"]) for i in range(60)]
 
 
+@pytest.mark.parametrize("rows, want", [("<sheetData/>", []), ("<sheetData></sheetData>", []), ('<sheetData>\n<row><c><v>1</v></c></row>\n<row/></sheetData>', [(0, ["1"]), (1, [])]), ('<sheetData><row><c t="inlineStr"><is><t>a &lt;/sheetData> sheetData</t></is></c></row><row><c r="C2"><v>2</v></c></row></sheetData>', [(0, ["a </sheetData> sheetData"]), (1, [None, None, "2"])])])
+@pytest.mark.parametrize("chunk", [7, 50, 1 << 20])
+def test_rows_end_with_the_sheets_data(tmp_path, monkeypatch, rows, want, chunk):
+    monkeypatch.setattr(workbooks, "CHUNK", chunk)
+    stream = io.BytesIO(f'<worksheet xmlns="{workbooks._NS["m"]}">{rows}<controls><x:from xmlns:x="x"><x:row>5</x:row></x:from></controls></worksheet>'.encode())
+    assert list(workbooks._xml_rows(stream, 0, 1 << 62, [], set())) == want
+
+
 def test_workbook_round_trip(spark, tmp_path):
     day = dt.date(2024, 5, 6)
     rows = [(i, f"a<&\"' {i}\nb" if i % 3 else None, i / 4 if i % 5 else None, day if i % 2 else None, dt.datetime(2024, 5, 6, 7, 8, 9), i % 2 == 0) for i in range(500)]
