@@ -3,7 +3,7 @@
 A workbook is a zip of parts, XML in .xlsx, .xlsm and .xltx, records in .xlsb. A sheet is
 read in ranges of its uncompressed bytes: each task unpacks the part, which is cheap, passes
 over what is not its own without parsing it, and parses the rows that start in its range.
-Tasks that write turn rows into XML aside; the commit puts these into one .xlsx, piece by
+Tasks that write turn rows into packed XML aside; the commit puts these into one .xlsx, piece by
 piece, and an abort removes them. Rows beyond what a sheet can hold go on in further sheets
 with the same header; a hidden name of each tells the sheet that it goes on with, and the
 reader takes them as one (in .xlsb, which this does not write, each stands by itself).
@@ -340,8 +340,8 @@ class SheetWriter(DataSourceWriter):
         number = context.partitionId() if context else 0
         parts, rows = [], self.most
         while rows == self.most:
-            part, rows = f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.xml", 0
-            with fs.open_output_stream(part) as out:
+            part, rows = f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.xml.zst", 0
+            with fs.open_output_stream(part, compression="zstd") as out:
                 for row in islice(iterator, self.most):
                     out.write(("<row>" + "".join(map(_xml_cell, row)) + "</row>").encode())
                     rows += 1
@@ -442,7 +442,7 @@ def write_workbook(frames: dict[str, DataFrame], path: str) -> str:
                 with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as sheet:
                     sheet.write(f'<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(map(_xml_cell, frames[name].columns))}</row>'.encode())
                     for part in held:
-                        with fs.open_input_stream(part) as stream:
+                        with fs.open_input_stream(part, compression="zstd") as stream:
                             while piece := stream.read(CHUNK):
                                 sheet.write(piece)
                     sheet.write(b"</sheetData></worksheet>")
